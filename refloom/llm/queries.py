@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .minhash import op9_minhash
 from .quality import op6_quality_rules
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op6_quality_rules, op9_minhash)}
 
 SQL: dict[str, str] = {}
