@@ -25,7 +25,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 @dataclass(frozen=True)
