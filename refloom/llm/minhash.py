@@ -42,7 +42,7 @@ from . import kernels as K
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-CHUNK, CHUNK_DOCS = 2 << 20, 4000
+CHUNK, CHUNK_DOCS = 1 << 19, 4000
 U64 = np.uint64
 
 
