@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op8_html_text
 from .minhash import op9_minhash
 from .packing import op7_best_fit_packing
 from .quality import op6_quality_rules
@@ -9,6 +10,6 @@ from .rans import op10_token_files
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_suffix_dedup, op6_quality_rules, op7_best_fit_packing, op9_minhash, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_suffix_dedup, op6_quality_rules, op7_best_fit_packing, op8_html_text, op9_minhash, op10_token_files)}
 
 SQL: dict[str, str] = {}
