@@ -37,6 +37,8 @@ def written(df: DataFrame) -> DataFrame:
     depend on an executor's disk."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    # the shuffle files of what has been written go once the driver collects its garbage
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

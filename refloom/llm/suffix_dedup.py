@@ -7,7 +7,7 @@ are judged on the input.
 A merged transform of all text at once costs depth / step rounds over every byte, so
 what can't repeat is set aside first, without loss:
 
-1. The anchor of a window of `length` bytes is its leftmost least 32-byte hash. It
+1. The anchor of a window of `length` bytes is its leftmost least 24-byte hash. It
    depends on the window's bytes alone, so equal windows have equal anchors. Windows
    in a row with one anchor form a run; a run's bytes are named by a second hash.
 2. Runs meet by anchor, sorted in the shuffle, and are streamed. A run equal to an
@@ -50,10 +50,10 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     length: int = 100
-    anchor: int = 32
+    anchor: int = 24
     step: int = 25
     sample: int = 64
-    hot_rows: int = 16_000
+    hot_rows: int = 1_000_000
     salts: int = 64
     batch_bytes: int = 1 << 20
 
@@ -177,9 +177,15 @@ def _hot(docs: DataFrame, s: Settings) -> list[int]:
     return [r["anchor"] for r in rows]
 
 
+def _by_document(rows: DataFrame):
+    """Grouped by document, and shuffled as rows: lists made before the shuffle hold
+    one or two runs each and only add to it."""
+    return rows.repartition(C.partitions(rows.sparkSession), "doc", "tie").groupBy("doc", "tie")
+
+
 def _extract(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """The bytes of wanted runs."""
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("runs"))
+    lists = _by_document(wanted).agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("runs"))
 
     def cut(batches):
         for batch in batches:
@@ -245,7 +251,7 @@ def _merged(s: Settings):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 4))):
                 if row[3] != at:
-                    if size >= s.batch_bytes:
+                    if size and (size >= s.batch_bytes or row[5] != held[-1][5]):
                         out = solve(held, split)
                         if out:
                             yield out
@@ -284,7 +290,7 @@ def repeated_runs(docs: DataFrame, s: Settings) -> DataFrame:
     whole = found.where("not open").select("doc", "tie", "start", "n")
     bytes_ = _extract(docs, found.where("open"), s)
     deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.lit(s.salts))).otherwise(F.lit(0))
-    windows = bytes_.repartition(parts, "anchor", deal).sortWithinPartitions("anchor", "doc", "tie", "start").mapInArrow(_merged(s), WINDOWS)
+    windows = bytes_.repartition(parts, "anchor", deal).sortWithinPartitions("hot", "anchor", "doc", "tie", "start").mapInArrow(_merged(s), WINDOWS)
     windows = C.written(windows)
     out = whole.union(windows.where("w1 is null").select("doc", "tie", "start", "n"))
     spread = windows.where("w1 is not null")
@@ -299,7 +305,7 @@ def repeated_runs(docs: DataFrame, s: Settings) -> DataFrame:
 def _cut(docs: DataFrame, s: Settings) -> DataFrame:
     """docs (doc, tie, ...) with gone: arrays of the starts and ends of removed runs."""
     found = repeated_runs(docs.select("doc", "tie", "text"), s)
-    lists = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    lists = _by_document(found).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return docs.join(lists, ["doc", "tie"], "left")
 
 
@@ -338,7 +344,7 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     key = C.doc_columns(docs, "doc_id", "text")
     keyed = _keyed(key)
     found = repeated_runs(keyed.select("doc", "tie", "text"), s)
-    lists = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    lists = _by_document(found).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     least = F.lit(-(1 << 63)).cast("bigint")
     whole = docs.withColumn("_doc", F.coalesce("doc_id", least))
     if not keyed.where("tie > 0").isEmpty():
