@@ -87,7 +87,7 @@ def _local(s: Settings):
     def run(batches):
         encoder, held = K.Encoder(s.vocabulary, s.folder), []
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), K.encode_slices(encoder, b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), K.encode_column(encoder, b.column(1))):
                 held += [(p[3], [p]) for p in pieces(d, ids + end, s.capacity)]
                 if len(held) >= s.window:
                     yield _bins(held, s)

@@ -43,7 +43,7 @@ class Settings:
     folder: str | None = None
     lanes: int = 2048
     block: int = 1 << 19
-    file_tokens: int = 1 << 24
+    file_tokens: int = 1 << 22
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ class Table:
     def codes(self, tokens: np.ndarray) -> np.ndarray:
         place = np.zeros(int(self.symbols.max()) + 1, np.int64)
         place[self.symbols] = np.arange(len(self.symbols))
-        return place[tokens]
+        return place[tokens].astype(np.int32)
 
     def slots(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.freqs.astype(np.int64))
@@ -78,20 +78,19 @@ def encode_block(codes: np.ndarray, t: Table, lanes: int) -> bytes:
     """A block of symbol numbers: token count, states, words."""
     n = len(codes)
     x = np.full(lanes, LOW, np.uint64)
-    f, c = t.freqs[codes], t.starts[codes]
-    top = f << np.uint64(63 - SCALE)
     words: list[np.ndarray] = []
     for at in range((n - 1) // lanes * lanes, -1, -lanes):
         i = slice(at, min(at + lanes, n))
         s = x[: i.stop - at]
-        out = s >= top[i]
+        f, c = t.freqs[codes[i]], t.starts[codes[i]]
+        out = s >= f << np.uint64(63 - SCALE)
         if out.any():
             words.append(s[out].astype(np.uint32))
             s = np.where(out, s >> W32, s)
         else:
             words.append(np.zeros(0, np.uint32))
-        q = s // f[i]
-        x[: i.stop - at] = (q << np.uint64(SCALE)) + (s - q * f[i]) + c[i]
+        q = s // f
+        x[: i.stop - at] = (q << np.uint64(SCALE)) + (s - q * f) + c
     body = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
     return struct.pack("<II", n, len(body)) + x.astype("<u8").tobytes() + body.astype("<u4").tobytes()
 
@@ -140,6 +139,7 @@ def encode_file(doc_ids: list[int | None], ids: list[bytes], s: Settings) -> byt
     symbols = np.flatnonzero(counts)
     table = Table(symbols, scaled(counts[symbols]))
     codes = table.codes(tokens)
+    del tokens
     blocks = [encode_block(codes[i : i + s.block], table, s.lanes) for i in range(0, len(codes), s.block)]
     size = np.array([len(b) for b in blocks], np.int64)
     first = np.arange(len(blocks), dtype=np.int64) * s.block
@@ -198,7 +198,7 @@ def write_files(docs: DataFrame, folder: str, s: Settings = Settings()) -> DataF
     file appears under its name only when it is whole, so a task may be repeated."""
     spark = docs.sparkSession
     keyed = C.doc_columns(docs, "doc_id", "text")
-    parts = C.partitions(spark)
+    parts = -(-C.partitions(spark) // 2)  # larger ones meet fewer new words each
     cuts = C.splits(keyed, "doc_id", parts)
     rows = C.by_range(C.ranged(keyed, "doc_id", cuts), "_range", len(cuts) + 1).sortWithinPartitions("_range", "doc_id", "text")
     end = s.end_id.to_bytes(4, "little")
@@ -210,7 +210,7 @@ def write_files(docs: DataFrame, folder: str, s: Settings = Settings()) -> DataF
         ids, held, size, part, shard = [], [], 0, 0, 0
 
         for b in batches:
-            for d, n, got in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), K.encode_slices(encoder, b.column(1).to_pylist())):
+            for d, n, got in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), K.encode_column(encoder, b.column(1))):
                 shard = n
                 ids.append(d)
                 held.append(got + end)

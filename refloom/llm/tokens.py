@@ -15,7 +15,10 @@ import os
 import re
 from array import array
 
+import pyarrow as pa
+
 from . import common as C
+from .kernels import slices
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -29,15 +32,44 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Ids of single pieces, found when first asked for."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.table = tokenize, _byte_chars()
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece
+        if not text.isascii() or "\n" in text:
+            text = text.encode().decode("latin-1").translate(self.table)
+        elif text[0] == " ":
+            text = "\u0120" + text[1:].replace(" ", "\u0120")
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        return ids
+
+
 class _Words(dict):
-    """Ids of words, found when first asked for."""
+    """Ids of words, found when first asked for; lead is put before each."""
 
-    def __init__(self, find):
+    def __init__(self, lead: str, pieces: _Pieces, lower: bool, simple, split, whole):
         super().__init__()
-        self.find = find
+        self.lead, self.pieces, self.lower = lead, pieces, lower
+        self.simple, self.split, self.whole = simple, split, whole
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.find(word)
+        core = word.rstrip(",.")
+        if core.isalpha() and (core.isascii() or self.simple(core)):
+            ids = self.pieces[core.lower() if self.lower else self.lead + core]
+            if len(core) < len(word):
+                ids += self.pieces[word[len(core) :]]
+        else:
+            text = self.lead + word
+            if not self.simple(text):
+                ids = self.whole(text)
+            else:
+                ids = b"".join([self.pieces[p] for p in self.split(text.lower() if self.lower else text)])
+        self[word] = ids
         return ids
 
 
@@ -52,41 +84,16 @@ class Encoder:
         self.tok = Tokenizer.from_file(C.tokenizer_path(name, folder))
         self.tok.encode_special_tokens = True
         self.words = name == WORD_BPE
-        self.tokenize = self.tok.model.tokenize
-        self.table = _byte_chars()
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.words else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        self.split = regex.compile(pattern).findall
         # characters on which this pattern and the library's agree and which no normaliser but lower case changes
-        self.simple = re.compile(r"[ -~\n¡-¬®-įı-ɏ]*").fullmatch
-        self.pieces = _Words(self._piece)
-        self.first = _Words(lambda w: self._word(w, ""))
-        self.later = _Words(lambda w: self._word(w, "" if self.words else " "))
+        simple = re.compile(r"[ -~\n¡-¬®-įı-ɏ]*").fullmatch
+        self.pieces = _Pieces(self.tok.model.tokenize)
+        rest = (self.pieces, self.words, simple, regex.compile(pattern).findall, self._whole)
+        self.first, self.later = _Words("", *rest), _Words("" if self.words else " ", *rest)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or "\n" in piece:
-            piece = piece.encode().decode("latin-1").translate(self.table)
-        elif piece[0] == " ":
-            piece = piece.replace(" ", "\u0120")
-        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
-
-    def _word(self, word: str, lead: str) -> bytes:
-        core = word.rstrip(",.")
-        if core.isalpha() and (core.isascii() or self.simple(core)):
-            tail = word[len(core) :]
-            if self.words:
-                core = core.lower()
-            ids = self.pieces[lead + core]
-            return ids + self.pieces[tail] if tail else ids
-        word = lead + word
-        if not self.simple(word):
-            return self._whole(word)
-        if self.words:
-            word = word.lower()
-        return b"".join(map(self.pieces.__getitem__, self.split(word)))
-
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty. Meant for a few hundred texts at a time."""
         first, later, out = self.first, self.later.__getitem__, []
@@ -116,3 +123,9 @@ def encode_slices(encoder: Encoder, texts: list[str | None], limit: int = 1 << 2
             at, size = i, 0
         size += n
     yield from encoder.batch(texts[at:])
+
+
+def encode_column(encoder: Encoder, arr: pa.Array, limit: int = 1 << 20):
+    """The same for a string array, of which `limit` bytes at a time become strings."""
+    for i, j in slices(arr, limit):
+        yield from encoder.batch(arr.slice(i, j - i).to_pylist())
