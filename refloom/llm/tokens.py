@@ -15,14 +15,18 @@ import os
 import re
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common as C
 from .kernels import slices
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-KNOWN = 400_000
+KNOWN = 700_000
+SIMPLE = " -~\n¡-¬®-įı-ɏ"
+LOWERED = f"^[{SIMPLE}]*$"
 
 
 def _byte_chars() -> dict[int, str]:
@@ -86,7 +90,7 @@ class Encoder:
         self.words = name == WORD_BPE
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.words else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         # characters on which this pattern and the library's agree and which no normaliser but lower case changes
-        simple = re.compile(r"[ -~\n¡-¬®-įı-ɏ]*").fullmatch
+        simple = re.compile(f"[{SIMPLE}]*").fullmatch
         self.pieces = _Pieces(self.tok.model.tokenize)
         rest = (self.pieces, self.words, simple, regex.compile(pattern).findall, self._whole)
         self.first, self.later = _Words("", *rest), _Words("" if self.words else " ", *rest)
@@ -94,38 +98,55 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null is empty. Meant for a few hundred texts at a time."""
-        first, later, out = self.first, self.later.__getitem__, []
-        for t in texts:
-            if not t:
-                out.append(b"")
-            elif self.words:  # white space is dropped, and splits as a space does
-                out.append(b"".join(map(later, t.replace("\n", " ").split(" "))))
-            elif "  " in t:
-                out.append(self._whole(t))
-            else:
-                head, *rest = t.split(" ")
-                out.append(first[head] + b"".join(map(later, rest)))
+    def column(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string array, one text after the other, and where
+        each begins (n + 1 places); null is empty. Arrow splits the texts and numbers
+        their words, so that only distinct words become Python strings."""
+        arr = arr.fill_null("") if arr.null_count else arr
+        whole: dict[int, bytes] = {}
+        if self.words:  # white space is dropped, and splits as a space does
+            arr = pc.replace_substring(arr, "\n", " ")
+            arr = pc.if_else(pc.match_substring_regex(arr, LOWERED), pc.utf8_lower(arr), arr)
+        else:
+            odd = pc.match_substring(arr, "  ")
+            if pc.any(odd).as_py():
+                whole = {i: self._whole(arr[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+                arr = pc.if_else(odd, "", arr)
+        parts = pc.split_pattern(arr, " ")
+        numbered = parts.flatten().dictionary_encode()
+        codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        off = np.r_[0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))].astype(np.int64)
+        words = numbered.dictionary.to_pylist()
+        ids = list(map(self.later.__getitem__, words))
+        if not self.words:
+            heads, place = np.unique(codes[off[:-1]], return_inverse=True)
+            codes[off[:-1]] = len(ids) + place
+            ids += [self.first[words[c]] for c in heads.tolist()]
+            for i, own in whole.items():
+                codes[off[i]] = len(ids)
+                ids.append(own)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.r_[0, np.cumsum(size)]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        n = size[codes]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(start[codes] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         for known in (self.first, self.later, self.pieces):
             if len(known) > KNOWN:
                 known.clear()
-        return out
+        return flat, np.r_[0, ends][off]
 
-
-def encode_slices(encoder: Encoder, texts: list[str | None], limit: int = 1 << 20):
-    """encoder.batch over runs of texts of about `limit` characters."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if size and size + n > limit:
-            yield from encoder.batch(texts[at:i])
-            at, size = i, 0
-        size += n
-    yield from encoder.batch(texts[at:])
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, four bytes each."""
+        if not texts:
+            return []
+        flat, at = self.column(pa.array(texts, pa.string()))
+        return [flat[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def encode_column(encoder: Encoder, arr: pa.Array, limit: int = 1 << 20):
-    """The same for a string array, of which `limit` bytes at a time become strings."""
+def encode_column(encoder: Encoder, arr: pa.Array, limit: int = 1 << 22):
+    """Ids of each text of a string array, taken about `limit` bytes at a time."""
     for i, j in slices(arr, limit):
-        yield from encoder.batch(arr.slice(i, j - i).to_pylist())
+        flat, at = encoder.column(arr.slice(i, j - i))
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield flat[x:y].tobytes()

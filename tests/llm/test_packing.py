@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,7 +23,7 @@ def by_library(name, texts):
 
 @pytest.mark.parametrize("name", [K.BYTE_BPE, K.WORD_BPE])
 def test_ids_are_the_librarys(name):
-    got = [np.frombuffer(b, "<u4").tolist() for b in K.encode_slices(K.Encoder(name), ODD, 10)]
+    got = [np.frombuffer(b, "<u4").tolist() for b in K.encode_column(K.Encoder(name), pa.array(ODD), 10)]
     assert got == by_library(name, ODD)
 
 
