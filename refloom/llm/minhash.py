@@ -49,9 +49,9 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     width: int = 3
-    bands: int = 24
+    bands: int = 32
     rows: int = 4
-    threshold: float = 0.6
+    threshold: float = 0.5
     leaders: int = 2
 
 

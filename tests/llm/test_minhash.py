@@ -51,7 +51,8 @@ def test_classes_against_brute_force(spark):
     rows += [(1000 + i, near(rng, hot, i % 4), "s") for i in range(60)]
     rows += [(2000, None, "s"), (2001, "", "s"), (2002, "...", "s"), (2003, "!?!", "s"), (2000, None, "s"), (None, hot, "s"), (None, text(rng, 30), "s"), (None, text(rng, 30), "s"), (3000, "Ein, Wort", "s"), (3001, "ein wort", "s"), (3002, text(rng, 20000), "s")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, node string")
-    got = M.near_duplicates(docs).collect()
+    s = M.Settings(threshold=0.6)
+    got = M.near_duplicates(docs, s).collect()
     assert len(got) == len(rows)
     ids = [r for r in rows if r[0] is not None and r[1]]
     parent = {r[0]: r[0] for r in rows if r[0] is not None}
@@ -75,7 +76,7 @@ def test_classes_against_brute_force(spark):
     by = {r.doc_id: r for r in got}
     assert by[3000].n_links == 1 and by[3001].n_links == 1 and by[2000].n_copies == 3
     firsts = {i for i in parent if cls[i] == i}
-    kept = M.keep_one(docs)
+    kept = M.keep_one(docs, s)
     assert kept.columns == docs.columns
     out = kept.collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(firsts)
