@@ -79,7 +79,8 @@ class _Tree:
         def flush():
             nonlocal linked
             if parts:
-                text = " ".join("".join(parts).split())
+                text = "".join(parts)
+                text = " ".join(text.split())
                 parts.clear()
                 if text:
                     self.blocks.append((stack[-1], text, min(linked, len(text))))
