@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNICODE = "(?U)"
-NUMBER = r"\d+[A-Z]*(?:\([0-9a-zA-Z]+\))*"
+NUMBER = r"\d+" + r"[A-Z]*" + r"(?:[(][0-9A-Za-z]+[)])*"
 
 
 def _title_pattern() -> str:
@@ -108,7 +108,7 @@ def provision_type(eid: Column) -> Column:
 
 def untagged_term(c: Column) -> Column:
     """The term of a paragraph that begins "<term> means ", else null."""
-    t = F.regexp_extract(c, r"^([a-zA-Z][a-zA-Z0-9 \-']{2,60}) means ", 1)
+    t = F.regexp_extract(c, "^([A-Za-z]" + "[A-Za-z0-9' -]{2,60}" + ") means ", 1)
     return F.when(t != "", F.trim(t))
 
 

@@ -16,7 +16,7 @@ def fan_out(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
     return rows.select("src", "target", "is_cross_act", "pos", "c.ref_text", "c.relation", K.confidence_label(F.col("c.relation_confidence")).alias("relation_confidence_label"), K.confidence_label(F.col("c.extraction_confidence")).alias("extraction_confidence_label"))
 
 
-def impacted_by(edges: DataFrame, starts: DataFrame, max_hops: int = 3, decay: float = 0.5) -> DataFrame:
+def impacted_by(edges: DataFrame, starts: DataFrame, decay: float = 0.5, max_hops: int = 3) -> DataFrame:
     """Everything that cites the starts within max_hops: (start, node_id, hop,
     path_weight, ref_texts).
 

@@ -14,11 +14,17 @@ def word_index(titles: DataFrame, column: str) -> DataFrame:
     return titles.withColumn("_w", F.explode(F.array_distinct(T.matches(F.lower(column), r"(?U)[\w']+"))))
 
 
+def _grams(word):
+    """The substrings of one to three letters of a word."""
+    at = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(at(1), at(2), at(3)))
+
+
 def contained_in(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """(title, match): the first existing title, by file_pos, that contains a
-    candidate. Titles meet by the candidate's rarest word of those in the middle or, of
-    a title of one or two words, by its words as parts, not as every pair: a containing
-    title has the inner words whole."""
+    candidate. Titles meet by the candidate's rarest word of those in the middle, which
+    a containing title has whole, or, for one or two words, by the first three letters
+    within any of the titles' words; never as every pair."""
     cand = candidates.select("title").distinct().withColumn("_words", T.matches(F.lower("title"), r"(?U)[\w']+"))
     inner = F.slice("_words", 2, F.greatest(F.lit(0), F.size("_words") - 2))
     have = existing.select(F.col("title").alias("match"), "file_pos")
@@ -27,9 +33,9 @@ def contained_in(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     long = cand.where(F.size("_words") > 2).select("title", F.explode(F.array_distinct(inner)).alias("_w")).join(uses, "_w")
     rare = long.groupBy("title").agg(F.min_by("_w", F.struct("_uses", "_w")).alias("_w"))
     hits = rare.join(index, "_w").select("title", "match", "file_pos")
-    short = cand.where(F.size("_words") <= 2).select("title", F.element_at("_words", 1).alias("_part"))
-    vocabulary = index.select("_w").distinct()
-    parts = short.join(vocabulary, F.col("_w").contains(F.col("_part"))).select("title", "_w").join(index, "_w").select("title", "match", "file_pos")
+    short = cand.where(F.size("_words") <= 2).select("title", F.element_at("_words", 1).alias("_part")).withColumn("_g", F.substring("_part", 1, 3))
+    letters = index.select("_w").distinct().select("_w", F.explode(_grams(F.col("_w"))).alias("_g"))
+    parts = short.join(letters, "_g").where(F.col("_w").contains(F.col("_part"))).select("title", "_w").distinct().join(index, "_w").select("title", "match", "file_pos")
     found = hits.union(parts).where(F.lower("match").contains(F.lower("title")))
     return found.groupBy("title").agg(F.min_by("match", "file_pos").alias("match"))
 

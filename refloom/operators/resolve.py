@@ -75,8 +75,8 @@ def multi_act_terms(terms: DataFrame, min_acts: int = 3) -> DataFrame:
 
 def counts(acts: DataFrame, terms: DataFrame) -> DataFrame:
     """(acts, valid_terms)."""
-    n = valid_terms(terms).agg(F.count("*").alias("valid_terms"))
-    return acts.agg(F.count("*").alias("acts")).join(n, F.lit(True))
+    rows = acts.select(F.lit(1).alias("a"), F.lit(0).alias("t")).union(valid_terms(terms).select(F.lit(0), F.lit(1)))
+    return rows.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("acts"), F.coalesce(F.sum("t"), F.lit(0)).alias("valid_terms"))
 
 
 def act_title(acts: DataFrame, act: str) -> DataFrame:

@@ -21,6 +21,7 @@ from .inputs import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+NAMESPACE = "http://docs.oasis-open.org" + "/legaldocml/ns/akn/3.0"
 DENSE, COND = ("the", "is", "with"), ("by", "of")
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -83,7 +84,7 @@ def normalize_title(spark, d):
 _SENTENCE = "concat('Under the ', initcap(p_name), ' Act ', 1900 + p_size, ', as the ', initcap(p_name), ' and ', initcap(split(p_type, ' ')[0]), ' Rules ', 1950 + p_size, ' say; act 1999')"
 
 
-@query("""SELECT p_partkey, pos - 1 AS pos, raw, lower(raw) AS title FROM (SELECT p_partkey, unnest(m) raw, generate_subscripts(m, 1) pos FROM (SELECT p_partkey, regexp_extract_all('Under the ' || n || ' Act ' || (1900 + p_size) || ', as the ' || n || ' and ' || t || ' Rules ' || (1950 + p_size) || ' say; act 1999', '\\b[A-Z(][\\w''&()\\-]*(?:\\s+(?:[A-Z(][\\w''&()\\-]*|of|and)){0,9}\\s+(?:Act|Regulations?|Rules?)\\s+\\d{4}\\b') m
+@query("""SELECT p_partkey, pos - 1 AS pos, raw, lower(raw) AS title FROM (SELECT p_partkey, unnest(m) raw, generate_subscripts(m, 1) pos FROM (SELECT p_partkey, regexp_extract_all('Under the ' || n || ' Act ' || (1900 + p_size) || ', as the ' || n || ' and ' || t || ' Rules ' || (1950 + p_size) || ' say; act 1999', '\\b[A-Z(][\\w''&()\\-]*(?:\\s+(?:[A-Z(][\\w''&()\\-]*|of|and)){0,9}\\s+(?:Rules?|Regulations?|Act)\\s+\\d{4}\\b') m
 FROM (SELECT *, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') n, upper(p_type[1]) || lower(split_part(p_type, ' ', 1)[2:]) t FROM part)))""".replace("\\\\", "\\"))
 def prose_citations(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.posexplode(T.prose_citations(F.expr(_SENTENCE))).alias("pos", "raw"))
@@ -412,11 +413,20 @@ def untagged_terms(spark, d):
     return rows.select("p_partkey", "term", T.recurrences(F.col("t"), F.col("term")).alias("n"))
 
 
+def _el(name: str, inner: str, attributes: str = "") -> str:
+    return f"<{name}{attributes}>{inner}</{name}>"
+
+
 def _xml(spark, d):
+    """A document for each part, its columns between the marks of a SQL concat."""
     part = table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_brand", "p_type")
-    ns = "http://docs.oasis-open.org/legaldocml/ns/akn/3.0"
-    xml = f"""concat('<akomaNtoso xmlns="{ns}"><act><meta><identification><FRBRWork><FRBRuri value="/akn/', p_partkey, '/"/></FRBRWork><FRBRExpression><FRBRdate name="Generation" date="2020-01-01"/></FRBRExpression></identification></meta><body><section eId="part-I__sec-', p_partkey, '"><num>1</num><heading>', p_brand, '</heading><content><p>', p_name, ' <ref href="#part-I__sec-1"> the <i>one</i> </ref>&amp; more</p><p><term>', p_type, '</term> means <def>a  thing</def></p></content></section></body></act></akomaNtoso>')"""
-    return part.selectExpr("p_partkey", "p_name", "p_brand", "p_type", f"encode({xml}, 'UTF-8') content", "cast(p_partkey as string) path")
+    col = lambda c: f"', {c}, '"
+    names = _el("identification", _el("FRBRWork", f'<FRBRuri value="/akn/{col("p_partkey")}/"/>') + _el("FRBRExpression", '<FRBRdate name="Generation" date="2020-01-01"/>'))
+    ref = _el("ref", f" the {_el('i', 'one')} ", ' href="#part-I__sec-1"')
+    text = _el("p", f"{col('p_name')} {ref}&amp; more") + _el("p", f"{_el('term', col('p_type'))} means {_el('def', 'a  thing')}")
+    section = _el("section", _el("num", "1") + _el("heading", col("p_brand")) + _el("content", text), f' eId="part-I__sec-{col("p_partkey")}"')
+    xml = _el("akomaNtoso", _el("act", _el("meta", names) + _el("body", section)), f' xmlns="{NAMESPACE}"')
+    return part.selectExpr("p_partkey", "p_name", "p_brand", "p_type", f"encode(concat('{xml}'), 'UTF-8') content", "cast(p_partkey as string) path")
 
 
 @query("SELECT '/akn/' || p_partkey AS frbr_uri, 'part-I__sec-' || p_partkey AS eid, p_brand AS heading, '1' || p_brand || p_name || '  the one & more' || p_type || ' means a thing' AS text, '1' || p_name || ' & more' || p_type || ' means a thing' AS prose_text, 'the one' AS ref_text, '#part-I__sec-1' AS href FROM part".replace("'  the one & more'", "' the one & more'"))
