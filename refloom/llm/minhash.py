@@ -236,11 +236,12 @@ def links(nodes: DataFrame, blobs: DataFrame, s: Settings = Settings()) -> tuple
         if turn < s.leaders:
             first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), F.col("node"), F.col("label"))
             lead = rows.groupBy("key").agg(F.min(first).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.label").alias("other_label"))
-        else:
-            lead = rows.selectExpr("key", "node as other", "label as other_label")
-        pairs = rows.join(lead, "key").where("label <> other_label")
-        if turn == s.leaders:
-            pairs = pairs.where("node < other")
+            pairs = rows.join(lead, "key").where("label <> other_label")
+        else:  # members outside their bucket's largest class, with those of other classes
+            sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+            most = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+            few = rows.join(most, "key").where("label <> most")
+            pairs = few.join(rows.selectExpr("key", "node as other", "label as other_label"), "key").where("label <> other_label and (other_label = most or node < other)")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         new = C.written(verify(pairs, blobs, s.threshold))
         if turn and new.isEmpty():

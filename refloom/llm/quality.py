@@ -60,7 +60,7 @@ def suffix_array(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] += 1
         rank = np.empty(n, np.int64)
         rank[order] = new
-        levels.append((width, rank))
+        levels.append((width, rank.astype(np.int32) if n < 1 << 31 else rank))
         if new[-1] == n or width >= n:
             break
         after = np.zeros(n, np.int64)
