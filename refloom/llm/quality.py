@@ -191,4 +191,19 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(C.table(spark, sf_dir, "documents"))
+    return quality_rules(C.table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+#: The query's rows for DuckDB. A substring of 48 bytes or more repeats where a window of
+#: 48 bytes does, and one of over 2000 bytes where a window of 2001 does; windows are cut
+#: from hexadecimal bytes and compared by MD5.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) l, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, '')))::BIGINT n FROM documents),
+g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) > 1 again FROM (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') k FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) p FROM d))),
+gr AS (SELECT doc_id, sum(least(5, coalesce(nxt - p, 5)))::BIGINT covered FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) nxt FROM g WHERE again) GROUP BY 1),
+b AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) > 1 again FROM (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 96)) k FROM (SELECT doc_id, h, unnest(range(n - 47)) p FROM d))),
+br AS (SELECT doc_id, sum(least(48, coalesce(nxt - p, 48)))::BIGINT covered FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) nxt FROM b WHERE again) GROUP BY 1),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, md5(substr(h, 2 * p + 1, 4002)) k FROM (SELECT doc_id, h, unnest(range(n - 2000)) p FROM d SEMI JOIN (SELECT doc_id FROM br WHERE covered > 2000) USING (doc_id))) GROUP BY doc_id, k HAVING count(*) > 1),
+m AS (SELECT d.doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, (len(l) - len(list_distinct(l)))::BIGINT n_dup_lines, coalesce(gr.covered, 0) n_repeat_words, n n_bytes, coalesce(br.covered, 0) repeat_bytes, long.doc_id IS NOT NULL is_long FROM d LEFT JOIN gr USING (doc_id) LEFT JOIN br USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND repeat_bytes <= 0.3 * n_bytes AND NOT is_long AS kept, n_bytes, repeat_bytes FROM m
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality, suffix_dedup
 from .fingerprints import op2_fingerprints
 from .html_text import op8_html_text
 from .licenses import op1_license_scan
@@ -21,6 +22,7 @@ QUERIES = {
     )
 }
 
-#: None of the others has a form that DuckDB evaluates on whole tables; their tests
-#: hold them against brute force, the libraries, exact round trips or held-out rows.
-SQL: dict[str, str] = {}
+#: The others have no form that DuckDB evaluates on whole tables: models, tokenizers,
+#: sketches and bins. Their tests hold them against brute force, the libraries, exact
+#: round trips or held-out rows.
+SQL: dict[str, str] = {"op5_suffix_dedup": suffix_dedup.SQL, "op6_quality_rules": quality.SQL}

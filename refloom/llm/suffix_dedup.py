@@ -371,3 +371,18 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(C.table(spark, sf_dir, "documents"))
+
+
+#: The query's rows for DuckDB, whose strings are cut as hexadecimal bytes. Windows are
+#: compared by MD5.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) k FROM (SELECT doc_id, h, unnest(range(n - 99)) p FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 again FROM w),
+g AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 1 ELSE 0 END jump FROM f WHERE again),
+i AS (SELECT doc_id, p, sum(jump) OVER (PARTITION BY doc_id ORDER BY p) run FROM g),
+s AS (SELECT doc_id, min(p) lo, max(p) + 100 hi FROM i GROUP BY doc_id, run),
+t AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) prev FROM s),
+r AS (SELECT t.doc_id, count(*) spans, sum(hi - lo)::BIGINT gone, string_agg(substr(h, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) kept FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
