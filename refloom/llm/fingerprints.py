@@ -37,8 +37,8 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    k: int = 24
-    s: int = 8
+    k: int = 16
+    s: int = 6
     size: int = 128
     chunk: int = 1 << 19
 
