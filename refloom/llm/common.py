@@ -59,6 +59,17 @@ def doc_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as no column of that name needs."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -272,8 +272,9 @@ def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     one stays; rows with null doc_id, which no class can name, stay once for each text."""
     found = near_duplicates(docs, s)
     none = F.lit(-(1 << 63)).cast("bigint")
-    keep = found.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", none).alias("_id"))
-    return docs.withColumn("_id", F.coalesce("doc_id", none)).join(keep.distinct(), "_id", "left_semi").dropDuplicates(["_id", "text"]).select([F.col(f"`{c}`") for c in docs.columns])
+    (own,) = C.fresh(docs.columns, "_id")
+    keep = found.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", none).alias(own))
+    return docs.withColumn(own, F.coalesce("doc_id", none)).join(keep.distinct(), own, "left_semi").dropDuplicates([own, "text"]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

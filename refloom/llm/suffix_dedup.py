@@ -344,16 +344,15 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     key = C.doc_columns(docs, "doc_id", "text")
     keyed = _keyed(key)
     found = repeated_runs(keyed.select("doc", "tie", "text"), s)
-    lists = _by_document(found).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
-    least = F.lit(-(1 << 63)).cast("bigint")
-    whole = docs.withColumn("_doc", F.coalesce("doc_id", least))
+    key, tie, digest, runs = C.fresh(columns, "_doc", "_tie", "_digest", "_runs")
+    lists = _by_document(found).agg(F.collect_list(F.struct("start", "n")).alias(runs)).withColumnsRenamed({"doc": key, "tie": tie})
+    whole = docs.withColumn(key, F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")))
     if not keyed.where("tie > 0").isEmpty():
-        ties = keyed.select(F.col("doc").alias("_doc"), F.sha2("text", 256).alias("_d"), F.col("tie").alias("_tie")).distinct()
-        whole = whole.withColumn("_d", F.sha2(F.coalesce("text", F.lit("")), 256)).join(ties, ["_doc", "_d"], "left")
+        ties = keyed.select(F.col("doc").alias(key), F.sha2("text", 256).alias(digest), F.col("tie").alias(tie)).distinct()
+        whole = whole.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256)).join(ties, [key, digest], "left")
     else:
-        whole = whole.withColumn("_tie", F.lit(0))
-    lists = lists.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "_runs")
-    joined = whole.join(lists, ["_doc", "_tie"], "left").select(*[F.col(f"`{c}`") for c in columns], F.col("_runs"))
+        whole = whole.withColumn(tie, F.lit(0))
+    joined = whole.join(lists, [key, tie], "left").select(*[F.col(f"`{c}`") for c in columns], F.col(runs))
     at = columns.index("text")
 
     def run(batches):
