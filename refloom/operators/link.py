@@ -43,6 +43,12 @@ def bucket(matched_title: Column) -> Column:
     return F.when(F.length(F.coalesce(matched_title, F.lit(""))) > 0, "untagged").otherwise("tagged")
 
 
+def _spread(key: str) -> Column:
+    """A join key whose nulls, a large share of the rows, don't meet in one task: they
+    get one of many values that nothing has."""
+    return F.coalesce(key, F.concat(F.lit("\x01"), F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(4096)).cast("string")))
+
+
 def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame, terms: DataFrame, normalize_index: bool = False) -> DataFrame:
     """citations with target (null if there is none), norm_title, bucket and status:
     resolved, unresolved, self, dropped (no normal form) by title; linked or missing
@@ -59,12 +65,13 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
     rows = citations.select("*", address.alias("_address"), F.when(address.isNull(), number).alias("_number"), F.when(by_title, norm).alias("norm_title"))
     own = acts.select(F.col("frbr_uri").alias("act_frbr_uri"), T.normalized_title(F.col("title"))["title"].alias("_own")).dropDuplicates(["act_frbr_uri"])
     rows = rows.join(own, "act_frbr_uri", "left")
-    nodes = node_ids(acts, sections, terms).select(F.col("node_id").alias("_address"), F.col("node_id").alias("_a"))
-    rows = rows.join(nodes, "_address", "left")
+    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title")})
+    nodes = node_ids(acts, sections, terms).select(F.col("node_id").alias("_ka"), F.col("node_id").alias("_a"))
+    rows = rows.join(nodes, "_ka", "left")
     numbers = section_index(sections).select("act_frbr_uri", F.col("number").alias("_number"), F.col("target").alias("_b"))
     rows = rows.join(numbers, ["act_frbr_uri", "_number"], "left")
-    titles = title_index(acts, normalize_index).select(F.col("title_key").alias("norm_title"), F.col("target").alias("_c"))
-    rows = rows.join(titles, "norm_title", "left")
+    titles = title_index(acts, normalize_index).select(F.col("title_key").alias("_kt"), F.col("target").alias("_c"))
+    rows = rows.join(titles, "_kt", "left")
     is_self = F.col("norm_title").eqNullSafe(F.col("_own"))
     direct = F.coalesce("_a", "_b")
     status = (
