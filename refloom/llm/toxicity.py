@@ -6,8 +6,8 @@ with digits or signs as letters. The pair term learns what an additive weight ca
 an insult together with the mention of a group.
 
 The model is fitted by AdaGrad on at most `max_docs` labelled rows of each class (a
-documented bound: the lowest hashes of doc_id; fitting is on the driver, with term
-numbers only). Terms of fewer than `min_docs` sampled rows, or whose rates in the two
+documented bound: the lowest hashes of doc_id; one task selects terms, and the driver
+fits on the numbers of those). Terms of fewer than `min_docs` sampled rows, or whose rates in the two
 classes differ by less than `min_z` standard errors, have no weight. Classes are
 drawn evenly and w0 then moved to the rate of all labelled rows. Scoring reads
 every whole text.
@@ -44,6 +44,7 @@ class Settings:
     min_docs: int = 3
     min_z: float = 3.5
     epochs: int = 30
+    steps: int = 2000
     batch: int = 256
     rate: float = 0.1
     decay: float = 1e-4
@@ -96,20 +97,19 @@ class Terms:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, rate: float, s: Settings) -> Model:
-    """rows: each text's terms, in a fixed order; rate: of label 1 in all labels."""
+    """rows: each text's telling terms, in a fixed order; rate: of label 1 in all
+    labels."""
     n = 1 << s.bits
     w, v = np.zeros(n, np.float32), np.zeros((n, s.factors), np.float32)
     y = np.asarray(y, np.float32)
     if not len(y) or y.min() == y.max():
         p = min(max(rate, 0.0), 1.0)
         return Model(float(np.log(p / (1 - p))) if 0 < p < 1 else (50.0 if p == 1 else -50.0), w, v, s.bits)
-    rows, y = _once(rows, y)
-    used = telling(rows, y, n, s)
-    rows = [r[used[r]] for r in rows]
+    used = np.unique(np.concatenate(rows))
     rng = np.random.default_rng(7)
-    v[used] = rng.normal(0, 0.01, (int(used.sum()), s.factors)).astype(np.float32)
+    v[used] = rng.normal(0, 0.01, (len(used), s.factors)).astype(np.float32)
     gw, gv, gb, b = np.full(n, 1e-2, np.float32), np.full((n, s.factors), 1e-2, np.float32), 1e-2, 0.0
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(y)))):  # small samples are gone over more often
         order = rng.permutation(len(y))
         for at in range(0, len(y), s.batch):
             own = [rows[i] for i in order[at : at + s.batch]]
@@ -154,6 +154,15 @@ def _once(rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.n
     return [rows[i] for i in keep], y[keep]
 
 
+def selected(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows without near copies, and of their terms the telling ones."""
+    if not len(y) or y.min() == y.max():
+        return [r[:0] for r in rows], y
+    rows, y = _once(rows, y)
+    used = telling(rows, y, 1 << s.bits, s)
+    return [r[used[r]] for r in rows], y
+
+
 def telling(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings) -> np.ndarray:
     """The terms whose rates in the two classes differ by min_z standard errors."""
     all_ = [np.concatenate([r for r, t in zip(rows, y) if t == c] or [np.zeros(0, int)]) for c in (0, 1)]
@@ -196,9 +205,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings
         terms = Terms(s.bits)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([terms(t).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "y", "terms"])
 
-    # rows with one id may repeat: the lowest hash of terms stands for them, so that the bound holds
-    rows = C.arrow_map(sample, extract, "doc_id bigint, y int, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("y").alias("y")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
+    def choose(batches):
+        """The whole sample in one task: at most 2 * max_docs rows."""
+        got = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3))))
+        terms, y = selected([np.frombuffer(t, np.int32).astype(np.int64) for _, t, _ in got], np.array([y for _, _, y in got], np.float32), s)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(y)), pa.int32()), pa.array(y.astype(np.int32)), pa.array([t.astype(np.int32).tobytes() for t in terms], pa.binary())], names=["at", "y", "terms"])
+
+    # rows with one id may repeat: the lowest terms stand for them, so that the bound holds
+    own = C.arrow_map(sample, extract, "doc_id bigint, y int, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("y").alias("y"))
+    rows = sorted(own.repartition(1).mapInArrow(choose, "at int, y int, terms binary").collect())
     return fit([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows]), rate, s)
 
 
