@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -42,6 +44,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """run, after which its worker, which serves later tasks and stages too, gives
+    memory back that it no longer uses."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], list | pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -51,7 +70,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], list | pa.RecordBatc
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def doc_columns(df: DataFrame, *names: str) -> DataFrame:

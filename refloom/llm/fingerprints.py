@@ -116,7 +116,7 @@ def anchors(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
                 doc, at, x = syncmers(b, off, p)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(at), pa.array(x.astype(np.int64))], names=["doc_id", "place", "anchor"])
 
-    return C.doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, place bigint, anchor bigint")
+    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, place bigint, anchor bigint")
 
 
 def alignment(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[int, int]:
@@ -189,7 +189,7 @@ def fingerprints(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
                     size += len(t)
 
     rows, number = with_next(docs)
-    return rows.select("doc_id", "text", "lead").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", "text", "lead").mapInArrow(C.lean(run), SCHEMA)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
                 found = scanner.batch(b.column(1).slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([[m.__dict__ for m in f] for f in found], kind)], names=["doc_id", "matches"])
 
-    return C.doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, matches array<struct<license string, score double, start bigint, end bigint>>")
+    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, matches array<struct<license string, score double, start bigint, end bigint>>")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def sketches(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                     n = min(CHUNK_DOCS, j - k)
                     yield chunk(b.column(0).slice(k, n), b.column(1).slice(k, n))
 
-    return C.doc_columns(docs, "doc_id", "text").mapInArrow(run, SKETCH)
+    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), SKETCH)
 
 
 def verify(pairs: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +199,7 @@ def verify(pairs: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
 
     x = blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(C.lean(run), "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
 
 
 def components(edges: DataFrame) -> DataFrame:

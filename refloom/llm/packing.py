@@ -112,13 +112,13 @@ def _again(s: Settings, last: bool):
 
 def packed_bins(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """BIN rows, each a sequence; kept in the shared folder."""
-    rows = C.written(C.doc_columns(docs, "doc_id", "text").mapInArrow(_local(s), BIN))
+    rows = C.written(C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(_local(s)), BIN))
     done, rest = rows.where("full"), rows.where("not full")
     n = rest.count()
     while n:
         parts = -(-n // s.fan_in)
         rest = rest.withColumn("_n", F.monotonically_increasing_id()).repartition(parts, "_n").select("fill", *LISTS)
-        rows = C.written(rest.mapInArrow(_again(s, parts == 1), BIN))
+        rows = C.written(rest.mapInArrow(C.lean(_again(s, parts == 1)), BIN))
         left = rows.where("not full").count()
         if left and (left > 0.95 * n):
             return done.union(rows)
@@ -143,7 +143,7 @@ def _laid_out(batches):
 def best_fit_packing(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each piece: where it lies and in which sequence."""
     bins = packed_bins(docs, s).select(F.monotonically_increasing_id().alias("sequence_id"), *LISTS)
-    return bins.mapInArrow(_laid_out, PIECE)
+    return bins.mapInArrow(C.lean(_laid_out), PIECE)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

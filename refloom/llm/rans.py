@@ -221,7 +221,7 @@ def write_files(docs: DataFrame, folder: str, s: Settings = Settings()) -> DataF
         if held:
             yield _save(fs, base, shard, part, ids, held, s)
 
-    return C.written(rows.mapInArrow(run, META))
+    return C.written(rows.mapInArrow(C.lean(run), META))
 
 
 def _save(fs, base: str, shard: int, part: int, ids: list, held: list[bytes], s: Settings) -> pa.RecordBatch:
@@ -261,7 +261,7 @@ def read_files(files: DataFrame, folder: str, digest: bool = False) -> DataFrame
                 if rows:
                     yield _rows(rows, digest)
 
-    return first_df.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
+    return first_df.mapInArrow(C.lean(run), "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
 
 
 def _rows(rows: list[tuple], digest: bool) -> pa.RecordBatch:

@@ -335,7 +335,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                     back = [decoder(g) for g in got]
                     yield pa.RecordBatch.from_arrays([own, n, pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([t == (x or "") for t, x in zip(back, texts)], pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
-    return C.doc_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, " + ("ids array<int>" if ids else "ids_crc32 bigint, decoded_sha256 string, lossless boolean"))
+    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, n_tokens bigint, " + ("ids array<int>" if ids else "ids_crc32 bigint, decoded_sha256 string, lossless boolean"))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -347,7 +347,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else decoder(array("I", x).tobytes()) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return rows.select("doc_id", "ids").mapInArrow(C.lean(run), "doc_id bigint, text string")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

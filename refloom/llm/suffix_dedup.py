@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +109,7 @@ def runs_of(docs: DataFrame, s: Settings) -> DataFrame:
                     at = pa.array(doc + i)
                     yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(name)], names=["doc", "tie", "start", "n", "anchor", "run"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, RUN)
+    return docs.select("doc", "tie", "text").mapInArrow(C.lean(run), RUN)
 
 
 FOUND = "doc bigint, tie int, start int, n int, anchor bigint, hot boolean, open boolean"
@@ -189,20 +190,18 @@ def _extract(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            ids, ties, texts, runs = (batch.column(i) for i in range(4))
-            b, off = K.utf8(texts)
-            raw = b.tobytes()
-            flat = runs.flatten()
-            doc = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
-            start, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            lo = off[doc] + start
-            parts = [raw[i:j] for i, j in zip(lo.tolist(), (lo + n + s.length - 1).tolist())]
-            at = pa.array(doc)
-            for i in range(0, len(parts), 50_000):
-                j = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([ids.take(at[j]), ties.take(at[j]), flat.field(0)[j], flat.field(2)[j], flat.field(3)[j], pa.array(parts[j], pa.binary())], names=["doc", "tie", "start", "anchor", "hot", "bytes"])
-
-    return docs.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(cut, "doc bigint, tie int, start int, anchor bigint, hot boolean, bytes binary")
+            for i, j in K.slices(batch.column(2), CHUNK):
+                ids, ties, texts, runs = (batch.column(k).slice(i, j - i) for k in range(4))
+                b, off = K.utf8(texts)
+                raw, flat = b.tobytes(), runs.flatten()
+                doc = np.repeat(np.arange(j - i), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                start, n, anchor, hot = (pc.struct_field(flat, k) for k in range(4))
+                lo = off[doc] + start.to_numpy(zero_copy_only=False)
+                hi = lo + n.to_numpy(zero_copy_only=False) + s.length - 1
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), start, anchor, hot, pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())], names=["doc", "tie", "start", "anchor", "hot", "bytes"])
+
+    return docs.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(C.lean(cut), "doc bigint, tie int, start int, anchor bigint, hot boolean, bytes binary")
 
 
 WINDOWS = "doc bigint, tie int, start int, n int, w1 bigint, w2 bigint"
@@ -286,11 +285,11 @@ def repeated_runs(docs: DataFrame, s: Settings) -> DataFrame:
         rows = rows.withColumn("hot", F.lit(False))
     salt = F.when(F.col("hot"), F.pmod(F.col("run"), F.lit(s.salts))).otherwise(F.lit(0))
     met = rows.repartition(parts, "anchor", salt).sortWithinPartitions("anchor", "run", "doc", "tie", "start")
-    found = C.written(met.mapInArrow(_stream, FOUND))
+    found = C.written(met.mapInArrow(C.lean(_stream), FOUND))
     whole = found.where("not open").select("doc", "tie", "start", "n")
     bytes_ = _extract(docs, found.where("open"), s)
     deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.lit(s.salts))).otherwise(F.lit(0))
-    windows = bytes_.repartition(parts, "anchor", deal).sortWithinPartitions("hot", "anchor", "doc", "tie", "start").mapInArrow(_merged(s), WINDOWS)
+    windows = bytes_.repartition(parts, "anchor", deal).sortWithinPartitions("hot", "anchor", "doc", "tie", "start").mapInArrow(C.lean(_merged(s)), WINDOWS)
     windows = C.written(windows)
     out = whole.union(windows.where("w1 is null").select("doc", "tie", "start", "n"))
     spread = windows.where("w1 is not null")
@@ -309,32 +308,44 @@ def _cut(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.join(lists, ["doc", "tie"], "left")
 
 
-def removed(n: int, runs: list | None, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal removed runs of a text of n bytes."""
-    if not runs:
+def removed(n: int, start: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal removed runs of a text of n bytes, from repeated
+    windows that start at `start` and the count - 1 places behind it."""
+    if not len(start):
         z = np.zeros(0, np.int64)
         return z, z
-    a = np.array([(r["start"], r["n"]) for r in runs], np.int64)
-    return K.runs(K.union_mask(a[:, 0], a[:, 0] + a[:, 1] + length - 1, n))
+    return K.runs(K.union_mask(start, start + count + length - 1, n))
 
 
-def _keep(text: bytes, runs: list | None, length: int) -> tuple[bytes, int, int]:
-    lo, hi = removed(len(text), runs, length)
+def _keep(text: bytes, start: np.ndarray, count: np.ndarray, length: int) -> tuple[bytes, int, int]:
+    lo, hi = removed(len(text), start, count, length)
     if not len(lo):
         return text, 0, 0
     edges = np.r_[0, np.stack([lo, hi], 1).ravel(), len(text)].tolist()
     return b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2])), int((hi - lo).sum()), len(lo)
 
 
+def _kept(texts: pa.Array, runs: pa.Array, length: int):
+    """(first row, behind the last row, sizes, results of _keep) for a part of the rows
+    at a time, so that neither texts nor runs of a batch are all Python objects."""
+    for i, j in K.slices(texts, CHUNK):
+        own = runs.slice(i, j - i)
+        at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))]
+        flat = own.flatten()
+        start, count = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        b, off = K.utf8(texts.slice(i, j - i))
+        yield i, j, np.diff(off), [_keep(b[off[k] : off[k + 1]].tobytes(), start[at[k] : at[k + 1]], count[at[k] : at[k + 1]], length) for k in range(j - i)]
+
+
 def suffix_dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs."""
 
     def run(batches):
         for b in batches:
-            rows = [(len(t := x.encode()), *_keep(t, r, s.length)) for x, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for i, j, size, rows in _kept(b.column(1), b.column(2), s.length):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _cut(_keyed(docs), s).select("doc_id", "text", "runs").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _cut(_keyed(docs), s).select("doc_id", "text", "runs").mapInArrow(C.lean(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -357,15 +368,16 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [None if x is None else _keep(x.encode(), r, s.length)[0].decode("utf-8", "ignore") for x, r in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist())]
-            cols = [b.column(i) for i in range(len(columns))]
-            cols[at] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                i = columns.index("n_chars")
-                cols[i] = pa.array([None if t is None else len(t) for t in texts], cols[i].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return joined.mapInArrow(run, T.StructType(docs.schema.fields))
+            for i, j, _, rows in _kept(b.column(at), b.column(len(columns)), s.length):
+                cols = [b.column(k).slice(i, j - i) for k in range(len(columns))]
+                texts = [r[0].decode("utf-8", "ignore") if v else None for r, v in zip(rows, cols[at].is_valid().to_pylist())]
+                cols[at] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    k = columns.index("n_chars")
+                    cols[k] = pa.array([None if t is None else len(t) for t in texts], cols[k].type)
+                yield pa.RecordBatch.from_arrays(cols, names=columns)
+
+    return joined.mapInArrow(C.lean(run), T.StructType(docs.schema.fields))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings
 
     # rows with one id may repeat: the lowest terms stand for them, so that the bound holds
     own = C.arrow_map(sample, extract, "doc_id bigint, y int, terms binary").groupBy("doc_id").agg(F.min("terms").alias("terms"), F.max("y").alias("y"))
-    rows = sorted(own.repartition(1).mapInArrow(choose, "at int, y int, terms binary").collect())
+    rows = sorted(own.repartition(1).mapInArrow(C.lean(choose), "at int, y int, terms binary").collect())
     return fit([np.frombuffer(r["terms"], np.int32).astype(np.int64) for r in rows], np.array([r["y"] for r in rows]), rate, s)
 
 
@@ -231,7 +231,7 @@ def toxicity(docs: DataFrame, model: Model, s: Settings = Settings(), folds: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x), pa.array((x >= s.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(C.crc32_text(F.col("doc_id")) % folds == 0, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held).mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held).mapInArrow(C.lean(run), "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
@@ -243,7 +243,7 @@ def keep_clean(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataF
         for b in batches:
             yield b.filter(pa.array(_scores(model, terms, b.column(at)) < s.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
