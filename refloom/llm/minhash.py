@@ -12,16 +12,20 @@ agree in a slot with the probability Jaccard of their shingles,
 which is also what verification computes, exactly but for 32-bit shingle names.
 
 Texts with the same words form one node. Texts agreeing in all rows of a band are
-candidates. A bucket is not expanded into its pairs: each of its members is held
-against one leader, then, where a bucket still has members of several classes,
-against another leader, and then exactly the pairs from different classes that are
-left are tried, as a join that streams. So every candidate pair above the threshold
-ends in one class; pairs within a class that its links already join aren't tried.
+candidates. For the classes a bucket is not expanded into its pairs: each of its
+members is held against one leader, then, where a bucket still has members of several
+classes, against another leader, and then exactly the pairs from different classes
+that are left are tried, as a join that streams. So every candidate pair above the
+threshold ends in one class.
+
+Links are then counted in the classes: every two nodes of a class are compared,
+candidates or not. A large class is dealt in blocks, and each two of its blocks meet
+in a task's memory, which emits sums by node; so no pair is ever a row.
 
 Results for one row of docs each: class_id (the least doc_id that links lead to),
 rep_id (the least doc_id with the same words), n_copies (rows with the same words),
-n_links (other texts with the same words, and texts whose words a verified link
-joins with these). Null text is empty; texts without words are alike if equal. The
+n_links (other texts with the same words, and all texts of the class whose
+similarity to these reaches the threshold). Null text is empty; texts without words are alike if equal. The
 rows of one doc_id are texts of one document. A row with null doc_id has class_id
 null if no other row has its words.
 """
@@ -43,6 +47,9 @@ from . import kernels as K
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 CHUNK, CHUNK_DOCS = 1 << 19, 4000
+BLOCK, BLOCK_NODES, CELLS = 1 << 20, 1024, 1 << 20
+#: Equal similarities differ by less, in whatever order they are summed.
+SLACK = 1e-9
 U64 = np.uint64
 
 
@@ -151,6 +158,60 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(sum(k / np.maximum(wx / i, wy / j).sum() for (i, j), k in zip(ratios, n)))
 
 
+class Block:
+    """Packed shingle lists, none empty, each comparable with all."""
+
+    def __init__(self, blobs: list[bytes]):
+        lists = [unpack(b) for b in blobs]
+        self.len = np.array([len(x) for x, _ in lists])
+        names, self.id = np.unique(np.concatenate([x for x, _ in lists]), return_inverse=True)
+        self.w = np.concatenate([w for _, w in lists])
+        self.off = np.r_[0, np.cumsum(self.len)]
+        for i in np.flatnonzero([len(np.unique(x)) < len(x) for x, _ in lists]).tolist():  # names equal in 32 bits: the first has all
+            at = slice(self.off[i], self.off[i + 1])
+            _, first, inv = np.unique(self.id[at], return_index=True, return_inverse=True)
+            total = np.bincount(inv, self.w[at])
+            self.w[at] = 0
+            self.w[self.off[i] + first] = total
+        if not self.w.all():
+            row = np.repeat(np.arange(len(lists)), self.len)[self.w > 0]
+            self.id, self.w = self.id[self.w > 0], self.w[self.w > 0]
+            self.len = np.bincount(row, minlength=len(lists))
+            self.off = np.r_[0, np.cumsum(self.len)]
+        self.unit = np.logical_and.reduceat(self.w == 1, self.off[:-1])
+        self.weight = np.zeros(len(names))
+
+    def similarities(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Probability Jaccard of list i and each of the lists lo to hi - 1."""
+        a = slice(self.off[i], self.off[i + 1])
+        part = slice(self.off[lo], self.off[hi])
+        self.weight[self.id[a]] = self.w[a]
+        own = self.weight[self.id[part]]
+        self.weight[self.id[a]] = 0
+        both = np.add.reduceat((own > 0).astype(np.int64), self.off[lo:hi] - self.off[lo])
+        sim = both / (self.len[i] + self.len[lo:hi] - both)
+        rest = np.flatnonzero((both > 0) & ~(self.unit[lo:hi] & self.unit[i]))
+        if not len(rest):
+            return sim
+        x, n = np.unique(self.w[a], return_counts=True)
+        step = max(1, CELLS // (len(x) + 1) // len(np.unique(self.w[part])))
+        for k in range(0, len(rest), step):
+            rows = rest[k : k + step]
+            at = np.concatenate([np.arange(self.off[lo + r], self.off[lo + r + 1]) for r in rows.tolist()])
+            y, code = np.unique(self.w[at], return_inverse=True)
+            shape = (len(rows), len(x) + 1, len(y) + 1)
+            xcode = np.where(own[at - part.start] > 0, np.searchsorted(x, own[at - part.start]) + 1, 0)
+            cell = (np.repeat(np.arange(len(rows)), self.len[lo + rows]) * shape[1] + xcode) * shape[2] + code + 1
+            count = np.bincount(cell, minlength=shape[0] * shape[1] * shape[2]).reshape(shape)  # names by their two weights
+            count[:, 1:, 0] = n - count[:, 1:, 1:].sum(2)
+            sim[rows] = 0
+            for p, r in np.argwhere(count[:, 1:, 1:].any(0)).tolist():
+                some = np.flatnonzero(count[:, p + 1, r + 1])
+                most = np.maximum.outer(np.r_[0, x] / x[p], np.r_[0, y] / y[r])
+                sim[rows[some]] += count[some, p + 1, r + 1] / (count[some].reshape(len(some), -1) @ most.ravel())
+        return sim
+
+
 def pack(names: np.ndarray, weights: np.ndarray) -> bytes:
     x = (names >> U64(20)).astype("<u4").tobytes()
     return x if (weights == 1).all() else x + np.minimum(weights, 65535).astype("<u2").tobytes() + b"\x01"
@@ -199,7 +260,7 @@ def verify(pairs: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
 
     x = blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(C.lean(run), "a bigint, b bigint, sim double").where(F.col("sim") >= threshold)
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(C.lean(run), "a bigint, b bigint, sim double").where(F.col("sim") >= threshold - SLACK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,9 +279,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(nodes: DataFrame, blobs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, sim) and classes (node, label) of nodes (node, bands);
-    blobs: (node, shingles)."""
+def classes_of(nodes: DataFrame, blobs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Classes (node, label) of nodes (node, bands) that have links, and the blobs
+    (node, shingles) that may have some."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     member = C.written(keys.join(shared, "key").select("node", "key"))
@@ -248,21 +309,78 @@ def links(nodes: DataFrame, blobs: DataFrame, s: Settings = Settings()) -> tuple
             continue
         found = new if found is None else found.unionByName(new)
         classes = components(found)
-    return found, classes
+    return classes, blobs
+
+
+def linked(classes: DataFrame, blobs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, linked): the texts of all other nodes of a node's class (node, label) that
+    are similar to it. texts: (node, n), their number for each node. Several blobs
+    (node, shingles) of a node count as one that is similar if one of them is."""
+
+    def sums(rows: list[tuple[int, int, int, bytes]], two: bool) -> dict[int, int]:
+        """rows: (block, node, n, shingles) by block and node."""
+        block = Block([r[3] for r in rows])
+        nodes, node = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
+        n = np.zeros(len(nodes), np.int64)
+        n[node] = [r[2] for r in rows]
+        half = sum(r[0] == rows[0][0] for r in rows) if two else 0
+        several = len(nodes) < len(rows)
+        total, seen = np.zeros(len(nodes), np.int64), set()
+        for i in range(half or len(rows) - 1):
+            lo = half or i + 1
+            near = node[lo + np.flatnonzero(block.similarities(i, lo, len(rows)) >= threshold - SLACK)]
+            if several:
+                near = np.array([b for b in np.unique(near).tolist() if b != node[i] and (node[i], b) not in seen], np.int64)
+                seen.update(x for b in near.tolist() for x in ((node[i], b), (b, node[i])))
+            total[node[i]] += n[near].sum()
+            total[near] += n[node[i]]
+        return dict(zip(nodes.tolist(), total.tolist()))
 
+    def run(batches):
+        key, rows = None, []
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, class_id, rep_id, n_copies and n_links of each row of docs."""
+        def done() -> pa.RecordBatch | None:
+            two = key is not None and key[1] != key[2]
+            if len(rows) < 2 or two and rows[0][0] == rows[-1][0]:
+                return None
+            got = sums(rows, two)
+            return pa.RecordBatch.from_arrays([C.int_col(list(got)), C.int_col(list(got.values()))], names=["node", "linked"])
+
+        for t in batches:
+            for label, i, j, *row in zip(*(c.to_pylist() for c in t.columns)):
+                if (label, i, j) != key:
+                    if out := done():
+                        yield out
+                    key, rows = (label, i, j), []
+                rows.append(tuple(row))
+        if out := done():
+            yield out
+
+    rows = classes.join(blobs.distinct(), "node").join(texts, "node")
+    blocks = rows.groupBy("label").agg(F.ceil(F.greatest(F.sum(F.length("shingles")) / BLOCK, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", "shingles")
+    dealt = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "block", "node")
+    return dealt.mapInArrow(C.lean(run), "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
+def grouped(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows' sketches, groups of rows with the same words, and classes_of the groups."""
     rows = C.written(sketches(docs, s))
     groups = C.written(rows.groupBy("words_key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.countDistinct("text_key").alias("n_texts")))
     reps = groups.select(F.col("rep_id").alias("doc_id")).where("doc_id is not null")
     nodes = rows.where(F.size("bands") > 0).select("doc_id", "words_key", "bands").join(reps.distinct(), "doc_id", "left_semi")
     nodes = nodes.dropDuplicates(["doc_id", "words_key"]).select(F.col("doc_id").alias("node"), "bands")
-    found, classes = links(nodes, rows.select(F.col("doc_id").alias("node"), "shingles"), s)
-    texts = groups.groupBy(F.col("rep_id").alias("other")).agg(F.sum("n_texts").alias("n"))
-    ends = found.selectExpr("a as node", "b as other").union(found.selectExpr("b", "a")).distinct()
-    linked = ends.join(texts, "other").groupBy("node").agg(F.sum("n").alias("linked"))
-    info = groups.withColumnRenamed("rep_id", "node").join(classes, "node", "left").join(linked, "node", "left")
+    blobs = rows.where(F.size("bands") > 0).select(F.col("doc_id").alias("node"), "shingles")
+    return rows, groups, *classes_of(nodes, blobs, s)
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, class_id, rep_id, n_copies and n_links of each row of docs."""
+    rows, groups, classes, blobs = grouped(docs, s)
+    texts = groups.where("rep_id is not null").groupBy(F.col("rep_id").alias("node")).agg(F.sum("n_texts").alias("n"))
+    info = groups.withColumnRenamed("rep_id", "node").join(classes, "node", "left").join(linked(classes, blobs, texts, s.threshold), "node", "left")
     info = info.select("words_key", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("rep_id"), "n_copies", (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "words_key").join(info, "words_key").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
 
@@ -270,7 +388,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs with one document of each class: that of its least doc_id. Of equal rows
     one stays; rows with null doc_id, which no class can name, stay once for each text."""
-    found = near_duplicates(docs, s)
+    rows, groups, classes, _ = grouped(docs, s)
+    info = groups.join(classes.withColumnRenamed("node", "rep_id"), "rep_id", "left").select("words_key", F.coalesce("label", "rep_id").alias("class_id"))
+    found = rows.select("doc_id", "words_key").join(info, "words_key")
     none = F.lit(-(1 << 63)).cast("bigint")
     (own,) = C.fresh(docs.columns, "_id")
     keep = found.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", none).alias(own))

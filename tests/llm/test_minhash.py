@@ -82,3 +82,24 @@ def test_classes_against_brute_force(spark):
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == sorted(firsts)
     assert sum(r.doc_id is None for r in out) == 3
     assert M.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_are_all_pairs_of_a_class(spark, monkeypatch):
+    rng = random.Random(7)
+    base, other = text(rng, 60), text(rng, 40) + " a b c d a b c d a b c"
+    rows = [(i, near(rng, base, 1 + i % 5)) for i in range(40)] + [(100 + i, near(rng, other, 1 + i % 4)) for i in range(30)]
+    rows += [(200, text(rng, 50)), (201, rows[3][1].upper()), (300, near(rng, base, 1)), (300, near(rng, other, 1))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    like = {(a, b) for a, x in enumerate(rows) for b, y in enumerate(rows) if exact(x[1], y[1]) >= 0.5}
+    for nodes in (M.BLOCK_NODES, 7):  # 7: a class in several blocks
+        monkeypatch.setattr(M, "BLOCK_NODES", nodes)
+        got = {r.doc_id: r for r in M.near_duplicates(docs).collect()}
+        for a, (i, _) in enumerate(rows[:-2]):  # each text of 300 counts if one of them is similar
+            want = sum((a, b) in like for b in range(len(rows) - 2) if a != b) + 2 * any((a, len(rows) - k) in like for k in (1, 2))
+            assert got[i].n_links == want, (i, nodes)
+        assert max(r.n_links for r in got.values()) > 25
+    unit = [M.shingles(pa.array([t]), 3) for _, t in rows]
+    block = M.Block([M.pack(n, w) for _, n, w, _ in unit])
+    for i in range(0, len(rows), 9):
+        for a, b in zip(block.similarities(i, 0, len(rows)), rows):
+            assert abs(a - exact(rows[i][1], b[1])) < 1e-9
