@@ -86,6 +86,32 @@ Permission is granted to anyone to use this software for any purpose, including
     ("All-Rights-Reserved", "All rights reserved."),
 ]
 
+
+
+def _gnu(kind: str, version: str, thing: str, later: bool) -> str:
+    which = f"as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version." if later else f"version {version} as published by the Free Software Foundation."
+    return f"""This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} {which}
+This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."""
+
+
+_GPL = "General Public License"
+_GNU = [("GPL-1.0", _GPL, "1"), ("GPL-2.0", _GPL, "2"), ("GPL-3.0", _GPL, "3"), ("LGPL-2.0", f"Library {_GPL}", "2"), ("LGPL-2.1", f"Lesser {_GPL}", "2.1"), ("LGPL-3.0", f"Lesser {_GPL}", "3"), ("AGPL-3.0", f"Affero {_GPL}", "3")]
+_CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+_CC_PORTS = [("4.0", " International"), ("4.0", ""), ("3.0", " Unported"), ("3.0", " International"), ("3.0", ""), ("2.5", " Generic"), ("2.5", ""), ("2.0", " Generic"), ("2.0", "")]
+_MORE = [
+    *[(name, _gnu(kind, v, thing, later)) for name, kind, v in _GNU for thing in ("program", "library") for later in (True, False)],
+    *[(name, f"This work is licensed under the GNU {kind}, version {v}.") for name, kind, v in _GNU],
+    *[(f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {long} {v}{port} License.") for k, long in _CC for v, port in _CC_PORTS],
+    *[(f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k, _ in _CC for v in ("4.0", "3.0", "2.5", "2.0")],
+    *[(f"EPL-{v}", f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {how}{v}") for v in ("1.0", "2.0") for how in ("v", "v. ")],
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("Artistic-2.0", "Licensed under the Artistic License 2.0."), ("WTFPL", "Licensed under the Do What The Fuck You Want To Public License, Version 2."),
+]
+_HAVE = {tuple(re.findall(r"[^\W_]+", text.lower())) for _, text in TEMPLATES}
+for _name, _text in _MORE:
+    if (_words := tuple(re.findall(r"[^\W_]+", _text.lower()))) not in _HAVE:
+        _HAVE.add(_words)
+        TEMPLATES.append((_name, _text))
+
 WORD = re.compile(r"[^\W_]+")
 UNIT = re.compile(r"\n|(?<=[.!?:;])\s")
 
@@ -153,6 +179,8 @@ class Scanner:
             if have.isdisjoint(t.key_words):
                 continue
             need, most = self.shared(t.size), t.size * (2 - self.t) / self.t
+            if len(words) - 1 < need - 1e-9:
+                continue
             hit = np.fromiter((g in t.bigrams for g in zip(words, words[1:])), np.int64, len(words) - 1)
             if hit.sum() < need:
                 continue

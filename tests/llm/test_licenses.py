@@ -72,3 +72,14 @@ def test_table(spark):
     got = sorted(((r.doc_id or 0), [(m.license, m.start, m.end) for m in r.matches]) for r in L.scan(docs).collect())
     assert got == [(0, [("MIT", 2, 33)]), (1, []), (2, []), (3, [("All-Rights-Reserved", 0, 20)]), (3, [("All-Rights-Reserved", 0, 20)])]
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_look_alike_versions():
+    scanner = L.Scanner()
+    gnu = "This {2} is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version.\nThis {2} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."
+    gpl = "General Public License"
+    for name, kind, version in [("GPL-2.0", gpl, "2"), ("GPL-3.0", gpl, "3"), ("LGPL-2.1", f"Lesser {gpl}", "2.1"), ("LGPL-3.0", f"Lesser {gpl}", "3"), ("AGPL-3.0", f"Affero {gpl}", "3")]:
+        for thing in ("program", "library", "software"):
+            assert [m.license for m in scanner.scan(gnu.format(kind, version, thing))] == [name]
+    for long, name in [("Attribution 3.0 International", "CC-BY-3.0"), ("Attribution-NoDerivatives 4.0 International", "CC-BY-ND-4.0"), ("Attribution-NonCommercial-ShareAlike 4.0 International", "CC-BY-NC-SA-4.0"), ("Attribution-ShareAlike 3.0 Unported", "CC-BY-SA-3.0")]:
+        assert [m.license for m in scanner.scan(f"This work is licensed under a Creative Commons {long} License.")] == [name]
