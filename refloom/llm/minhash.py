@@ -214,13 +214,15 @@ class Block:
 
 def pack(names: np.ndarray, weights: np.ndarray) -> bytes:
     x = (names >> U64(20)).astype("<u4").tobytes()
-    return x if (weights == 1).all() else x + np.minimum(weights, 65535).astype("<u2").tobytes() + b"\x01"
+    if (weights == 1).all():
+        return x
+    return x + (weights.astype("<u2").tobytes() + b"\x01" if weights.max() < 1 << 16 else weights.astype("<u4").tobytes() + b"\x02")
 
 
 def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(b) % 2:
-        n = (len(b) - 1) // 6
-        return np.frombuffer(b, "<u4", n), np.frombuffer(b, "<u2", n, 4 * n).astype(np.float64)
+        kind, n = ("<u2", (len(b) - 1) // 6) if b[-1] == 1 else ("<u4", (len(b) - 1) // 8)
+        return np.frombuffer(b, "<u4", n), np.frombuffer(b, kind, n, 4 * n).astype(np.float64)
     x = np.frombuffer(b, "<u4")
     return x, np.ones(len(x))
 

@@ -103,3 +103,11 @@ def test_links_are_all_pairs_of_a_class(spark, monkeypatch):
     for i in range(0, len(rows), 9):
         for a, b in zip(block.similarities(i, 0, len(rows)), rows):
             assert abs(a - exact(rows[i][1], b[1])) < 1e-9
+
+
+def test_large_counts_are_kept():
+    names = np.array([1 << 20, 2 << 20], np.uint64)
+    a, b = (M.pack(names, np.array([n, 100_000])) for n in (100_000, 1_000_000))
+    assert M.unpack(b)[1].tolist() == [1_000_000, 100_000]
+    want = 1 / (1 + 1) + 1 / (10 + 1)  # 1 / sum of the largest ratios, for each name
+    assert abs(M.similarity(a, b) - want) < 1e-9 and abs(M.Block([a, b]).similarities(0, 1, 2)[0] - want) < 1e-9
