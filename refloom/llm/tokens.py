@@ -5,8 +5,9 @@ reaches across the start of a space that follows another character. So a text is
 at its spaces, equal words are encoded once, and a text's ids are its words' ids, as
 bytes, joined. Words of letters up to U+024F and ASCII are split here by the file's own
 pattern and merged by the library's model; every other word, and every text with two
-spaces in a row, is encoded by the library as a whole. Ids are those of
-encode(text, add_special_tokens=False) with encode_special_tokens, which tests check.
+spaces in a row or with the mark that begins a special token, is encoded by the library
+as a whole. Ids are those of encode(text, add_special_tokens=False), so the string of a
+special token in a text becomes its id; tests compare with the plain call.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .kernels import slices
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 KNOWN = 700_000
+SPECIAL = "<|"
 SIMPLE = " -~\n¡-¬®-įı-ɏ"
 LOWERED = f"^[{SIMPLE}]*$"
 
@@ -86,7 +88,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(C.tokenizer_path(name, folder))
-        self.tok.encode_special_tokens = True
         self.words = name == WORD_BPE
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+" if self.words else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         # characters on which this pattern and the library's agree and which no normaliser but lower case changes
@@ -103,15 +104,16 @@ class Encoder:
         each begins (n + 1 places); null is empty. Arrow splits the texts and numbers
         their words, so that only distinct words become Python strings."""
         arr = arr.fill_null("") if arr.null_count else arr
+        odd = pc.match_substring(arr, SPECIAL)
+        if not self.words:
+            odd = pc.or_(odd, pc.match_substring(arr, "  "))
         whole: dict[int, bytes] = {}
+        if pc.any(odd).as_py():
+            whole = {i: self._whole(arr[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+            arr = pc.if_else(odd, "", arr)
         if self.words:  # white space is dropped, and splits as a space does
             arr = pc.replace_substring(arr, "\n", " ")
             arr = pc.if_else(pc.match_substring_regex(arr, LOWERED), pc.utf8_lower(arr), arr)
-        else:
-            odd = pc.match_substring(arr, "  ")
-            if pc.any(odd).as_py():
-                whole = {i: self._whole(arr[i].as_py()) for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
-                arr = pc.if_else(odd, "", arr)
         parts = pc.split_pattern(arr, " ")
         numbered = parts.flatten().dictionary_encode()
         codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -122,9 +124,9 @@ class Encoder:
             heads, place = np.unique(codes[off[:-1]], return_inverse=True)
             codes[off[:-1]] = len(ids) + place
             ids += [self.first[words[c]] for c in heads.tolist()]
-            for i, own in whole.items():
-                codes[off[i]] = len(ids)
-                ids.append(own)
+        for i, own in whole.items():
+            codes[off[i]] = len(ids)
+            ids.append(own)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.r_[0, np.cumsum(size)]
         pool = np.frombuffer(b"".join(ids), "<u4")

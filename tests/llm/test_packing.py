@@ -12,12 +12,11 @@ from refloom.llm import packing as P
 from refloom.llm import tokens as K
 from refloom.llm.common import tokenizer_path
 
-ODD = ["  a  b", "a \n b\t\tc", " x", " ", "", "\n\n a", "it's  we'LL'VE", "İstanbul ΣΑΣ ǅ ½ ²", "a b c\x1cd\x85e­", "é ｆｕｌｌ ﬁ <|endoftext|> <|startoftext|>x", "日本語 テスト 123 4567", None, "a " * 5 + " ", "x\r\ny \r z", "'s's 'S", "end., .,a ,", "é ́x"]
+ODD = ["  a  b", "a \n b\t\tc", " x", " ", "", "\n\n a", "it's  we'LL'VE", "İstanbul ΣΑΣ ǅ ½ ²", "a b c\x1cd\x85e­", "é ｆｕｌｌ ﬁ <|endoftext|> <|startoftext|>x", "hello <|endoftext|> world", "a<|endoftext|>  <|ENDOFTEXT|>b <| x |> <|endoftext", "<|endoftext|>", "日本語 テスト 123 4567", None, "a " * 5 + " ", "x\r\ny \r z", "'s's 'S", "end., .,a ,", "é ́x"]
 
 
 def by_library(name, texts):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -32,7 +31,7 @@ def test_ids_of_any_text(name):
     encoder = K.Encoder(name)
 
     @settings(max_examples=200, deadline=None)
-    @given(st.lists(st.one_of(st.text(max_size=30), st.text(alphabet="aB .,'s\n\té5İßſ", max_size=30)), max_size=4))
+    @given(st.lists(st.one_of(st.text(max_size=30), st.text(alphabet="aB .,'s\n\té5İßſ", max_size=30), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "a", "B\n"]), max_size=6).map("".join)), max_size=4))
     def check(texts):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.batch(texts)] == by_library(name, texts)
 
