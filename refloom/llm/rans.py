@@ -5,13 +5,17 @@ files of one range of ids each. A file has one frequency table, counted over all
 tokens and scaled to 2^20, which its blocks share. A block holds up to 2^19 tokens in
 2048 interleaved 64-bit states that give off 32-bit words, and needs nothing but the
 table to be decoded. Its checkpoint tells where it lies, its first token and document,
-and the CRC-32 of its bytes, so that blocks can be read and checked in parallel.
+and the CRC-32 of its bytes, so that blocks can be read and checked in parallel: a task
+takes a run of blocks and decodes the documents that begin in them, the last of which
+may need the beginning of later blocks.
 
     magic "RFRANS01", u32 length and u32 CRC of the head, head (zlib of: arrays named
     below, each with type and length), blocks
 
 Null text is empty; every document has at least its end token. Rows of one doc_id
-are documents of their own. An empty table gives no file and no rows.
+are documents of their own, equal ones too. A text longer than a block lies in several
+and is decoded by the task of the block it begins in. An empty table gives no file and
+no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,6 +48,7 @@ class Settings:
     lanes: int = 2048
     block: int = 1 << 19
     file_tokens: int = 1 << 22
+    blocks: int = 4  # of a reading task's run
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -95,11 +100,15 @@ def encode_block(codes: np.ndarray, t: Table, lanes: int) -> bytes:
     return struct.pack("<II", n, len(body)) + x.astype("<u8").tobytes() + body.astype("<u4").tobytes()
 
 
-def decode_block(data: bytes, t: Table, slots: np.ndarray, lanes: int) -> np.ndarray:
+def decode_block(data: bytes, t: Table, slots: np.ndarray, lanes: int, limit: int | None = None) -> np.ndarray:
+    """The ids of a block, or its first ones: at least `limit`, if it has so many."""
     n, m = struct.unpack_from("<II", data)
     x = np.frombuffer(data, "<u8", lanes, 8).astype(np.uint64)
     words = np.frombuffer(data, "<u4", m, 8 + 8 * lanes).astype(np.uint64)
     out = np.empty(n, np.uint32)
+    if limit is not None and limit < n:
+        n = min(n, -(-limit // lanes) * lanes)
+        out = out[:n]
     mask, at = np.uint64((1 << SCALE) - 1), 0
     for i in range(0, n, lanes):
         k = min(lanes, n - i)
@@ -167,27 +176,40 @@ class Reader:
         self.table = Table(self.head["symbols"], self.head["freqs"])
         self.slots, self.lanes = self.table.slots(), int(self.head["lanes"][0])
 
-    def block(self, i: int) -> np.ndarray:
+    def block(self, i: int, limit: int | None = None) -> np.ndarray:
         data = self.file.read_at(int(self.head["block_size"][i]), self.base + int(self.head["block_at"][i]))
         if zlib.crc32(data) != self.head["block_crc"][i]:
             raise ValueError(f"{self.path}: block {i} is damaged")
-        return decode_block(data, self.table, self.slots, self.lanes)
-
-    def documents(self):
-        """(doc_id, first token in the file, ids as bytes) of each document; holds one
-        block and one document."""
-        have, at, i = b"", 0, 0
-        for d, none, n in zip(self.head["doc_id"].tolist(), self.head["no_id"].tolist(), self.head["n_tokens"].tolist()):
-            parts = [have]
-            size = len(have)
-            while size < 4 * n:
-                parts.append(self.block(i).tobytes())
-                size += len(parts[-1])
+        return decode_block(data, self.table, self.slots, self.lanes, limit)
+
+    def documents(self, lo: int = 0, hi: int | None = None):
+        """(doc_id, first token in the file, ids as bytes) of each document that begins
+        in the blocks lo to hi - 1 (None: the last); holds one block and one document."""
+        head = self.head
+        starts = np.r_[0, np.cumsum(head["n_tokens"])]
+        edges = np.r_[head["block_token"], starts[-1]].astype(np.int64)
+        end = len(edges) - 1 if hi is None else min(hi, len(edges) - 1)
+        d0 = int(head["block_doc"][lo])
+        d0 += int(starts[d0] < edges[lo])  # one that began in an earlier block
+        d1 = int(np.searchsorted(starts[:-1], edges[end]))
+        if d0 >= d1:
+            return
+        i, last = int(np.searchsorted(edges, starts[d0], side="right")) - 1, int(starts[d1])
+
+        def taken() -> bytes:
+            return self.block(i, None if edges[i + 1] <= last else last - int(edges[i])).tobytes()
+
+        have = memoryview(taken())[4 * int(starts[d0] - edges[i]) :]
+        for d in range(d0, d1):
+            n = 4 * int(starts[d + 1] - starts[d])
+            parts, size = [have], len(have)
+            while size < n:
                 i += 1
-            have = b"".join(parts) if len(parts) > 1 else have
-            yield None if none else d, at, have[: 4 * n]
-            have = have[4 * n :] if len(have) < 1 << 14 else memoryview(have)[4 * n :]
-            at += n
+                parts.append(taken())
+                size += len(parts[-1])
+            have = memoryview(b"".join(parts)) if len(parts) > 1 else have
+            yield None if head["no_id"][d] else int(head["doc_id"][d]), int(starts[d]), have[:n]
+            have = have[n:]
 
 
 META = "shard int, part int, path string, n_docs bigint, n_tokens bigint"
@@ -233,26 +255,37 @@ def _save(fs, base: str, shard: int, part: int, ids: list, held: list[bytes], s:
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([path]), pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, held)) // 4], pa.int64())], names=["shard", "part", "path", "n_docs", "n_tokens"])
 
 
-def read_files(files: DataFrame, folder: str, digest: bool = False) -> DataFrame:
-    """Documents of the listed files (META): doc_id, start (ids of all documents
-    before it), n_tokens, and ids (array<int>) or, for digest, their CRC-32."""
+def runs_of_blocks(files: DataFrame, s: Settings) -> DataFrame:
+    """(path, first, lo): each run of s.blocks blocks of the listed files, and the number
+    of ids before the file. Ids are summed by shard, of which there are no more than
+    partitions; only these totals reach the driver."""
     spark = files.sparkSession
-    listed = files.orderBy("shard", "part").collect()  # one row a file
-    first, at = [], 0
-    for r in listed:
-        first.append((r["path"], at))
-        at += r["n_tokens"]
-    if not first:
-        first_df = spark.createDataFrame([], "path string, first bigint")
-    else:
-        first_df = spark.createDataFrame(first, "path string, first bigint").repartition(len(first), "first")
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
+    before, at = [], 0
+    for r in totals:
+        before.append((r["shard"], at))
+        at += r["n"]
+    shards = spark.createDataFrame(before, "shard int, _before bigint")
+    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = files.withColumn("_in", F.coalesce(within, F.lit(0))).join(F.broadcast(shards), "shard")
+    each = F.explode(F.sequence(F.lit(0), F.expr(f"cast((n_tokens - 1) div {s.block} as int)"), F.lit(s.blocks)))
+    return placed.select("path", (F.col("_before") + F.col("_in")).alias("first"), each.alias("lo"))
+
+
+def read_files(files: DataFrame, folder: str, digest: bool = False, s: Settings = Settings()) -> DataFrame:
+    """Documents of the listed files (META): doc_id, start (ids of all documents
+    before it), n_tokens, and ids (array<int>) or, for digest, their CRC-32. s: as the
+    files were written."""
 
     def run(batches):
         fs, _ = C.filesystem(folder)
+        reader = None
         for b in batches:
-            for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, base, lo in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if reader is None or reader.path != path:
+                    reader = Reader(fs, path)
                 rows, size = [], 0
-                for d, start, ids in Reader(fs, path).documents():
+                for d, start, ids in reader.documents(lo, lo + s.blocks):
                     rows.append((d, base + start, len(ids) // 4, zlib.crc32(ids) if digest else np.frombuffer(ids, "<u4").astype(np.int32)))
                     size += 1 if digest else len(ids)
                     if len(rows) >= 10_000 or size >= 1 << 24:
@@ -261,7 +294,8 @@ def read_files(files: DataFrame, folder: str, digest: bool = False) -> DataFrame
                 if rows:
                     yield _rows(rows, digest)
 
-    return first_df.mapInArrow(C.lean(run), "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
+    runs = runs_of_blocks(files, s).repartition(C.partitions(files.sparkSession), "path", "lo").sortWithinPartitions("path", "lo")
+    return runs.mapInArrow(C.lean(run), "doc_id bigint, start bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids array<int>"))
 
 
 def _rows(rows: list[tuple], digest: bool) -> pa.RecordBatch:

@@ -25,6 +25,10 @@ def test_round_trip(tmp_path_factory, docs, lanes, block):
     i = len(r.head["block_at"]) - 1  # the last block alone
     at = int(r.head["block_token"][i])
     assert (r.block(i) == whole[at:]).all()
+    assert (r.block(0, lanes)[:lanes] == whole[: min(lanes, block)]).all()
+    for step in (1, 2, 3):  # blocks as tasks: each document once, from the run of blocks it begins in
+        parts = [[bytes(b) for _, _, b in r.documents(lo, lo + step)] for lo in range(0, i + 1, step)]
+        assert sum(parts, []) == ids
 
 
 def test_close_to_entropy_and_damage(tmp_path):
@@ -55,10 +59,10 @@ def test_table(spark):
     rows = [(rng.randint(-(10**6), 10**6), " ".join(rng.choice(["the", "cat", "Zürich", "x1"]) for _ in range(rng.randint(0, 90))), 7) for _ in range(300)]
     rows += [(900, None, 7), (901, "", 7), (902, "long " * 20000, 7), (None, "no id", 7), rows[5], rows[5], (rows[6][0], "other", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, start int").repartition(5)
-    for s in (R.Settings(), R.Settings(file_tokens=500, lanes=8, block=64)):
+    for s in (R.Settings(), R.Settings(file_tokens=500, lanes=8, block=64), R.Settings(file_tokens=5000, lanes=8, block=64, blocks=1)):
         folder = R.C.shared_dir(spark)
         files = R.write_files(docs, folder, s)
-        got = [tuple(r) for r in R.read_files(files, folder, digest=True).collect()]
+        got = [tuple(r) for r in R.read_files(files, folder, digest=True, s=s).collect()]
         want, at = [], 0
         order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
         for (d, _, _), ids in zip(order, K.Encoder(K.BYTE_BPE).batch([r[1] for r in order])):
@@ -67,7 +71,7 @@ def test_table(spark):
             at += len(ids) // 4
         key = lambda r: r[1]
         assert sorted(got, key=key) == want
-        ids = R.read_files(files, folder).collect()
+        ids = R.read_files(files, folder, s=s).collect()
         assert sorted((r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in ids) == [(r[1], r[3]) for r in want]
     folder = R.C.shared_dir(spark)
     assert R.read_files(R.write_files(docs.limit(0), folder), folder).count() == 0
