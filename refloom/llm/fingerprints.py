@@ -3,23 +3,32 @@
 A k-mer of k UTF-8 bytes is a closed syncmer if, of its s-byte substrings, the one of
 least hash is its first or its last (any of them, if several tie). Whether it is one
 depends on its own bytes alone, so an edit leaves the anchors elsewhere as they were
-and the same passage has the same anchors at the same distances in any document.
+and the same passage has the same anchors at the same distances in any document. Two
+successive ones are at most k - s + 1 bytes apart.
 
-`anchors` lists them with their places, `alignment` matches two lists by place, and a
-fingerprint is the `size` lowest of a text's distinct anchor hashes as eight hex
-digits each. The likeness of two fingerprints is the share of common ones among the
-lowest `size` of both together, which estimates the Jaccard coefficient of the texts'
-anchors (exactly, if both have fewer).
+A fingerprint holds every anchor of a text, in order: the distance from the one before
+(a byte) and 24 bits of its hash, in base64. Likeness matches two of them by place:
+
+* an anchor that occurs once in each text fixes a shift between their places;
+* an anchor that repeats takes the shift of the nearest such one before it (else behind
+  it, else none) and matches if the other text has it there;
+* a match counts if a neighbour in the first text matches with the same shift, or if it
+  has no neighbour.
+
+The likeness is the number of matches, by that of the anchors of both texts less the
+matches. `anchors` lists anchors as rows, `alignment` gives the shifts of two lists.
 
 Null text is empty; an empty text's fingerprint is empty, like itself alone (1.0) and
 nothing else. A text without a syncmer, shorter than k for one, has one anchor: the
-hash of the whole text. Equal texts have equal fingerprints. The next document is the
-one with the next lower doc_id (null is the lowest; rows of one doc_id by text); after
-the last comes the first, so the only row of a table is its own next.
+hash of the whole text. Equal texts have equal fingerprints, and likeness 1.0. Very long
+texts are taken whole, with a batch of their own. The next document is the one with the
+next lower doc_id (null is the lowest; rows of one doc_id by text); after the last comes
+the first, so the only row of a table is its own next. An empty table gives none.
 """
 
 from __future__ import annotations
 
+import binascii
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,14 +46,13 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    k: int = 16
-    s: int = 6
-    size: int = 128
+    k: int = 24
+    s: int = 8
     chunk: int = 1 << 19
 
 
 def syncmers(b: np.ndarray, off: np.ndarray, p: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, place and 32-bit hash of each anchor, by document and place."""
+    """Document, place and 24-bit hash of each anchor, by document and place."""
     n, gap = len(off) - 1, p.k - p.s
     h = K.window_hash(b, p.s)
     least, w = h, 1
@@ -71,39 +79,92 @@ def syncmers(b: np.ndarray, off: np.ndarray, p: Settings) -> tuple[np.ndarray, n
         doc, at, x = np.r_[doc, none], np.r_[at, off[none]], np.r_[x, whole]
         by = np.argsort(doc, kind="stable")
         doc, at, x = doc[by], at[by], x[by]
-    return doc, at - off[doc], (x >> U64(32)).astype(np.uint32)
-
-
-def sketches(texts: list[bytes], p: Settings) -> list[np.ndarray]:
-    """The lowest distinct anchor hashes of each text, ascending."""
-    off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
-    doc, _, x = syncmers(np.frombuffer(b"".join(texts), np.uint8), off, p)
-    key = np.unique((doc.astype(U64) << U64(32)) | x)
-    doc = (key >> U64(32)).astype(np.int64)
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    low = key.astype(np.uint32)
-    return [low[i : min(j, i + p.size)] for i, j in zip(cut[:-1], cut[1:])]
+    return doc, at - off[doc], (x >> U64(40)).astype(np.int64)
 
 
-def to_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+Anchors = tuple[np.ndarray, np.ndarray, np.ndarray]  # document, place, hash; by document and place
 
 
-def of_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
-
-
-def likeness(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a, b]))
-    same = both[1:][both[1:] == both[:-1]]
-    n = len(both) - len(same)
-    if n > size and (len(a) >= size or len(b) >= size):
-        kept = np.r_[True, both[1:] != both[:-1]]
-        limit = both[kept][size - 1]
-        return float((same <= limit).sum() / size)
-    return float(len(same) / n)
+def of_texts(texts: list[bytes], p: Settings) -> Anchors:
+    off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    return syncmers(np.frombuffer(b"".join(texts), np.uint8), off, p)
+
+
+def to_text(a: Anchors, n: int) -> list[str]:
+    """Fingerprints of documents 0 to n - 1."""
+    doc, at, x = a
+    same = np.r_[False, doc[1:] == doc[:-1]]
+    gap = at - np.where(same, np.r_[0, at[:-1]], 0)
+    raw = np.stack([gap, x >> 16, x >> 8, x], 1).astype(np.uint8).tobytes()
+    cut = (4 * np.searchsorted(doc, np.arange(n + 1))).tolist()
+    return [binascii.b2a_base64(raw[i:j], newline=False).decode() for i, j in zip(cut, cut[1:])]
+
+
+def of_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes."""
+    raw = np.frombuffer(binascii.a2b_base64(fingerprint), np.uint8).reshape(-1, 4).astype(np.int64)
+    return np.cumsum(raw[:, 0]), (raw[:, 1] << 16) | (raw[:, 2] << 8) | raw[:, 3]
+
+
+def _single(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur once, ascending, and where."""
+    by = np.argsort(key, kind="stable")
+    s = key[by]
+    other = np.r_[True, s[1:] != s[:-1], True]
+    one = other[1:] & other[:-1]
+    return s[one], by[one]
+
+
+def matches(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors of a match which of b: of document i in a with document i in b."""
+    (da, pa_, xa), (db, pb, xb) = a, b
+    none = np.zeros(0, np.int64)
+    if not len(da) or not len(db):
+        return none, none
+    ka, ia = _single((da << 24) | xa)
+    kb, ib = _single((db << 24) | xb)
+    _, u, v = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    mate = np.full(len(da), -1)
+    mate[ia[u]] = ib[v]
+    fixed = mate >= 0
+    n = np.arange(len(da))
+    left = np.maximum.accumulate(np.where(fixed, n, -1))
+    right = np.minimum.accumulate(np.where(fixed, n, len(da))[::-1])[::-1]
+    shift = np.zeros(len(da), np.int64)
+    for near, ok in ((right, right < len(da)), (left, left >= 0)):  # the left one goes first
+        ok = ok & (da[np.where(ok, near, 0)] == da)
+        shift[ok] = (pb[mate[near[ok]]] - pa_[near[ok]])
+    rest = np.flatnonzero(~fixed)
+    place = (db << 40) + pb
+    want = (da[rest] << 40) + pa_[rest] + shift[rest]
+    hit = np.minimum(np.searchsorted(place, want), len(db) - 1)
+    ok = (place[hit] == want) & (xb[hit] == xa[rest]) & (pa_[rest] + shift[rest] >= 0)
+    rest, hit = rest[ok], hit[ok]
+    _, first = np.unique(hit, return_index=True)  # shifts that differ may lead to one place
+    mate[rest[first]] = hit[first]
+    on = mate >= 0
+    shift = np.where(on, pb[mate] - pa_, 0)
+    pair = (da[1:] == da[:-1]) & on[1:] & on[:-1] & (shift[1:] == shift[:-1])
+    alone = np.r_[True, da[1:] != da[:-1]] & np.r_[da[1:] != da[:-1], True]
+    counts = np.flatnonzero(on & (np.r_[False, pair] | np.r_[pair, False] | alone))
+    return counts, mate[counts]
+
+
+def likenesses(a: Anchors, b: Anchors, n: int) -> np.ndarray:
+    """Likeness of document i of a to document i of b, for i below n."""
+    both = np.bincount(a[0][matches(a, b)[0]], minlength=n)
+    total = np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n)
+    return np.where(total > 0, both / np.maximum(total - both, 1), 1.0)
+
+
+def _lists(fingerprint: str) -> Anchors:
+    at, x = of_text(fingerprint)
+    return np.zeros(len(at), np.int64), at, x
+
+
+def likeness(a: str, b: str) -> float:
+    """Likeness of two fingerprints."""
+    return float(likenesses(_lists(a), _lists(b), 1)[0])
 
 
 def anchors(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
@@ -114,28 +175,18 @@ def anchors(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
             for i, j in K.slices(batch.column(1), p.chunk):
                 b, off = K.utf8(batch.column(1).slice(i, j - i))
                 doc, at, x = syncmers(b, off, p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(at), pa.array(x.astype(np.int64))], names=["doc_id", "place", "anchor"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + i)), pa.array(at), pa.array(x)], names=["doc_id", "place", "anchor"])
 
     return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, place bigint, anchor bigint")
 
 
-def alignment(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[int, int]:
-    """The shift of places (b's less a's) that most common anchors of two (place,
-    hash) lists share, the lower of several, and their number. Anchors that occur
-    several times in a list stand for nothing."""
-
-    def once(rows):
-        seen: dict[int, int | None] = {}
-        for place, x in rows:
-            seen[x] = None if x in seen else place
-        return {x: place for x, place in seen.items() if place is not None}
-
-    x, y = once(a), once(b)
-    shifts = np.array(sorted(y[h] - x[h] for h in x.keys() & y.keys()))
-    if not len(shifts):
-        return 0, 0
-    values, n = np.unique(shifts, return_counts=True)
-    return int(values[n.argmax()]), int(n.max())
+def alignment(a: str, b: str) -> dict[int, int]:
+    """The shifts of places (b's less a's) of the matches of two fingerprints, and the
+    number of matches of each."""
+    x, y = _lists(a), _lists(b)
+    i, j = matches(x, y)
+    shifts, n = np.unique(y[1][j] - x[1][i], return_counts=True)
+    return dict(zip(shifts.tolist(), n.tolist()))
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -166,12 +217,15 @@ def fingerprints(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
     def results(rows: list[tuple], following: str) -> pa.RecordBatch:
         texts = [t for _, t in rows] + [following]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:])]
-        raw = [t.encode() for t in edited]
-        own, new = sketches([t.encode() for t in texts], p), sketches(raw, p)
+        raw, n = [t.encode() for t in edited], len(rows)
+        own, new = of_texts([t.encode() for t in texts], p), of_texts(raw, p)
+        behind = tuple(c[own[0] > 0] for c in own)
+        behind = (behind[0] - 1, *behind[1:])
+        first = tuple(c[own[0] < n] for c in own)
         return pa.RecordBatch.from_arrays([
             pa.array([d for d, _ in rows], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
-            pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), pa.array([to_text(x) for x in own[:-1]], pa.string()), pa.array([to_text(x) for x in new], pa.string()),
-            pa.array([likeness(x, y, p.size) for x, y in zip(own, new)], pa.float64()), pa.array([likeness(x, y, p.size) for x, y in zip(own, own[1:])], pa.float64()),
+            pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()), pa.array(to_text(own, n), pa.string()), pa.array(to_text(new, n), pa.string()),
+            pa.array(likenesses(first, new, n)), pa.array(likenesses(first, behind, n)),
         ], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
