@@ -14,9 +14,13 @@ which is also what verification computes, exactly but for 32-bit shingle names.
 Texts with the same words form one node. Texts agreeing in all rows of a band are
 candidates. For the classes a bucket is not expanded into its pairs: each of its
 members is held against one leader, then, where a bucket still has members of several
-classes, against another leader, and then exactly the pairs from different classes
-that are left are tried, as a join that streams. So every candidate pair above the
-threshold ends in one class.
+classes, against another leader. What is then left of a bucket is dealt in blocks, and
+each two of its blocks meet in a task's memory, which compares members of different
+classes, joins classes as it goes and emits only the pairs that joined two. So every
+candidate pair above the threshold ends in one class, and no task holds a bucket.
+
+A pair of similarity j agrees in a band with probability j^rows and is a candidate with
+probability 1 - (1 - j^rows)^bands: 0.986 at the threshold of 0.5, 0.997 at 0.55.
 
 Links are then counted in the classes: every two nodes of a class are compared,
 candidates or not. A large class is dealt in blocks, and each two of its blocks meet
@@ -25,9 +29,12 @@ in a task's memory, which emits sums by node; so no pair is ever a row.
 Results for one row of docs each: class_id (the least doc_id that links lead to),
 rep_id (the least doc_id with the same words), n_copies (rows with the same words),
 n_links (other texts with the same words, and all texts of the class whose
-similarity to these reaches the threshold). Null text is empty; texts without words are alike if equal. The
-rows of one doc_id are texts of one document. A row with null doc_id has class_id
-null if no other row has its words.
+similarity to these reaches the threshold). Null text is empty; texts without words are
+alike if equal. Repeated rows are copies. The rows of one doc_id are texts of one
+document. Rows with null doc_id are linked like others, each words' sequence as a node of
+its own; their class_id is null if their class has no doc_id, and rep_id if no row with
+the same words has one. Very long texts are shingled whole, as a batch of their own. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +54,7 @@ from . import kernels as K
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 CHUNK, CHUNK_DOCS = 1 << 19, 4000
+HOT = 10_000
 BLOCK, BLOCK_NODES, CELLS = 1 << 20, 1024, 1 << 20
 #: Equal similarities differ by less, in whatever order they are summed.
 SLACK = 1e-9
@@ -57,7 +65,7 @@ U64 = np.uint64
 class Settings:
     width: int = 3
     bands: int = 32
-    rows: int = 4
+    rows: int = 3
     threshold: float = 0.5
     leaders: int = 2
 
@@ -236,7 +244,7 @@ def sketches(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         doc, names, weights, seq = shingles(arr, s.width)
         keys = band_keys(signatures(doc, names, weights, n, s.bands * s.rows), s.bands, s.rows)
         off = np.searchsorted(doc, np.arange(n + 1))
-        raw = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in arr.to_pylist()]
+        raw = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).digest()[:16] for t in arr.to_pylist()]
         words = [raw[i] if not seq[i, 0] else seq[i].tobytes() + b"w" for i in range(n)]
         flat = [keys[i].tolist() if off[i + 1] > off[i] else [] for i in range(n)]
         blobs = [pack(names[off[i] : off[i + 1]], weights[off[i] : off[i + 1]]) for i in range(n)]
@@ -253,16 +261,89 @@ def sketches(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def verify(pairs: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose similarity reaches the threshold."""
+    """The pairs (a, b) of nodes whose similarity reaches the threshold. A node b of
+    many pairs, the leader of a large bucket, is dealt to a task for every HOT of them;
+    a node a has no more pairs than bands."""
 
     def run(batches):
         for t in batches:
             sim = np.array([similarity(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())], np.float64)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(sim)], names=["a", "b", "sim"])
 
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    salted = lambda df: df.join(hot, "b", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     x = blobs.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(C.lean(run), "a bigint, b bigint, sim double").where(F.col("sim") >= threshold - SLACK)
+    y = salted(blobs.select(F.col("node").alias("b"), F.col("shingles").alias("y"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = salted(pairs).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    both = dealt.join(y.drop("parts"), ["b", "part"]).join(x, "a").select("a", "b", "x", "y")
+    return both.mapInArrow(C.lean(run), "a bigint, b bigint, sim double").where(F.col("sim") >= threshold - SLACK).select("a", "b")
+
+
+def blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
+    """rows (group, node, shingles, more) once for each pair (i, j) of blocks of their
+    group that they belong to, by task and sorted by group, i, j, block and node. A block
+    has about BLOCK_NODES nodes and BLOCK bytes; a group of one row is left out."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.greatest(F.sum(F.length("shingles")) / BLOCK, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"), F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(sizes.drop("_n"), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(group, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", *more, "shingles")
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "block", "node")
+
+
+def by_block(batches, solve):
+    """What solve(rows, two) yields for the rows of each pair of blocks; two: whether
+    they are two blocks, of which only pairs between them are wanted."""
+    key, rows = None, []
+
+    def done():
+        two = key is not None and key[1] != key[2]
+        if len(rows) < 2 or two and rows[0][0] == rows[-1][0]:
+            return None
+        return solve(rows, two)
+
+    for t in batches:
+        for group, i, j, *row in zip(*(c.to_pylist() for c in t.columns)):
+            if (group, i, j) != key:
+                if (out := done()) is not None:
+                    yield out
+                key, rows = (group, i, j), []
+            rows.append(tuple(row))
+    if (out := done()) is not None:
+        yield out
+
+
+def joined(rows: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of similar nodes that join the classes of each bucket's members, rows
+    (node, key, label), as far as their similarity does."""
+
+    def solve(own: list[tuple], two: bool) -> pa.RecordBatch:
+        """own: (block, node, label, shingles) by block and node."""
+        block, node, label = Block([r[3] for r in own]), [r[1] for r in own], [r[2] for r in own]
+        parent = {x: x for x in label}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        half = sum(r[0] == own[0][0] for r in own) if two else 0
+        a, b = [], []
+        for i in range(half or len(own) - 1):
+            lo = half or i + 1
+            if all(root(x) == root(label[i]) for x in set(label[lo:])):
+                continue
+            for j in (lo + np.flatnonzero(block.similarities(i, lo, len(own)) >= threshold - SLACK)).tolist():
+                x, y = root(label[i]), root(label[j])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.RecordBatch.from_arrays([C.int_col(a), C.int_col(b)], names=["a", "b"])
+
+    def run(batches):
+        yield from by_block(batches, solve)
+
+    return blocks(rows.join(blobs, "node"), "key", "label").mapInArrow(C.lean(run), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -298,15 +379,11 @@ def classes_of(nodes: DataFrame, blobs: DataFrame, s: Settings = Settings()) ->
             rows = rows.join(mixed, "key")
         if turn < s.leaders:
             first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), F.col("node"), F.col("label"))
-            lead = rows.groupBy("key").agg(F.min(first).alias("l")).select("key", F.col("l.node").alias("other"), F.col("l.label").alias("other_label"))
-            pairs = rows.join(lead, "key").where("label <> other_label")
-        else:  # members outside their bucket's largest class, with those of other classes
-            sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-            most = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
-            few = rows.join(most, "key").where("label <> most")
-            pairs = few.join(rows.selectExpr("key", "node as other", "label as other_label"), "key").where("label <> other_label and (other_label = most or node < other)")
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        new = C.written(verify(pairs, blobs, s.threshold))
+            lead = rows.groupBy("key").agg(F.min(first).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.label").alias("other"))
+            pairs = rows.join(lead, "key").where("label <> other").select(F.col("node").alias("a"), "b").distinct()
+            new = C.written(verify(pairs, blobs, s.threshold))
+        else:
+            new = C.written(joined(rows.select("node", "key", "label"), blobs, s.threshold))
         if turn and new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
@@ -338,65 +415,63 @@ def linked(classes: DataFrame, blobs: DataFrame, texts: DataFrame, threshold: fl
             total[near] += n[node[i]]
         return dict(zip(nodes.tolist(), total.tolist()))
 
+    def solve(rows: list[tuple], two: bool) -> pa.RecordBatch:
+        got = sums(rows, two)
+        return pa.RecordBatch.from_arrays([C.int_col(list(got)), C.int_col(list(got.values()))], names=["node", "linked"])
+
     def run(batches):
-        key, rows = None, []
+        yield from by_block(batches, solve)
 
-        def done() -> pa.RecordBatch | None:
-            two = key is not None and key[1] != key[2]
-            if len(rows) < 2 or two and rows[0][0] == rows[-1][0]:
-                return None
-            got = sums(rows, two)
-            return pa.RecordBatch.from_arrays([C.int_col(list(got)), C.int_col(list(got.values()))], names=["node", "linked"])
+    rows = classes.join(blobs.distinct(), "node").join(texts, "node")
+    return blocks(rows, "label", "n").mapInArrow(C.lean(run), "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
 
-        for t in batches:
-            for label, i, j, *row in zip(*(c.to_pylist() for c in t.columns)):
-                if (label, i, j) != key:
-                    if out := done():
-                        yield out
-                    key, rows = (label, i, j), []
-                rows.append(tuple(row))
-        if out := done():
-            yield out
 
-    rows = classes.join(blobs.distinct(), "node").join(texts, "node")
-    blocks = rows.groupBy("label").agg(F.ceil(F.greatest(F.sum(F.length("shingles")) / BLOCK, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "n", "shingles")
-    dealt = rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "block", "node")
-    return dealt.mapInArrow(C.lean(run), "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("linked"))
+#: A node of rows without doc_id is its words' hash beyond this, above any doc_id below it.
+UNNAMED = 1 << 62
 
 
 def grouped(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows' sketches, groups of rows with the same words, and classes_of the groups."""
+    """Rows' sketches, groups of rows with the same words, and classes_of the groups'
+    nodes: the least doc_id or, without one, a number of their words."""
     rows = C.written(sketches(docs, s))
-    groups = C.written(rows.groupBy("words_key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.countDistinct("text_key").alias("n_texts")))
-    reps = groups.select(F.col("rep_id").alias("doc_id")).where("doc_id is not null")
-    nodes = rows.where(F.size("bands") > 0).select("doc_id", "words_key", "bands").join(reps.distinct(), "doc_id", "left_semi")
-    nodes = nodes.dropDuplicates(["doc_id", "words_key"]).select(F.col("doc_id").alias("node"), "bands")
-    blobs = rows.where(F.size("bands") > 0).select(F.col("doc_id").alias("node"), "shingles")
-    return rows, groups, *classes_of(nodes, blobs, s)
+    unnamed = F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("words_key"), 2)
+    groups = rows.groupBy("words_key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.countDistinct("text_key").alias("n_texts"))
+    groups = C.written(groups.withColumn("node", F.coalesce("rep_id", unnamed)))
+    own = rows.where(F.size("bands") > 0).select(F.coalesce("doc_id", unnamed).alias("node"), "doc_id", "words_key", "bands", "shingles")
+    own = own.where("doc_id is not null").union(own.where("doc_id is null").dropDuplicates(["words_key"]))  # copies without doc_id are one node
+    nodes = own.select("node", "words_key", "bands").join(groups.select("node").distinct(), "node", "left_semi")
+    nodes = nodes.dropDuplicates(["node", "words_key"]).select("node", "bands")
+    return rows, groups, *classes_of(nodes, own.select("node", "shingles"), s)
 
 
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, class_id, rep_id, n_copies and n_links of each row of docs."""
     rows, groups, classes, blobs = grouped(docs, s)
-    texts = groups.where("rep_id is not null").groupBy(F.col("rep_id").alias("node")).agg(F.sum("n_texts").alias("n"))
-    info = groups.withColumnRenamed("rep_id", "node").join(classes, "node", "left").join(linked(classes, blobs, texts, s.threshold), "node", "left")
-    info = info.select("words_key", F.coalesce("label", "node").alias("class_id"), F.col("node").alias("rep_id"), "n_copies", (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    texts = groups.groupBy("node").agg(F.sum("n_texts").alias("n"))
+    info = groups.join(classes, "node", "left").join(linked(classes, blobs, texts, s.threshold), "node", "left")
+    # a class with a doc_id has it as its label, as these are below the others' nodes
+    label = F.coalesce("label", "node")
+    named = F.when(F.col("label").isNull(), F.col("rep_id")).when(F.col("rep_id").isNotNull() | (label < UNNAMED), label)
+    info = info.select("words_key", named.alias("class_id"), "rep_id", "n_copies", (F.col("n_texts") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "words_key").join(info, "words_key").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs with one document of each class: that of its least doc_id. Of equal rows
-    one stays; rows with null doc_id, which no class can name, stay once for each text."""
+    """docs with one document of each class: that of its least doc_id or, if it has
+    none, of the least number of its words. Of equal rows one stays."""
     rows, groups, classes, _ = grouped(docs, s)
-    info = groups.join(classes.withColumnRenamed("node", "rep_id"), "rep_id", "left").select("words_key", F.coalesce("label", "rep_id").alias("class_id"))
-    found = rows.select("doc_id", "words_key").join(info, "words_key")
+    first = groups.join(classes, "node", "left").where("label is null or label = node").select("words_key", "node")
+    found = rows.select("doc_id", "words_key", "text_key").join(first, "words_key").where("doc_id is null and node >= %d or doc_id = node" % UNNAMED)
+    (own, text) = C.fresh(docs.columns, "_id", "_text")
     none = F.lit(-(1 << 63)).cast("bigint")
-    (own,) = C.fresh(docs.columns, "_id")
-    keep = found.where("doc_id = class_id or doc_id is null").select(F.coalesce("doc_id", none).alias(own))
-    return docs.withColumn(own, F.coalesce("doc_id", none)).join(keep.distinct(), own, "left_semi").dropDuplicates([own, "text"]).select([F.col(f"`{c}`") for c in docs.columns])
+    # a row without doc_id is known by its text; of several with the same words the least stays
+    named = found.where("doc_id is not null").select(F.col("doc_id").alias(own), F.lit(None).cast("binary").alias(text)).distinct()
+    unnamed = found.where("doc_id is null").groupBy("words_key").agg(F.min("text_key").alias(text)).select(none.alias(own), text)
+    keep = named.union(unnamed)
+    key = F.when(F.col("doc_id").isNull(), F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
+    kept = docs.withColumns({own: F.coalesce("doc_id", none), text: key})
+    kept = kept.join(keep.withColumnsRenamed({own: "_k1", text: "_k2"}), (F.col(own) == F.col("_k1")) & F.col(text).eqNullSafe(F.col("_k2")), "left_semi")
+    return kept.dropDuplicates([own, "text"]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
