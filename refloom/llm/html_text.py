@@ -1,18 +1,34 @@
 """Main text of web pages by tree scoring.
 
 A page's tags make a tree of its blocks; inline tags leave no trace but the share of
-text inside links. Menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments go by element, role or a word of class or id.
-Each remaining block of text then passes points (one, one for each comma, one for
-every hundred characters up to three, times the share outside links) to its parent,
-half to the next ancestor and a third, a quarter, ... to those above. The container
-with the most points, discounted by its link density, is the article, widened to an
-enclosing article or main element; beside it, siblings stay that are headings or
-whose text is mostly outside links. Of these, all blocks are kept but lists of links.
-
-Null and empty html and pages without text give the empty text. Long pages are read
-whole; broken markup is read as browsers do in the cases that matter here (unclosed
-paragraphs and items, tags that are never closed, stray end tags and quotes).
+text inside links and the number of links. Each block of text passes points (one, one
+for each comma, one for every hundred characters up to three, times the share outside
+links) to its parent, half to the next ancestor and a third, a quarter, ... to those
+above. The container with the most points, discounted by its link density, is the
+article (of equal ones the first), widened to an enclosing article element or, without
+one, main element.
+
+Elements, roles and words of class or id that tell of menus, headers, footers, sidebars,
+notices, adverts, forms and comments are hints: a hint lowers the points of the blocks
+inside to a fifth, and what bears it goes from the article unless it holds the best
+container. A weak hint (a word that has other uses) also gives way where its element has
+a third of the article's points, mostly outside links; words beside no, with, has,
+without or free hint at nothing. So hints choose between containers but can't empty a
+page. Only what is never text goes at once: scripts, styles, templates, the head,
+replaced elements and the controls of forms.
+
+Beside a chosen container its siblings stay if they are headings or paragraphs mostly
+outside links, or have a fifth of its points, or are sections or have its class, and are
+not hinted at. In an article or main element everything without a hint is kept; in a
+container that is neither, menus before its first and behind its last text (two links or
+more, over 80 % of the text in them, not under a heading) go. Lists of links, formulas
+and linked text inside an article stay.
+
+Null and empty html and pages without text give the empty text; if all text is linked,
+the container with most of it is the article. Long pages are read whole, repeated rows
+give repeated results, an empty table none, and columns other than page_id, url and html
+are not read. Broken markup is read as browsers do in the cases that matter here
+(unclosed paragraphs and items, tags that are never closed, stray end tags and quotes).
 """
 
 from __future__ import annotations
@@ -26,65 +42,77 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe|object|select|canvas|audio|video)\b(?:[^"'>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|select|canvas|audio|video)\b(?:[^"'>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+)>""",
     re.S | re.I,
 )
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-WORDS = re.compile(r"[a-z0-9]+")
+WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address center fieldset details summary hgroup search nav header footer aside form menu dialog button label legend head".split())
 CLOSES_P = BLOCK - {"button", "label", "legend", "html", "body", "head"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
-JUNK_TAGS = frozenset("head nav footer aside form menu dialog button label legend search".split())
-JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sponsors promo promotion banner sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments commentlist disqus reply replies respond widget widgets pagination pager skip hidden".split())
-COMMENT_WORDS = frozenset("comment comments commentlist reply replies ad ads advert advertisement sponsored promo related".split())
+NEVER = frozenset("head button label legend".split())
+HINT_TAGS = frozenset("nav footer aside form menu dialog search".split())
+HINT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+STRONG = frozenset("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored comment comments commentlist disqus reply replies respond cookie cookies consent gdpr breadcrumb breadcrumbs newsletter".split())
+WEAK = frozenset("sponsors promo promotion banner sidebar sidebars rail nav navbar navigation menu menus footer masthead topbar toolbar notice notices alert popup modal overlay dialog subscribe subscription signup login share sharing social related recommended recommendations trending widget widgets pagination pager skip hidden".split())
+NOT = frozenset("no not with without has have free market".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WIDE = frozenset(("article", "main"))
+CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "td", "form"))
+NONE, SOME, SURE, TEXTLESS = range(4)
+LOWERED = 0.2
+LEAST = 1e-6
 
 
-def _junk(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in JUNK_TAGS or (tag == "header" and not inside_article):
-        return True
+def _hint(tag: str, attrs: str, inside_article: bool) -> tuple[int, str]:
+    """How surely a tag tells of something beside the article; and its class."""
+    if tag in NEVER:
+        return TEXTLESS, ""
+    found = SURE if tag in HINT_TAGS or tag == "header" and not inside_article else NONE
     if not attrs or tag in ("html", "body", "main"):
-        return False
-    low = attrs.lower()
-    if not ("class" in low or "id" in low or "role" in low or "hidden" in low or "style" in low or "aria" in low):
-        return False
-    for m in ATTR.finditer(low):
-        name, value = m[1], m[2] or m[3] or m[4] or ""
+        return found, ""
+    kind = ""
+    for m in ATTR.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words = WORDS.findall(value)
-            if not (COMMENT_WORDS if tag == "article" else JUNK_WORDS).isdisjoint(words):
-                return True
-            if tag != "article" and not inside_article and "header" in words:
-                return True
-        elif name == "role" and value in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            if name == "class":
+                kind = value
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(token)}
+                if not words.isdisjoint(NOT):
+                    continue
+                if not words.isdisjoint(STRONG):
+                    found = SURE
+                elif tag != "article" and (not words.isdisjoint(WEAK) or "header" in words and not inside_article):
+                    found = max(found, SOME)
+        elif name == "role" and value.lower() in HINT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            found = SURE
+        elif name == "style" and "display:none" in value.lower().replace(" ", ""):
+            found = SURE
+    return found, kind
 
 
 class _Tree:
-    """Blocks of text (node, text, characters in links) and the nodes above them."""
+    """Blocks of text (node, text, characters in links, links) and the nodes above them,
+    with their hints and classes."""
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.blocks = [-1], [""], []
+        self.parent, self.tag, self.hint, self.kind, self.blocks = [-1], [""], [NONE], [""], []
         stack, junk = [0], 0  # junk: depth of the stack at which dropping began
         parts: list[str] = []
-        linked = link = articles = 0
+        linked = link = links = articles = 0
         at = 0
 
         def flush():
-            nonlocal linked
+            nonlocal linked, links
             if parts:
                 text = "".join(parts)
                 text = " ".join(text.split())
                 parts.clear()
                 if text:
-                    self.blocks.append((stack[-1], text, min(linked, len(text))))
-                linked = 0
+                    self.blocks.append((stack[-1], text, min(linked, len(text)), links))
+                linked = links = 0
 
         def close(depth: int):
             nonlocal junk, articles, link
@@ -112,6 +140,7 @@ class _Tree:
             if name not in BLOCK:
                 if name == "a":
                     link = 0 if m[2] else 1
+                    links += link
                 elif name == "br" or name == "hr":
                     if not junk:
                         parts.append(" ")
@@ -158,7 +187,10 @@ class _Tree:
             self.tag.append(name)
             stack.append(len(self.tag) - 1)
             link = 0
-            if not junk and _junk(name, m[4], articles > 0):
+            hint, kind = _hint(name, m[4], articles > 0)
+            self.hint.append(hint)
+            self.kind.append(kind)
+            if not junk and hint == TEXTLESS:
                 junk = len(stack)
             articles += name == "article"
         if not junk and at < len(page):
@@ -170,6 +202,46 @@ class _Tree:
         flush()
 
 
+def _share(linked: int, size: int) -> float:
+    """The share outside links; of linked text as good as nothing, but not nothing."""
+    return max(1 - linked / size, LEAST)
+
+
+class _Scores:
+    """Points of a tree's nodes and the discounted ones, sizes, linked characters and
+    links of what they hold."""
+
+    def __init__(self, t: _Tree):
+        n = len(t.tag)
+        self.points, self.plain, self.size, self.linked, self.links = [0.0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n
+        lowered = [1.0] * n
+        for i in range(1, n):  # parents come first
+            lowered[i] = lowered[t.parent[i]] * (LOWERED if t.hint[i] else 1.0)
+        for node, text, inside, links in t.blocks:
+            gain = (1 + text.count(",") + min(len(text) / 100, 3)) * _share(inside, len(text))
+            if t.tag[node] in HEADINGS:
+                gain *= 0.25
+            # text straight in a container counts for it; a paragraph's counts for its parent
+            up = node if t.tag[node] in CONTAINERS else t.parent[node]
+            k = 1
+            while up >= 0:
+                self.points[up] += gain * lowered[node] / k
+                up, k = t.parent[up], k + 1
+            self.plain[node] += gain
+            self.size[node] += len(text)
+            self.linked[node] += inside
+            self.links[node] += links
+        for i in range(n - 1, 0, -1):
+            for sums in (self.plain, self.size, self.linked, self.links):
+                sums[t.parent[i]] += sums[i]
+        self.score = [p * _share(x, z) if z else 0.0 for p, x, z in zip(self.points, self.linked, self.size)]
+        self.best = max(range(n), key=lambda i: (self.score[i], -i))
+
+    def text(self, i: int) -> bool:
+        """Whether what node i holds is mostly outside links."""
+        return self.linked[i] <= 0.5 * self.size[i]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks joined by two line breaks."""
     if not page:
@@ -177,56 +249,45 @@ def main_text(page: str | None) -> str:
     t = _Tree(page)
     if not t.blocks:
         return ""
-    n = len(t.tag)
-    points, size, linked, links = [0.0] * n, [0] * n, [0] * n, [0] * n
-    for node, text, inside in t.blocks:
-        share = 1 - inside / len(text)
-        gain = (1 + text.count(",") + min(len(text) / 100, 3)) * share
-        if t.tag[node] in HEADINGS:
-            gain *= 0.25
-        # text straight in a container counts for it; a paragraph's counts for its parent
-        up = node if t.tag[node] in ("", "html", "body", "main", "article", "section", "div", "td") else t.parent[node]
-        k = 1
-        while up >= 0:
-            points[up] += gain / k
-            up, k = t.parent[up], k + 1
-        while node >= 0:
-            size[node] += len(text)
-            linked[node] += inside
-            links[node] += inside > 0
-            node = t.parent[node]
-    best = max(range(n), key=lambda i: (points[i] * (1 - linked[i] / size[i]) if size[i] else 0.0, -i))
-    if not points[best] * (1 - linked[best] / max(1, size[best])):
-        return ""
-    wide, up = best, best
-    while up > 0:
-        if t.tag[up] in WIDE:
-            wide = up
-        up = t.parent[up]
-    keep = {wide}
-    if wide and t.tag[wide] not in WIDE:
-        for i in range(n):
-            if i != wide and i and t.parent[i] == t.parent[wide] and size[i] and (t.tag[i] in HEADINGS or linked[i] <= 0.5 * size[i]):
+    s, n = _Scores(t), len(t.tag)
+    above = [s.best]  # the best container and those around it, which no hint removes
+    while t.parent[above[-1]] >= 0:
+        above.append(t.parent[above[-1]])
+    around = [[i for i in above if t.tag[i] == kind] for kind in ("article", "main")]
+    chosen = next((found[-1] for found in around if found), s.best)
+    safe = set(above)
+    gone = set()
+    for i in range(1, n):
+        if t.hint[i] and i not in safe and not (t.hint[i] == SOME and s.plain[i] >= s.plain[chosen] / 3 and s.text(i)):
+            gone.add(i)
+    keep = {chosen}
+    beside = [i for i in range(1, n) if t.parent[i] == t.parent[chosen] and i != chosen and i not in gone and s.size[i]] if chosen else []
+    if t.tag[chosen] in WIDE:
+        if not any(t.tag[i] == "h1" and t.parent[i] >= 0 and _under(t, i, chosen) for i in range(1, n)):
+            keep.update(i for i in beside if t.tag[i] == "h1" and i < chosen)
+    else:
+        for i in beside:
+            like = s.points[i] >= 0.2 * s.points[chosen] or t.tag[i] == t.tag[chosen] == "section" or t.kind[i] and t.kind[i] == t.kind[chosen]
+            if t.tag[i] in HEADINGS or s.text(i) and (t.tag[i] not in CONTAINERS or like):
                 keep.add(i)
-    state: dict[int, bool] = {-1: False}
-
-    def kept(node: int) -> bool:
-        got = state.get(node)
-        if got is None:
-            menu = t.tag[node] in ("ul", "ol") and links[node] > 2 and linked[node] > 0.8 * size[node]
-            got = state[node] = not menu and (node in keep or kept(t.parent[node]))
-        return got
-
-    out = []
-    for node, text, _ in t.blocks:
-        path = [node]  # from above, as trees may be deep
-        while path[-1] not in state and path[-1] >= 0:
-            path.append(t.parent[path[-1]])
-        for i in reversed(path):
-            kept(i)
-        if state[node] or (t.parent[wide] == node and wide and t.tag[wide] not in WIDE):
-            out.append(text)
-    return "\n\n".join(out)
+        own = [i for i in range(1, n) if t.parent[i] == chosen and s.size[i]]
+        real = [i for i in own if s.text(i) and i not in gone] or own
+        for k, i in enumerate(own):
+            headed = k and t.tag[own[k - 1]] in HEADINGS
+            if not real[0] <= i <= real[-1] and s.links[i] > 1 and s.linked[i] > 0.8 * s.size[i] and not headed and i not in safe:
+                gone.add(i)
+    state = [False] * n
+    for i in range(n):
+        state[i] = i not in gone and (i in keep or i > 0 and state[t.parent[i]])
+    # text straight in the parent of a chosen container is beside it, too
+    loose = t.parent[chosen] if chosen and t.tag[chosen] not in WIDE else -1
+    return "\n\n".join(text for node, text, inside, _ in t.blocks if state[node] or node == loose and inside <= 0.5 * len(text))
+
+
+def _under(t: _Tree, i: int, top: int) -> bool:
+    while i > top:
+        i = t.parent[i]
+    return i == top
 
 
 def extract(pages: DataFrame) -> DataFrame:
