@@ -7,15 +7,25 @@ an insult together with the mention of a group.
 
 The model is fitted by AdaGrad on at most `max_docs` labelled rows of each class (a
 documented bound: the lowest hashes of doc_id; one task selects terms, and the driver
-fits on the numbers of those). Terms of fewer than `min_docs` sampled rows, or whose rates in the two
-classes differ by less than `min_z` standard errors, have no weight. Classes are
-drawn evenly and w0 then moved to the rate of all labelled rows. Scoring reads
-every whole text.
-
-Null and empty texts have no terms and score sigmoid(w0). Equal texts score the
-same. Labels that are null, contradict each other or belong to no document: null is
-ignored, any 1 makes the id 1, and ids without documents are ignored. Without rows
-of both classes, every score is the rate of label 1 (0.0 without labels).
+fits on the numbers of those). Of a class's sampled rows that share their four lowest
+term hashes (near copies; all terms, if fewer) the first teaches. Terms with a weight are
+those of at least `min_docs` sampled rows
+
+* whose rates in the two classes differ by at least `min_z` standard errors, or
+* that tell together: of the pairs of terms of at least `pair_rate` of the rows, where
+  neither nearly always comes with the other, the `pairs` pairs whose covariance differs
+  most between the classes, by at least `pair_z` standard errors. So two words that are
+  alone as common in both classes have a weight and factors, too.
+
+Classes are drawn evenly and w0 then moved to the rate of all labelled rows. Scoring
+reads every whole text, however long.
+
+Null and empty texts have no terms and score sigmoid(w0). Equal texts score the same,
+repeated rows each have a row. Terms whose hashes are equal are one term. Labels that
+are null, contradict each other or belong to no document: null is ignored, any 1 makes
+the id 1, and ids without documents are ignored. Without rows of both classes, every
+score is the rate of label 1 (0.0 without labels). An empty table of documents gives no
+rows. Columns other than doc_id and text are not read; keep_clean carries them along.
 """
 
 from __future__ import annotations
@@ -43,6 +53,9 @@ class Settings:
     max_docs: int = 4000
     min_docs: int = 3
     min_z: float = 3.5
+    pair_rate: float = 0.02
+    pair_z: float = 8.0
+    pairs: int = 100
     epochs: int = 30
     steps: int = 2000
     batch: int = 256
@@ -144,11 +157,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rate: float, s: Settings) -> Mode
 
 def _once(rows: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Near copies teach nothing new: of the rows of a class that share their four
-    lowest term hashes, the first stays."""
+    lowest term hashes (or all, if fewer), the first stays."""
     seen, keep = set(), []
     for i, r in enumerate(rows):
         key = (float(y[i]), np.sort(mix64(r.astype(np.uint64) + np.uint64(1)))[:4].tobytes())
-        if len(r) < 8 or key not in seen:
+        if key not in seen:
             keep.append(i)
         seen.add(key)
     return [rows[i] for i in keep], y[keep]
@@ -159,7 +172,7 @@ def selected(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> tuple[list[n
     if not len(y) or y.min() == y.max():
         return [r[:0] for r in rows], y
     rows, y = _once(rows, y)
-    used = telling(rows, y, 1 << s.bits, s)
+    used = telling(rows, y, 1 << s.bits, s) | coupled(rows, y, 1 << s.bits, s)
     return [r[used[r]] for r in rows], y
 
 
@@ -174,6 +187,42 @@ def telling(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings) -> np.nd
     return (c0 + c1 >= s.min_docs) & (np.abs(z) >= s.min_z)
 
 
+def coupled(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings, chunk: int = 512) -> np.ndarray:
+    """The terms of the pairs that tell together: counted as matrix products of the
+    sampled rows, some columns at a time."""
+    out = np.zeros(n, bool)
+    count = np.bincount(np.concatenate(rows), minlength=n)
+    terms = np.flatnonzero((count >= max(s.min_docs, s.pair_rate * len(rows))) & (count < len(rows)))
+    if len(terms) < 2 or not s.pairs:
+        return out
+    place = np.full(n, -1)
+    place[terms] = np.arange(len(terms))
+    has = np.zeros((len(rows), len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        own = place[r]
+        has[i, own[own >= 0]] = 1
+    classes = [has[y > 0.5], has[y <= 0.5]]
+    rates = [c.mean(0) for c in classes]
+    best, found = np.zeros(0), np.zeros((0, 2), np.int64)
+    for at in range(0, len(terms), chunk):
+        part = slice(at, at + chunk)
+        gap, error, both = 0.0, 0.0, 0.0
+        for own, p, sign in zip(classes, rates, (1, -1)):
+            joint = own.T @ own[:, part]
+            cov = joint / len(own) - np.outer(p, p[part])
+            spread = np.outer(p * (1 - p), (p * (1 - p))[part]) + cov * np.outer(1 - 2 * p, 1 - 2 * p[part]) - cov**2
+            gap, error, both = gap + sign * cov, error + np.maximum(spread, 1 / len(own)) / len(own), both + joint
+        z = np.abs(gap) / np.sqrt(error)
+        z[both > 0.9 * np.minimum.outer(count[terms], count[terms[part]])] = 0  # one comes with the other
+        z[np.arange(len(terms))[:, None] >= np.arange(at, at + z.shape[1])] = 0
+        a, b = np.nonzero(z >= s.pair_z)
+        best, found = np.r_[best, z[a, b]], np.concatenate([found, np.stack([terms[a], terms[b + at]], 1)])
+        by = np.lexsort((found[:, 1], found[:, 0], -best))[: s.pairs]
+        best, found = best[by], found[by]
+    out[found.ravel()] = True
+    return out
+
+
 def _by_row(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     c = np.zeros((len(x) + 1, x.shape[1]), np.float64)
     np.cumsum(x, axis=0, out=c[1:])
