@@ -1,19 +1,21 @@
 """Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
-A collection of strings is cut into shards. A shard keeps its suffixes in sorted
-order together with the symbol before each of them: its transform. Here a symbol is
-the `step` bytes before a suffix (a transform of `step` bytes at once, the symbols
-named by 64-bit hashes, whose order serves as the alphabet's), so that one round of
-refinement deepens the order by `step` bytes.
-
-Merging starts with the shards' suffixes one shard after the other and refines this
-interleave: a round walks it, takes from each shard's transform the next symbol, and
-deals the suffixes before them stably into the symbols' buckets. After r rounds the
-interleave is in order by the first r * step bytes, and a place where the dealt
-symbol or the block of the suffix behind it changes starts a new block: the common
-prefix of neighbours is below r * step exactly there. Suffixes are never compared or
-sorted again. Blocks of two or more after depth / step rounds are the intervals of
-repeated strings of `depth` bytes.
+A collection of strings is cut into shards. A symbol is the `step` bytes at a place
+(named by a 64-bit hash), so that one round of refinement deepens the order by `step`
+bytes. A shard is sorted once, by symbol names: that gives its alphabet and, by place,
+the numbers of its symbols; the symbol before a suffix is its transform.
+
+Merging starts with the shards' suffixes as they stand, one shard after the other, and
+one alphabet merged from the shards' sorted ones. A round walks the interleave, takes
+for each suffix the symbol before it, and deals the suffixes that begin there into the
+symbols' buckets, whose places are counted (16 bits of a symbol's number at a time); what
+has no symbol before it is left out. Dealing is stable, so after r rounds the interleave
+is in order by the first r symbols. Suffixes are never compared or sorted again. Suffixes
+with equal symbols stay in the order in which their strings came.
+
+The common prefix of neighbours, in symbols, follows from the numbers of their symbols.
+Suffixes in a row with common prefixes of `depth` bytes or more are the intervals of
+repeated strings.
 """
 
 from __future__ import annotations
@@ -27,72 +29,67 @@ from . import kernels as K
 
 @dataclass
 class Shard:
-    """Suffixes (places in the shard's text) by their order, and the transform: for
-    each place the number of the symbol that starts there, or -1 near an end."""
-
-    places: np.ndarray
-    symbols: np.ndarray  # 64-bit names by place; whole[] tells where they exist
-    whole: np.ndarray
-    more: np.ndarray  # whether the string goes on behind that symbol
-
-
-def build(text: np.ndarray, ends: np.ndarray, step: int) -> Shard:
-    """text: strings one after the other, ends: where each ends."""
-    n = len(text)
-    names = np.zeros(n, np.uint64)
-    h = K.window_hash(text, step)
-    names[: len(h)] = h
-    last = ends[np.searchsorted(ends, np.arange(n), side="right")] if n else np.zeros(0, int)
-    at = np.arange(n) + step
-    whole, more = at <= last, at < last
-    places = np.flatnonzero(whole)
-    return Shard(places[np.argsort(names[places], kind="stable")], names, whole, more)
+    alphabet: np.ndarray  # names of its symbols, ascending
+    symbols: np.ndarray  # by place: number of the symbol that begins there, -1 where the string ends before
+    last: np.ndarray  # by place: whether that symbol ends the string
+
+
+def build(text: np.ndarray, off: np.ndarray, step: int) -> Shard:
+    """text: strings one after the other, off: where each begins, and the end."""
+    symbols, last = np.full(len(text), -1, np.int32), np.zeros(len(text), bool)
+    ends = off[1:][np.diff(off) >= step]
+    last[ends - step] = True
+    names = K.window_hash(text, step)
+    places = np.flatnonzero(np.arange(len(names)) + step <= np.repeat(off[1:], np.diff(off))[: len(names)])
+    if not len(places):
+        return Shard(np.zeros(0, np.uint64), symbols, last)
+    names = names[places]
+    by = np.argsort(names)
+    ordered = names[by]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    symbols[places[by]] = np.cumsum(new) - 1
+    return Shard(ordered[new], symbols, last)
+
+
+def dealt(symbols: np.ndarray, kinds: int) -> np.ndarray:
+    """The stable order of symbol numbers below `kinds`, by counting digits of 16 bits."""
+    by = np.argsort(symbols.astype(np.uint16), kind="stable")  # of 16 bits: numpy counts
+    if kinds > 1 << 16:
+        by = by[np.argsort((symbols >> 16).astype(np.uint16)[by], kind="stable")]
+    return by
 
 
 def merge(shards: list[Shard], depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of at least `depth` bytes, as places in the shards' texts laid one
-    after the other, in order by their first `depth` bytes; and the block of each."""
-    base = np.r_[0, np.cumsum([len(s.symbols) for s in shards])]
-    names = np.concatenate([s.symbols for s in shards])
-    whole = np.concatenate([s.whole for s in shards])
-    more = np.concatenate([s.more for s in shards])
-    _, rank = np.unique(names[whole], return_inverse=True)
-    symbol = np.full(len(names), -1, np.int64)
-    symbol[whole] = rank
-    order = np.concatenate([s.places + b for s, b in zip(shards, base)]) if shards else np.zeros(0, np.int64)
-    by = np.argsort(symbol[order], kind="stable")  # the first round: no suffix lies behind yet
-    order = order[by]
-    block = _blocks(symbol[order], np.zeros(len(order), np.int64))
+    """The suffixes of at least `depth` bytes, as places in the shards' texts laid one
+    after the other, in order by their first `depth` bytes; and the symbols that each has
+    in common with the one before (0 for the first)."""
+    alphabet = np.sort(np.concatenate([s.alphabet for s in shards]))
+    alphabet = alphabet[np.r_[True, alphabet[1:] != alphabet[:-1]]] if len(alphabet) else alphabet
+    symbols = np.concatenate([np.where(s.symbols >= 0, np.searchsorted(alphabet, s.alphabet).astype(np.int32)[s.symbols], -1) if len(s.alphabet) else s.symbols for s in shards])
+    last = np.concatenate([s.last for s in shards])
+    order = np.flatnonzero(symbols >= 0).astype(np.int32 if len(symbols) < 1 << 31 else np.int64)
+    order = order[dealt(symbols[order], len(alphabet))]
     for _ in range(depth // step - 1):
         before = order - step
-        ok = before >= 0
-        ok[ok] = more[before[ok]]
-        before, behind = before[ok], block[ok]
-        by = np.argsort(symbol[before], kind="stable")
-        order, block = before[by], _blocks(symbol[before[by]], behind[by])
-    return order, block
-
-
-def _blocks(symbols: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    if not len(symbols):
-        return symbols
-    new = np.r_[True, (symbols[1:] != symbols[:-1]) | (behind[1:] != behind[:-1])]
-    return np.cumsum(new) - 1
-
-
-def repeated_windows(strings: list[bytes], depth: int, step: int = 25, shards: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of `depth` bytes of the strings: its string, its place there
-    and the number of its block (equal windows, equal blocks)."""
-    lens = np.array([len(s) for s in strings], np.int64)
-    total = np.r_[0, np.cumsum(lens)]
-    cut = np.unique(np.searchsorted(total, np.linspace(0, total[-1], shards + 1)))
-    parts = []
-    for i, j in zip(cut[:-1], cut[1:]):
-        text = np.frombuffer(b"".join(strings[i:j]), np.uint8)
-        parts.append(build(text, (total[i + 1 : j + 1] - total[i]), step))
+        before = before[before >= 0]
+        own = symbols[before]
+        on = (own >= 0) & ~last[before]  # else the suffix begins its string
+        before, own = before[on], own[on]
+        order = before[dealt(own, len(alphabet))]
+    common, alike = np.zeros(len(order), np.int8), np.ones(max(0, len(order) - 1), bool)
+    for k in range(0, depth, step):
+        own = symbols[order + k]
+        alike &= own[1:] == own[:-1]
+        common[1:] += alike
+    return order, common
+
+
+def repeated_windows(text: np.ndarray, off: np.ndarray, depth: int, step: int = 25, shards: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all windows of `depth` bytes of the strings (text, off), sorted, equal
+    ones in the order of the strings; and whether each begins an interval of equal ones."""
+    cut = np.unique(np.searchsorted(off, np.linspace(0, off[-1], shards + 1)))
+    parts = [build(text[off[i] : off[j]], off[i : j + 1] - off[i], step) for i, j in zip(cut[:-1], cut[1:])]
     if not parts:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    order, block = merge(parts, depth, step)
-    owner = np.searchsorted(total, order, side="right") - 1
-    return owner, order - total[owner], block
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    order, common = merge(parts, depth, step)
+    return order, common < depth // step

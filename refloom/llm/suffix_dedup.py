@@ -4,28 +4,34 @@ Every byte covered by a `length`-byte string that also starts earlier goes: in a
 smaller doc_id, or earlier in the same document. Strings lie within one document and
 are judged on the input.
 
-A merged transform of all text at once costs depth / step rounds over every byte, so
-what can't repeat is set aside first, without loss:
+A merged transform of all text at once costs depth / step rounds over every byte, each
+of them a shuffle of 8 bytes for each byte of text. So what can't repeat is set aside
+first, and the rest is partitioned so that equal windows meet:
 
 1. The anchor of a window of `length` bytes is its leftmost least 24-byte hash. It
    depends on the window's bytes alone, so equal windows have equal anchors. Windows
-   in a row with one anchor form a run; a run's bytes are named by a second hash.
-2. Runs meet by anchor, sorted in the shuffle, and are streamed. A run equal to an
-   earlier one is repeated as a whole. An anchor with one kind of run repeats nothing
-   else. What is left are first runs whose anchor has several kinds: mostly the ends
-   of shared passages.
-3. These runs' bytes are cut into shards whose Burrows-Wheeler transforms are merged
-   by interleave refinement (bwt.py); its blocks of equal `length`-byte prefixes are
-   the repeated windows, and all but the earliest of a block go.
+   in a row with one anchor form a run.
+2. Runs meet by anchor. A run whose anchor no other run has is set aside: none of its
+   windows repeats. Nothing else is decided here.
+3. The bytes of all other runs meet by anchor, too, and go through the transforms. A
+   task's strings are taken a batch of whole anchors at a time, cut into shards, whose
+   Burrows-Wheeler transforms are merged by interleave refinement (bwt.py). The intervals
+   of suffixes with `length` bytes in common are the repeated windows, and all but the
+   earliest of an interval go.
+
+Shards are cut behind the exchange by anchor and not before it, since a shard of each
+pair of partitions would hold less than a string at scale.
 
 Anchors of more than 1/5000 of all runs in a sample of documents (at most 5000, which
-serves only to plan) are dealt to many tasks by the run's hash; their windows are
-compared between tasks by a grouped minimum. Hashes name anchors, runs and windows by
-64 bits each; a run is equal if both its hashes are.
+serves only to plan) are dealt to many tasks; the earliest windows of their intervals are
+compared between tasks by a grouped minimum. Hashes name anchors, symbols and, of dealt
+anchors, windows, by 64, 64 and 128 bits.
 
 Null text is empty. Rows of one doc_id: equal rows get the same result, and of two
 different texts the one with the lower SHA-256 is earlier. A null doc_id is before
-all others.
+all others. Very long texts are taken whole, with a batch of their own. An empty table
+gives no rows. Columns other than doc_id and text are not read; without_repeats carries
+them along.
 """
 
 from __future__ import annotations
@@ -60,13 +66,13 @@ class Settings:
 
 
 def window_runs(b: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: document, first window, number of windows,
-    anchor's hash and the run's hash."""
+    """Runs of windows with one anchor: document, first window, number of windows and
+    anchor's hash."""
     n = len(b)
     h = K.window_hash(b, s.anchor)
     if n < s.length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z
     bits = U64(max(1, int(n).bit_length()))
     low = (U64(1) << bits) - U64(1)
     m = (h & ~low) | np.arange(len(h), dtype=U64)
@@ -84,16 +90,16 @@ def window_runs(b: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarray
     start = np.flatnonzero(new)
     if not len(start):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return z, z, z, z
     bound = np.flatnonzero(new | ~ok)
     after = np.searchsorted(bound, start, side="right")
     end = np.where(after < len(bound), bound[np.minimum(after, len(bound) - 1)], len(place))
     doc = np.searchsorted(off, start, side="right") - 1
-    run = K.span_hash(b, start, end + s.length - 1, K.BYTE_B)
-    return doc, start - off[doc], end - start, h[place[start]].astype(np.int64), run.astype(np.int64)
+    return doc, start - off[doc], end - start, h[place[start]].astype(np.int64)
 
 
-RUN = "doc bigint, tie int, start int, n int, anchor bigint, run bigint"
+RUN = "doc bigint, tie int, start int, n int, anchor bigint"
+PART = 1 << 17
 
 
 def runs_of(docs: DataFrame, s: Settings) -> DataFrame:
@@ -104,54 +110,31 @@ def runs_of(docs: DataFrame, s: Settings) -> DataFrame:
             ids, ties = batch.column(0), batch.column(1)
             for i, j in K.slices(batch.column(2), CHUNK):
                 b, off = K.utf8(batch.column(2).slice(i, j - i))
-                doc, start, n, anchor, name = window_runs(b, off, s)
+                doc, start, n, anchor = window_runs(b, off, s)
                 if len(doc):
                     at = pa.array(doc + i)
-                    yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(name)], names=["doc", "tie", "start", "n", "anchor", "run"])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor)], names=["doc", "tie", "start", "n", "anchor"])
 
     return docs.select("doc", "tie", "text").mapInArrow(C.lean(run), RUN)
 
 
-FOUND = "doc bigint, tie int, start int, n int, anchor bigint, hot boolean, open boolean"
-
-
-def _stream(batches):
-    """Rows (RUN, hot) sorted by hot, anchor, run, doc, tie, start. Yields repeated
-    runs (open false) and first runs of anchors with several kinds (open true). Holds
-    one batch, the last first run and no group."""
-    last = None  # anchor, run, doc, tie, start of the group's first
-    many, pending = False, None
+def _several(batches):
+    """Of rows (RUN, hot) sorted by anchor those whose anchor another row has, and all
+    hot ones. Holds one batch and the last row."""
+    last, waiting = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, tie, start, n, anchor, run, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        new_anchor = np.r_[last is None or anchor[0] != last[0], anchor[1:] != anchor[:-1]]
-        new_run = new_anchor | np.r_[last is None or run[0] != last[1], run[1:] != run[:-1]]
-        first = np.maximum.accumulate(np.where(new_run, np.arange(len(doc)), -1))
-        own = first >= 0
-        fd, ft, fs = (np.where(own, x[first], l if last is not None else 0) for x, l in zip((doc, tie, start), last[2:] if last else (0, 0, 0)))
-        repeated = ~new_run & ((doc != fd) | (tie != ft) | (start != fs))
-        group = np.cumsum(new_anchor)
-        kinds = np.bincount(group[new_run], minlength=group[-1] + 1)
-        carried = 0 if last is None or new_anchor[0] else (2 if many else int(pending is not None))
-        kinds[0] += carried
-        is_open = new_run & ((kinds[group] > 1) | hot)
-        if pending is not None and group[0] == 0 and kinds[0] > 1:
-            yield pending
-            pending = None
-        if group[-1] > 0 or (last is not None and new_anchor[0]):
-            pending = None
-        at = np.flatnonzero(repeated | is_open)
+        anchor, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+        same = np.r_[last is not None and anchor[0] == last, anchor[1:] == anchor[:-1]]
+        keep = same | np.r_[same[1:], False] | hot
+        if waiting is not None and same[0]:
+            yield waiting
+        at = np.flatnonzero(keep)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (doc, tie, start, n, anchor, hot, is_open)], names=["doc", "tie", "start", "n", "anchor", "hot", "open"])
-        many = kinds[-1] > 1 or bool(hot[-1])
-        if not many:
-            f = np.flatnonzero(new_run & (group == group[-1]))
-            if len(f):
-                i = f[-1]
-                pending = pa.RecordBatch.from_arrays([pa.array(x[i : i + 1]) for x in (doc, tie, start, n, anchor, hot)] + [pa.array([True])], names=["doc", "tie", "start", "n", "anchor", "hot", "open"])
-        i = first[-1]
-        last = (anchor[-1], run[-1], *((doc[i], tie[i], start[i]) if i >= 0 else last[2:]))
+            yield batch.take(pa.array(at))
+        waiting = None if keep[-1] else batch.slice(batch.num_rows - 1)
+        last = anchor[-1]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -193,13 +176,17 @@ def _extract(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
             for i, j in K.slices(batch.column(2), CHUNK):
                 ids, ties, texts, runs = (batch.column(k).slice(i, j - i) for k in range(4))
                 b, off = K.utf8(texts)
-                raw, flat = b.tobytes(), runs.flatten()
-                doc = np.repeat(np.arange(j - i), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
-                start, n, anchor, hot = (pc.struct_field(flat, k) for k in range(4))
-                lo = off[doc] + start.to_numpy(zero_copy_only=False)
-                hi = lo + n.to_numpy(zero_copy_only=False) + s.length - 1
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), start, anchor, hot, pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())], pa.binary())], names=["doc", "tie", "start", "anchor", "hot", "bytes"])
+                owner = np.repeat(np.arange(j - i), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                flat = runs.flatten()
+                for k in range(0, len(flat), PART):
+                    doc = owner[k : k + PART]
+                    start, n, anchor, hot = (pc.struct_field(flat.slice(k, PART), f) for f in range(4))
+                    size = n.to_numpy(zero_copy_only=False).astype(np.int64) + s.length - 1
+                    ends = np.cumsum(size)
+                    at = np.repeat(off[doc] + start.to_numpy(zero_copy_only=False) - (ends - size), size) + np.arange(ends[-1])
+                    raw = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(b[at])])
+                    own = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([ids.take(own), ties.take(own), start, anchor, hot, raw], names=["doc", "tie", "start", "anchor", "hot", "bytes"])
 
     return docs.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "runs").mapInArrow(C.lean(cut), "doc bigint, tie int, start int, anchor bigint, hot boolean, bytes binary")
 
@@ -208,67 +195,65 @@ WINDOWS = "doc bigint, tie int, start int, n int, w1 bigint, w2 bigint"
 
 
 def _merged(s: Settings):
-    """Streams runs sorted by anchor through merged transforms. Yields repeated
-    windows as runs (w1 null); and the earliest of each block as windows with their
-    hashes, where other tasks or batches hold the same anchor."""
-
-    def solve(rows: list[tuple], spread: bool) -> pa.RecordBatch | None:
-        owner, place, block = bwt.repeated_windows([r[4] for r in rows], s.length, s.step)
-        if not len(owner):
-            return None
-        doc, tie, start = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        d, t, p = doc[owner], tie[owner], start[owner] + place
-        by = np.lexsort((p, t, d, block))
-        blk, d, t, p, owner, place = (x[by] for x in (block, d, t, p, owner, place))
-        lead = np.r_[True, blk[1:] != blk[:-1]]
-        f = np.maximum.accumulate(np.where(lead, np.arange(len(blk)), 0))
-        again = (d != d[f]) | (t != t[f]) | (p != p[f])
-        x = np.flatnonzero(again)
-        x = x[np.lexsort((p[x], t[x], d[x]))]
-        cols = [d[x], t[x], p[x]]
-        if len(x):
-            new = np.r_[True, (np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) > 1)]
-            at = np.flatnonzero(new)
-            end = cols[2][np.r_[at[1:], len(x)] - 1]
-            cols = [c[at] for c in cols] + [end - cols[2][at] + 1]
-        else:
-            cols.append(np.zeros(0, np.int64))
-        w = [pa.nulls(len(cols[0]), pa.int64())] * 2
+    """Streams strings sorted by hot, anchor, doc, tie and start through merged
+    transforms. Yields repeated windows as runs (w1 null); and the earliest of each
+    interval as windows with their hashes, where other tasks or batches hold the same
+    anchor."""
+
+    def solve(rows: pa.RecordBatch, spread: bool) -> pa.RecordBatch:
+        doc, tie, start = (rows.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        text, off = K.utf8(rows.column(5))
+        place, lead = bwt.repeated_windows(text, off, s.length, s.step)
+        owner = np.searchsorted(off, place, side="right") - 1
+        first = np.maximum.accumulate(np.where(lead, np.arange(len(place)), 0))
+        of, at = owner[first], start[owner] + place - off[owner]
+        again = ~lead & ((doc[owner] != doc[of]) | (tie[owner] != tie[of]) | (at != at[first]))  # else a repeated row
+        mask = np.zeros(len(text), bool)
+        mask[place[again]] = True
+        lo, hi = K.runs(mask)
+        own = np.searchsorted(off, lo, side="right") - 1
+        cols = [doc[own], tie[own], start[own] + lo - off[own], hi - lo]
+        w = [pa.nulls(len(lo), pa.int64())] * 2
         if spread:
             y = np.flatnonzero(lead)
-            raw = [rows[o][4][q : q + s.length] for o, q in zip(owner[y].tolist(), place[y].tolist())]
-            dig = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in raw), np.int64).reshape(-1, 2)
-            cols = [np.r_[c, e] for c, e in zip(cols, (d[y], t[y], p[y], np.ones(len(y), np.int64)))]
+            raw = text.tobytes()
+            dig = np.frombuffer(b"".join(hashlib.blake2b(raw[q : q + s.length], digest_size=16).digest() for q in place[y].tolist()), np.int64).reshape(-1, 2)
+            cols = [np.r_[c, e] for c, e in zip(cols, (doc[owner[y]], tie[owner[y]], at[y], np.ones(len(y), np.int64)))]
             w = [pa.concat_arrays([w[0], pa.array(dig[:, i])]) for i in (0, 1)]
-        if not len(cols[0]):
-            return None
         return pa.RecordBatch.from_arrays([pa.array(cols[0]), *[pa.array(c.astype(np.int32)) for c in cols[1:]], *w], names=["doc", "tie", "start", "n", "w1", "w2"])
 
     def run(batches):
-        held: list[tuple] = []
-        size, at, split = 0, None, False  # split: part of the last anchor's runs has gone
+        held: list[pa.RecordBatch] = []
+        size, split = 0, None  # split: the anchor of which a part has gone
+
+        def parts(more: bool):
+            """Solves what is held but, if more is to come, for the last anchor's strings."""
+            nonlocal held, size, split
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            anchor, hot = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True]).tolist()
+            end = new[-2] if more else new[-1]
+            if not end and size < 4 * s.batch_bytes:
+                held = [rows]
+                return
+            cut = not end  # one anchor fills a batch: its windows meet again by hash
+            end = end or new[-1]
+            own = new[1] if anchor[0] == split else 0
+            edges = sorted({0, own, min(int(np.searchsorted(hot, True)), end), end})
+            for i, j in zip(edges, edges[1:]):
+                yield solve(rows.slice(i, j - i), bool(hot[i]) or cut or i < own)
+            split = anchor[0] if cut else None
+            held = [rows.slice(end)] if end < rows.num_rows else []
+            size = sum(len(K.utf8(h.column(5))[0]) for h in held)
+
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 4))):
-                if row[3] != at:
-                    if size and (size >= s.batch_bytes or row[5] != held[-1][5]):
-                        out = solve(held, split)
-                        if out:
-                            yield out
-                        held, size = [], 0
-                        split = False
-                    at = row[3]
-                elif size >= 4 * s.batch_bytes:  # one anchor fills a batch: its windows meet again by hash
-                    out = solve(held, True)
-                    if out:
-                        yield out
-                    held, size, split = [], 0, True
-                held.append(row)
-                size += len(row[4])
-                split = split or row[5]
+            if batch.num_rows:
+                held.append(batch)
+                size += len(K.utf8(batch.column(5))[0])
+                if size >= s.batch_bytes:
+                    yield from parts(True)
         if held:
-            out = solve(held, split)
-            if out:
-                yield out
+            yield from parts(False)
 
     return run
 
@@ -280,18 +265,16 @@ def repeated_runs(docs: DataFrame, s: Settings) -> DataFrame:
     rows = runs_of(docs, s)
     if hot:
         names = docs.sparkSession.createDataFrame([(h,) for h in hot], "anchor bigint")
-        rows = rows.join(F.broadcast(names.withColumn("hot", F.lit(True))), "anchor", "left").select("doc", "tie", "start", "n", "anchor", "run", F.coalesce("hot", F.lit(False)).alias("hot"))
+        rows = rows.join(F.broadcast(names.withColumn("hot", F.lit(True))), "anchor", "left").select("doc", "tie", "start", "n", "anchor", F.coalesce("hot", F.lit(False)).alias("hot"))
     else:
         rows = rows.withColumn("hot", F.lit(False))
-    salt = F.when(F.col("hot"), F.pmod(F.col("run"), F.lit(s.salts))).otherwise(F.lit(0))
-    met = rows.repartition(parts, "anchor", salt).sortWithinPartitions("anchor", "run", "doc", "tie", "start")
-    found = C.written(met.mapInArrow(C.lean(_stream), FOUND))
-    whole = found.where("not open").select("doc", "tie", "start", "n")
-    bytes_ = _extract(docs, found.where("open"), s)
-    deal = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.lit(s.salts))).otherwise(F.lit(0))
-    windows = bytes_.repartition(parts, "anchor", deal).sortWithinPartitions("hot", "anchor", "doc", "tie", "start").mapInArrow(C.lean(_merged(s)), WINDOWS)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.lit(s.salts))).otherwise(F.lit(0))
+    met = rows.repartition(parts, "anchor", salt).sortWithinPartitions("anchor")
+    found = C.written(met.mapInArrow(C.lean(_several), RUN + ", hot boolean"))
+    strings = _extract(docs, found, s).repartition(parts, "anchor", salt).sortWithinPartitions("hot", "anchor", "doc", "tie", "start")
+    windows = strings.mapInArrow(C.lean(_merged(s)), WINDOWS)
     windows = C.written(windows)
-    out = whole.union(windows.where("w1 is null").select("doc", "tie", "start", "n"))
+    out = windows.where("w1 is null").select("doc", "tie", "start", "n")
     spread = windows.where("w1 is not null")
     if not spread.isEmpty():
         least = spread.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tie", "start")).alias("f"))

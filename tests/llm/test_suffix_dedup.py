@@ -52,7 +52,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot,batch", [(1, 16000, 1 << 20), (2, 64, 300), (3, 16000, 300)])
+@pytest.mark.parametrize("seed,hot,batch", [(1, 16000, 1 << 20), (2, 64, 300), (3, 16000, 300), (4, 64, 1 << 20)])
 def test_against_brute_force(spark, seed, hot, batch):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, n_removed string").repartition(3)
@@ -74,31 +74,41 @@ def test_pipeline_form(spark):
     assert S.suffix_dedup(docs.limit(0)).count() == 0
 
 
-def test_stream_in_small_batches():
+def test_what_is_set_aside_in_small_batches():
     rng = random.Random(4)
     for _ in range(200):
-        rows = sorted((rng.randint(0, 4), rng.randint(0, 2), rng.randint(0, 3), 0, rng.randint(0, 2)) for _ in range(rng.randint(1, 25)))
-        cols = {"doc": [r[2] for r in rows], "tie": [0] * len(rows), "start": [r[4] for r in rows], "n": [1] * len(rows), "anchor": [r[0] for r in rows], "run": [r[1] for r in rows], "hot": [False] * len(rows)}
-        whole = pa.RecordBatch.from_pydict(cols)
+        rows = sorted((rng.randint(0, 9), rng.random() < 0.2 and 1) for _ in range(rng.randint(1, 25)))
+        n = len(rows)
+        whole = pa.RecordBatch.from_pydict({"doc": list(range(n)), "tie": [0] * n, "start": [0] * n, "n": [1] * n, "anchor": [r[0] for r in rows], "hot": [bool(r[1]) for r in rows]})
         step = rng.randint(1, 5)
-        got = [x for b in S._stream(whole.slice(i, step) for i in range(0, len(rows), step)) for x in b.to_pylist()]
-        first, kinds = {}, {}
-        for r in rows:
-            first.setdefault(r[:2], r)
-            kinds.setdefault(r[0], set()).add(r[1])
-        want = [(r[2], r[4], r[0], False) for r in rows if r != first[r[:2]]]
-        want += [(r[2], r[4], r[0], True) for r in first.values() if len(kinds[r[0]]) > 1]
-        assert sorted((x["doc"], x["start"], x["anchor"], x["open"]) for x in got) == sorted(want)
+        got = [x["doc"] for b in S._several(whole.slice(i, step) for i in range(0, n, step)) for x in b.to_pylist()]
+        assert sorted(got) == [i for i, r in enumerate(rows) if r[1] or sum(q[0] == r[0] for q in rows) > 1]
 
 
 def test_merged_transforms():
     rng = random.Random(0)
-    for _ in range(200):
+    for _ in range(300):
         strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 8))]
-        owner, place, block = bwt.repeated_windows(strings, 8, 2, 3)
-        want = {(i, j): s[j : j + 8] for i, s in enumerate(strings) for j in range(len(s) - 7)}
-        got = {(int(x), int(y)): int(z) for x, y, z in zip(owner, place, block)}
-        assert set(got) == set(want)
-        names = {}
-        assert all(names.setdefault(got[k], v) == v for k, v in want.items()) and len(names) == len(set(want.values()))
-    assert np.array_equal(block, np.sort(block))
+        text, off = np.frombuffer(b"".join(strings), np.uint8), np.r_[0, np.cumsum([len(x) for x in strings])].astype(np.int64)
+        place, lead = bwt.repeated_windows(text, off, 8, 2, 3)
+        want = [(off[i] + j, s[j : j + 8]) for i, s in enumerate(strings) for j in range(len(s) - 7)]
+        assert sorted(place.tolist()) == [p for p, _ in want]
+        name, seen, last = dict(want), set(), None
+        for p, new in zip(place.tolist(), lead.tolist()):  # one interval after the other, each in the strings' order
+            assert new == (name[p] not in seen) and (new or name[p] == name[last] and p > last)
+            seen.add(name[p])
+            last = p
+
+
+def test_common_prefixes_and_dealing():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    off = np.array([0, 150, 290, 400])
+    shards = [bwt.build(text[i:j], np.array([0, j - i]), 2) for i, j in zip(off[:-1], off[1:])]
+    order, common = bwt.merge(shards, 8, 2)
+    for i in range(1, len(order)):
+        a, b = (text[p : p + 8].tobytes() for p in order[i - 1 : i + 1])
+        assert common[i] == next((k for k in range(4) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2]), 4)
+    x = rng.integers(0, 1 << 20, 5000).astype(np.int32)
+    assert (bwt.dealt(x, 1 << 20) == np.argsort(x, kind="stable")).all()
+    assert len(bwt.merge([bwt.build(text[:0], np.array([0]), 2)], 8, 2)[0]) == 0
