@@ -1,22 +1,27 @@
 """License scans: Dice coefficient over word bigrams with size bounds.
 
-A text is cut into units, its lines and their sentences. Lower case, with letters and
-digits as words, each run of units is a region, the whole text among them. A region
-matches a template if the Dice coefficient of the two bags of word bigrams,
-2 |A & B| / (|A| + |B|), reaches the threshold t. A template of b bigrams can only
-match regions of t b / (2 - t) to (2 - t) b / t bigrams that share t b / (2 - t) of
-them; so most texts, and all but a few regions of the rest, are never compared:
+In lower case, with letters and digits as words, every run of words is a region; of a
+template of fewer than WHOLE bigrams, whose words are common, only runs of whole units
+(lines and their sentences). A region matches a template if the Dice coefficient of the
+two bags of word bigrams, 2 |A & B| / (|A| + |B|), reaches the threshold t. A template of
+b bigrams can only match regions of t b / (2 - t) to (2 - t) b / t bigrams that share
+t b / (2 - t) of them; so most texts, and all but a few regions of the rest, are never
+compared:
 
 * a text is set aside unless it has a word from enough of a template's bigrams that no
   region without these could share so many (one regular expression over the batch);
-* a region is compared only if its size is within the bounds and the bigrams of it
-  that occur in the template, counted by prefix sums, are enough.
-
-Matches are taken from the best down (ties: the larger template, then the earlier and
-longer region, then the name), each without units that a better match holds.
-
-Null and empty texts have no matches. Every row of docs gives a row; equal texts give
-equal results.
+* a region begins and ends with bigrams of the template, as others only lower its score;
+* its beginning is tried only if the largest region from there shares enough bigrams,
+  counted as the bounds slide over the text.
+
+For each beginning the best end counts (of equal ones the later). Matches are taken from
+the best down (ties: the larger template, then the earlier and longer region, then the
+name), each without words that a better match holds.
+
+Templates are the usual notices, short licenses as wholes and the openings of the long
+ones. Null and empty texts have no matches. Every row of docs gives a row; equal texts
+give equal results. Very long texts are scanned whole; an empty table gives no rows, and
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -106,12 +111,26 @@ _MORE = [
     *[(f"EPL-{v}", f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {how}{v}") for v in ("1.0", "2.0") for how in ("v", "v. ")],
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("Artistic-2.0", "Licensed under the Artistic License 2.0."), ("WTFPL", "Licensed under the Do What The Fuck You Want To Public License, Version 2."),
 ]
+_FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_OPENINGS = [
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc.\n{_FSF}\nPreamble\nThe GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.\n{_FSF}\nPreamble\nThe licenses for most software are designed to take away your freedom to share and change it."),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc.\n{_FSF}\nThis version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999\nCopyright (C) 1991, 1999 Free Software Foundation, Inc.\n{_FSF}\nThis is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007\nCopyright (C) 2007 Free Software Foundation, Inc.\n{_FSF}\nPreamble\nThe GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("Apache-2.0", 'Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n1. Definitions.\n"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'),
+    ("MPL-2.0", 'Mozilla Public License Version 2.0\n1. Definitions\n1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.'),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n0. You just DO WHAT THE FUCK YOU WANT TO."),
+]
+_MORE += _OPENINGS
 _HAVE = {tuple(re.findall(r"[^\W_]+", text.lower())) for _, text in TEMPLATES}
 for _name, _text in _MORE:
     if (_words := tuple(re.findall(r"[^\W_]+", _text.lower()))) not in _HAVE:
         _HAVE.add(_words)
         TEMPLATES.append((_name, _text))
 
+WHOLE = 4
 WORD = re.compile(r"[^\W_]+")
 UNIT = re.compile(r"\n|(?<=[.!?:;])\s")
 
@@ -160,52 +179,73 @@ class Scanner:
     def scan(self, text: str | None) -> list[Match]:
         if not text:
             return []
-        words, edges, places = [], [0], []
-        at = 0
+        words, starts, ends, edges, at = [], [], [], [0], 0
         for m in [*UNIT.finditer(text), None]:
             end = m.start() if m else len(text)
-            own = WORD.findall(text[at:end].lower())
-            if own:
-                words += own
-                places.append((at, end))
+            for w in WORD.finditer(text, at, end):
+                words.append(w[0].lower())
+                starts.append(w.start())
+                ends.append(w.end())
+            if len(words) > edges[-1]:
                 edges.append(len(words))
             at = m.end() if m else end
         if len(words) < 2:
             return []
-        have = set(words)
-        edge = np.array(edges)
+        have, grams = set(words), list(zip(words, words[1:]))
         found = []
         for k, t in enumerate(self.templates):
             if have.isdisjoint(t.key_words):
                 continue
-            need, most = self.shared(t.size), t.size * (2 - self.t) / self.t
-            if len(words) - 1 < need - 1e-9:
-                continue
-            hit = np.fromiter((g in t.bigrams for g in zip(words, words[1:])), np.int64, len(words) - 1)
-            if hit.sum() < need:
-                continue
-            total = np.r_[0, np.cumsum(hit)]
-            for i in range(len(places)):
-                lo, hi = edge[i] + 1 + int(np.ceil(need - 1e-9)), edge[i] + 1 + int(most + 1e-9)
-                j0, j1 = np.searchsorted(edge, lo), np.searchsorted(edge, hi, side="right")
-                j0 = max(j0, i + 1)
-                if j0 >= j1:
-                    continue
-                ends = np.arange(j0, j1)
-                ends = ends[total[edge[ends] - 1] - total[edge[i]] >= need - 1e-9]
-                for j in ends.tolist():
-                    own = bigrams(words[edges[i] : edges[j]])
-                    n = edges[j] - edges[i] - 1
-                    score = 2 * sum((own & t.bigrams).values()) / (n + t.size)
-                    if score >= self.t:
-                        found.append((-score, -t.size, i, -j, t.name, k))
-        taken, out = np.zeros(len(places), bool), []
+            hits = [i for i, g in enumerate(grams) if g in t.bigrams]
+            if t.size < WHOLE:
+                found += [(-score, -t.size, i, -j, t.name, k) for i, j, score in self._units(grams, edges, t)]
+            elif len(hits) >= self.shared(t.size) - 1e-9:
+                found += [(-score, -t.size, i, -j, t.name, k) for i, j, score in self._regions(grams, hits, t)]
+        taken, out = np.zeros(len(words), bool), []
         for score, _, i, j, name, _ in sorted(found):
             if not taken[i:-j].any():
                 taken[i:-j] = True
-                out.append(Match(name, -score, places[i][0], places[-j - 1][1]))
+                out.append(Match(name, -score, starts[i], ends[-j - 1]))
         return sorted(out, key=lambda m: m.start)
 
+    def _units(self, grams: list, edges: list[int], t: Template):
+        """Matching runs of whole units: (first word, behind the last, score)."""
+        need, most = self.shared(t.size), t.size * (2 - self.t) / self.t
+        for x, i in enumerate(edges[:-1]):
+            for j in edges[x + 1 :]:
+                n = j - i - 1
+                if n > most + 1e-9:
+                    break
+                if n >= need - 1e-9 and (score := 2 * sum((Counter(grams[i : j - 1]) & t.bigrams).values()) / (n + t.size)) >= self.t:
+                    yield i, j, score
+
+    def _regions(self, grams: list, hits: list[int], t: Template):
+        """For each word from which a region matches its best end."""
+        need, most = self.shared(t.size) - 1e-9, int(t.size * (2 - self.t) / self.t + 1e-9)
+        inside: Counter = Counter()
+        shared = b = 0
+        for a, i in enumerate(hits):
+            while b < len(hits) and hits[b] - i < most:  # the largest region from here
+                g = grams[hits[b]]
+                inside[g] += 1
+                shared += inside[g] <= t.bigrams[g]
+                b += 1
+            if shared >= need:
+                own: Counter = Counter()
+                n, best = 0, (0.0, 0)
+                for h in hits[a:b]:
+                    g = grams[h]
+                    own[g] += 1
+                    n += own[g] <= t.bigrams[g]
+                    score = 2 * n / (h - i + 1 + t.size)
+                    if score >= self.t and score >= best[0]:
+                        best = (score, h + 2)
+                if best[1]:
+                    yield i, best[1], best[0]
+            g = grams[i]
+            shared -= inside[g] <= t.bigrams[g]
+            inside[g] -= 1
+
     def batch(self, arr: pa.Array) -> list[list[Match]]:
         arr = arr.fill_null("")
         maybe = pc.match_substring_regex(pc.utf8_lower(arr), self.pattern)
