@@ -22,26 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a temporary folder is set for the session."""
+    """A new folder under spark.checkpoint.dir. Only on one machine (a local master),
+    as in tests, a temporary folder stands in where that is unset; a cluster without a
+    shared folder is an error."""
     jsc = spark.sparkContext._jsc.sc()
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base and jsc.getCheckpointDir().isDefined():
         base = jsc.getCheckpointDir().get()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="refloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/refloom-{uuid.uuid4().hex}"
 
 
+#: With this set, Spark deletes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: later reads neither compute it again nor
-    depend on an executor's disk."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    # the shuffle files of what has been written go once the driver collects its garbage
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    depend on an executor's disk, and the shuffle files behind it go."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `written` made, once all that reads it has been written."""
+    spark = df.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lean(run: Callable) -> Callable:

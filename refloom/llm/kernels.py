@@ -88,6 +88,15 @@ def window_hash(b: np.ndarray, n: int, table: np.ndarray = BYTE) -> np.ndarray:
         k *= 2
 
 
+def rolling_hash(b: np.ndarray, n: int, table: np.ndarray = BYTE) -> np.ndarray:
+    """Another hash of each n-byte window, from prefix sums: cheaper, for short windows."""
+    if len(b) < n:
+        return np.zeros(0, U64)
+    c = np.zeros(len(b) + 1, U64)
+    np.cumsum(table[b] * powers(len(b)), out=c[1:])
+    return (c[n:] - c[:-n]) * powers(len(b) + 1, True)[: len(c) - n]
+
+
 def join_hash(a: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
     """Hash at i of a's window at i followed by c's at i + width."""
     m = max(0, min(len(a), len(c) - width))

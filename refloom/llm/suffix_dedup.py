@@ -19,7 +19,8 @@ first, and the rest is partitioned so that equal windows meet:
    of suffixes with `length` bytes in common are the repeated windows, and all but the
    earliest of an interval go.
 
-Shards are cut behind the exchange by anchor and not before it, since a shard of each
+Candidates are taken in `rounds` by their anchors, so that only a share of their bytes is
+on the shuffle's disk at a time. Shards are cut behind the exchange by anchor and not before it, since a shard of each
 pair of partitions would hold less than a string at scale.
 
 Anchors of more than 1/5000 of all runs in a sample of documents (at most 5000, which
@@ -63,6 +64,7 @@ class Settings:
     hot_rows: int = 1_000_000
     salts: int = 64
     batch_bytes: int = 1 << 20
+    rounds: int = 2
 
 
 def window_runs(b: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
@@ -269,11 +271,13 @@ def repeated_runs(docs: DataFrame, s: Settings) -> DataFrame:
     else:
         rows = rows.withColumn("hot", F.lit(False))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "start"), F.lit(s.salts))).otherwise(F.lit(0))
-    met = rows.repartition(parts, "anchor", salt).sortWithinPartitions("anchor")
-    found = C.written(met.mapInArrow(C.lean(_several), RUN + ", hot boolean"))
-    strings = _extract(docs, found, s).repartition(parts, "anchor", salt).sortWithinPartitions("hot", "anchor", "doc", "tie", "start")
-    windows = strings.mapInArrow(C.lean(_merged(s)), WINDOWS)
-    windows = C.written(windows)
+    found = C.written(rows.repartition(parts, "anchor", salt).sortWithinPartitions("anchor").mapInArrow(C.lean(_several), RUN + ", hot boolean"))
+    windows: DataFrame | None = None
+    for r in range(s.rounds):
+        some = found.where(F.pmod("anchor", F.lit(s.rounds)) == r)
+        new = C.written(_extract(docs, some, s).repartition(parts, "anchor", salt).sortWithinPartitions("hot", "anchor", "doc", "tie", "start").mapInArrow(C.lean(_merged(s)), WINDOWS))
+        windows = new if windows is None else windows.union(new)
+    C.dropped(found)
     out = windows.where("w1 is null").select("doc", "tie", "start", "n")
     spread = windows.where("w1 is not null")
     if not spread.isEmpty():

@@ -70,3 +70,17 @@ def test_table(spark):
     good = Q.keep_good(docs)
     assert good.columns == docs.columns and sorted(r.doc_id or 0 for r in good.collect()) == [0, 4]
     assert Q.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_repeats_that_the_base_rules_cannot_see():
+    """A long passage without white space, twice: no five words repeat, most bytes do."""
+    import random
+
+    rng = random.Random(1)
+    words = " ".join(f"w{i}" for i in range(40))
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(600))
+    longer = "".join(rng.choice("abcdefghij") for _ in range(2100))
+    texts = [f"{words} {blob} and {blob}", f"{words} {blob} and", f"{words} {longer} and {longer} {' '.join(f'v{i}' for i in range(4000))}"]
+    got = Q.measure(pa.array(texts), Q.Rules())
+    assert not got["base_failed"].any() and got["kept"].tolist() == [False, True, False]
+    assert got["repeat_bytes"][0] > 0.3 * len(texts[0]) and got["repeat_bytes"][2] < 0.3 * len(texts[2]) and got["longest_repeat"][2] > 2000

@@ -104,11 +104,11 @@ def test_common_prefixes_and_dealing():
     rng = np.random.default_rng(5)
     text = rng.integers(97, 99, 400).astype(np.uint8)
     off = np.array([0, 150, 290, 400])
-    shards = [bwt.build(text[i:j], np.array([0, j - i]), 2) for i, j in zip(off[:-1], off[1:])]
+    shards = [bwt.build(text[i:j], np.array([0, j - i]), 8, 2) for i, j in zip(off[:-1], off[1:])]
     order, common = bwt.merge(shards, 8, 2)
     for i in range(1, len(order)):
         a, b = (text[p : p + 8].tobytes() for p in order[i - 1 : i + 1])
         assert common[i] == next((k for k in range(4) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2]), 4)
     x = rng.integers(0, 1 << 20, 5000).astype(np.int32)
     assert (bwt.dealt(x, 1 << 20) == np.argsort(x, kind="stable")).all()
-    assert len(bwt.merge([bwt.build(text[:0], np.array([0]), 2)], 8, 2)[0]) == 0
+    assert len(bwt.merge([bwt.build(text[:0], np.array([0]), 8, 2)], 8, 2)[0]) == 0
