@@ -86,14 +86,23 @@ def agreement(tag: Column, vagueness: Column, density: Column) -> Column:
     return F.when(tag.isNull() | vagueness.isNull(), "not_computed").when(kinds == 1, "full").when(kinds == 2, "partial").otherwise("none")
 
 
+def unfenced(reply: Column) -> Column:
+    """A scorer's reply without a json fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```json\s*", ""), r"\s*```$", ""))
+
+
+def variant_string(v: Column, field: str) -> Column:
+    """A field of a variant, null unless it is a string there."""
+    is_text = F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant")) == "STRING"
+    return F.when(is_text, F.try_variant_get(v, f"$.{field}", "string"))
+
+
 def parsed_signal(reply: Column) -> Column:
     """struct(tag, reasoning) of a scorer's JSON reply, in a json fence or bare; null
     unless tag is high, medium or low and reasoning a string."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"^```json\s*", ""), r"\s*```$", ""))
-    v = F.try_parse_json(bare)
-    tag, why = F.try_variant_get(v, "$.tag", "string"), F.try_variant_get(v, "$.reasoning", "string")
-    is_text = F.schema_of_variant(F.try_variant_get(v, "$.reasoning", "variant")) == "STRING"
-    return F.when(tag.isin("high", "medium", "low") & is_text, F.struct(tag.alias("tag"), why.alias("reasoning")))
+    v = F.try_parse_json(unfenced(reply))
+    tag, why = F.try_variant_get(v, "$.tag", "string"), variant_string(v, "reasoning")
+    return F.when(tag.isin("high", "medium", "low") & why.isNotNull(), F.struct(tag.alias("tag"), why.alias("reasoning")))
 
 
 def request_id(signal: str, node_id: Column) -> Column:

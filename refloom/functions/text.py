@@ -26,9 +26,10 @@ def _title_pattern() -> str:
 
 
 def _number_list_pattern() -> str:
-    """A word for section and one or more section numbers."""
+    """A word for section and one or more section numbers. The list is possessive, which
+    Java matches in a loop: a greedy one would need stack for each number."""
     lead = "|".join(["[Ss]ections?", "[Ss]ubsections?", "s"])
-    more = r"(?:\s*(?:to|and|,)\s*" + NUMBER + ")*"
+    more = r"(?:\s*(?:to|and|,)\s*" + NUMBER + ")*+"
     return UNICODE + rf"\b(?:{lead})\s+" + NUMBER + more
 
 
@@ -40,6 +41,11 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def quoted_column(c: Column) -> Column:
+    """The same for a column."""
+    return F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
 def any_of(words: Iterable[str], ignore_case: bool = True) -> str:
     """Pattern of whole words or phrases."""
     return UNICODE[:-1] + ("i)" if ignore_case else ")") + r"\b(?:" + "|".join(map(quoted, words)) + r")\b"
@@ -114,7 +120,7 @@ def untagged_term(c: Column) -> Column:
 
 def recurrences(full_text: Column, term: Column) -> Column:
     """Whole-word occurrences of term, whatever its case."""
-    pattern = F.concat(F.lit(r"(?iU)\b\Q"), term, F.lit(r"\E\b"))
+    pattern = F.concat(F.lit(r"(?iU)\b"), quoted_column(term), F.lit(r"\b"))
     return F.regexp_count(full_text, pattern).cast("bigint")
 
 

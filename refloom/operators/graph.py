@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
-from .keep import kept
+from .keep import dropped, kept
 
 
 def fan_out(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
@@ -58,6 +58,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("score"))
     ranks = nodes.select("node_id", "flows", F.lit(1.0 / n).alias("score"))
+    old = None
     stuck = nodes.where("flows is null").count() / n
     for _ in range(exact_iterations if exact_iterations is not None else max_iterations):
         gain = ranks.join(share, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("gain"))
@@ -65,6 +66,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
         new = kept(ranks.join(gain, F.col("node_id") == F.col("dst"), "left").select("node_id", "flows", score.alias("score"), F.abs(score - F.col("score")).alias("change")))
         totals = new.agg(F.sum("change").alias("change"), F.sum(F.when(F.col("flows").isNull(), F.col("score"))).alias("stuck")).first()
         ranks, stuck = new.select("node_id", "flows", "score"), totals["stuck"] or 0.0
+        if old is not None:
+            dropped(old)
+        old = new
         if exact_iterations is None and totals["change"] < tolerance * n:
             break
     return ranks.select("node_id", "score")
@@ -88,10 +92,11 @@ def lower_counts(counts: DataFrame, column: str) -> DataFrame:
 
 def percentiles(scores: DataFrame, column: str = "score") -> DataFrame:
     """scores with percentile: the share of other nodes with a lower score, 0 to 100,
-    one decimal (halves to even); 100 for a single node."""
-    ranks = lower_counts(scores.groupBy(column).agg(F.count("*").alias("_n")), column).drop("_n")
+    one decimal (halves to even); 100 for a single node. Rows without a score have none,
+    and count for nothing."""
+    ranks = lower_counts(scores.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), column).drop("_n")
     value = F.when(F.col("_all") > 1, F.bround(F.col("_lower") / F.nullif(F.col("_all") - 1, F.lit(0)) * 100, 1)).otherwise(100.0)
-    return scores.join(ranks, column).withColumn("percentile", value).drop("_lower", "_all")
+    return scores.join(ranks, column, "left").withColumn("percentile", F.when(F.col(column).isNotNull(), value)).drop("_lower", "_all")
 
 
 def ranked_impact(impact: DataFrame, centrality: DataFrame) -> DataFrame:

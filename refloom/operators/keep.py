@@ -3,15 +3,47 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: With this set, Spark deletes a query's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir. Only on one machine (a local master) a
+    temporary one stands in where that is unset; a cluster without a shared folder is an
+    error."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base and sc._jsc.sc().getCheckpointDir().isDefined():
+        base = sc._jsc.sc().getCheckpointDir().get()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="refloom-")
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/refloom-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint. The folder is the session's spark.checkpoint.dir;
-    only where that is unset, as in tests on one machine, a temporary one is made."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="refloom-"))
-    return df.checkpoint(eager=True)
+    """df as a table in the shared folder: computed once, and read from there by all that
+    follows, whatever executors are lost; the shuffle files behind it go."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what `kept` wrote, once all that reads it has been kept."""
+    place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

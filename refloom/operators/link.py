@@ -22,6 +22,10 @@ from ..functions import classify as K
 from ..functions import text as T
 
 
+#: Tasks among which the citations of one title are dealt.
+TITLE_PARTS = 8
+
+
 def title_index(acts: DataFrame, normalize_index: bool = False) -> DataFrame:
     """(title_key, target): the act of each title in lower case; of equal titles the
     last loaded. normalize_index uses the citations' own normal form for the key."""
@@ -56,7 +60,8 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
 
     Addresses that begin with # or /akn/ must name an existing act, section or term.
     Each lookup is one equi-join of citations with a deduplicated key table; which side
-    is broadcast is left to the planner, which knows the sizes."""
+    is broadcast is left to the planner, which knows the sizes. A title that a large share
+    of all citations names is dealt to TITLE_PARTS tasks."""
     href = F.coalesce("target_href", F.lit(""))
     number = F.col("matched_section")
     address = F.when(href.startswith("#"), F.concat("act_frbr_uri", href)).when(href.startswith("/akn/au"), href)
@@ -65,13 +70,14 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
     rows = citations.select("*", address.alias("_address"), F.when(address.isNull(), number).alias("_number"), F.when(by_title, norm).alias("norm_title"))
     own = acts.select(F.col("frbr_uri").alias("act_frbr_uri"), T.normalized_title(F.col("title"))["title"].alias("_own")).dropDuplicates(["act_frbr_uri"])
     rows = rows.join(own, "act_frbr_uri", "left")
-    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title")})
+    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title"), "_part": F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(TITLE_PARTS))})
     nodes = node_ids(acts, sections, terms).select(F.col("node_id").alias("_ka"), F.col("node_id").alias("_a"))
     rows = rows.join(nodes, "_ka", "left")
     numbers = section_index(sections).select("act_frbr_uri", F.col("number").alias("_number"), F.col("target").alias("_b"))
     rows = rows.join(numbers, ["act_frbr_uri", "_number"], "left")
     titles = title_index(acts, normalize_index).select(F.col("title_key").alias("_kt"), F.col("target").alias("_c"))
-    rows = rows.join(titles, "_kt", "left")
+    titles = titles.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TITLE_PARTS - 1).cast("bigint"))))
+    rows = rows.join(titles, ["_kt", "_part"], "left")
     is_self = F.col("norm_title").eqNullSafe(F.col("_own"))
     direct = F.coalesce("_a", "_b")
     status = (
@@ -85,7 +91,9 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
 
 def ref_edges(resolved: DataFrame) -> DataFrame:
     """One edge for each (src, dst): its citations in order, their number as weight,
-    and is_cross_act of the first. Kinds come tagged, prose, intra within a section."""
+    and is_cross_act of the first. Kinds come tagged, prose, intra within a section. An
+    edge's list is no longer than its source section's citations; what needs no lists
+    uses edge_weights."""
     kind = F.when(F.col("kind") == "tagged", 0).when(F.col("kind") == "prose", 1).otherwise(2)
     row = F.struct(kind.alias("k"), F.col("cite_pos"), "ref_text", "relation", "relation_confidence", "extraction_confidence", "is_cross_act")
     edges = resolved.where("target is not null").groupBy(F.col("source_id").alias("src"), F.col("target").alias("dst")).agg(F.array_sort(F.collect_list(row)).alias("c"))
@@ -111,7 +119,8 @@ def candidate_sources(resolved: DataFrame) -> DataFrame:
 
 
 def candidate_report(resolved: DataFrame) -> DataFrame:
-    """The ledger with cited_by as a map from act to mentions."""
+    """The ledger with cited_by as a map from act to mentions, for a reader: a map has at
+    most an entry for each act. In rows it is candidate_sources."""
     by = candidate_sources(resolved).groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("act_frbr_uri", "n"))).alias("cited_by"))
     return candidates(resolved).join(by, "title").orderBy(F.desc("mention_count"), "title")
 
@@ -153,7 +162,7 @@ def mentions(sections: DataFrame, terms: DataFrame, acts: DataFrame | None = Non
         names = names.join(acts.select(F.col("frbr_uri").alias("act_frbr_uri")).distinct(), "act_frbr_uri", "left_semi")
     own = names.groupBy("act_frbr_uri", "display_term").agg(F.max_by("node_id", "doc_pos").alias("dst"))
     longest = F.array_sort(F.collect_list(F.struct((-F.length("display_term")).alias("n"), F.col("display_term").alias("t"))))
-    quoted = F.transform(longest, lambda x: F.concat(F.lit("\\Q"), x["t"], F.lit("\\E")))
+    quoted = F.transform(longest, lambda x: T.quoted_column(x["t"]))
     pattern = F.concat(F.lit(r"(?U)(?<![\w-])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\w-])"))
     patterns = own.groupBy("act_frbr_uri").agg(pattern.alias("pattern"))
     found = rows.join(patterns, "act_frbr_uri").select("act_frbr_uri", F.col("node_id").alias("src"), "doc_pos", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("display_term"))

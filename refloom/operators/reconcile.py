@@ -24,7 +24,8 @@ def contained_in(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """(title, match): the first existing title, by file_pos, that contains a
     candidate. Titles meet by the candidate's rarest word of those in the middle, which
     a containing title has whole, or, for one or two words, by the first three letters
-    within any of the titles' words; never as every pair."""
+    within any of the titles' words; without a word, by their first sign. Never as every
+    pair. An empty candidate is in every title, so the first one is its match."""
     cand = candidates.select("title").distinct().withColumn("_words", T.matches(F.lower("title"), r"(?U)[\w']+"))
     inner = F.slice("_words", 2, F.greatest(F.lit(0), F.size("_words") - 2))
     have = existing.select(F.col("title").alias("match"), "file_pos")
@@ -33,10 +34,14 @@ def contained_in(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     long = cand.where(F.size("_words") > 2).select("title", F.explode(F.array_distinct(inner)).alias("_w")).join(uses, "_w")
     rare = long.groupBy("title").agg(F.min_by("_w", F.struct("_uses", "_w")).alias("_w"))
     hits = rare.join(index, "_w").select("title", "match", "file_pos")
-    short = cand.where(F.size("_words") <= 2).select("title", F.element_at("_words", 1).alias("_part")).withColumn("_g", F.substring("_part", 1, 3))
+    short = cand.where(F.size("_words").between(1, 2)).select("title", F.try_element_at("_words", F.lit(1)).alias("_part")).withColumn("_g", F.substring("_part", 1, 3))
     letters = index.select("_w").distinct().select("_w", F.explode(_grams(F.col("_w"))).alias("_g"))
     parts = short.join(letters, "_g").where(F.col("_w").contains(F.col("_part"))).select("title", "_w").distinct().join(index, "_w").select("title", "match", "file_pos")
-    found = hits.union(parts).where(F.lower("match").contains(F.lower("title")))
+    bare = cand.where((F.size("_words") == 0) & (F.length("title") > 0)).select("title", F.substring("title", 1, 1).alias("_sign"))
+    signs = have.select("match", "file_pos", F.explode(F.array_distinct(F.split(F.regexp_replace("match", r"(?U)[\w']", ""), ""))).alias("_sign"))
+    first = have.agg(F.min_by("match", "file_pos").alias("match"), F.min("file_pos").alias("file_pos"))
+    empty = cand.where("title = ''").select("title").join(first.withColumn("title", F.lit("")), "title").select("title", "match", "file_pos")
+    found = hits.union(parts).union(bare.join(signs, "_sign").select("title", "match", "file_pos")).union(empty).where(F.lower("match").contains(F.lower("title")))
     return found.groupBy("title").agg(F.min_by("match", "file_pos").alias("match"))
 
 

@@ -35,6 +35,10 @@ def homonyms(rows: DataFrame) -> DataFrame:
     return rows.select(F.format_string("- %s (%s) in %s (%s)", "display_term", "entity_type", "act_title", "section_eid").alias("line"))
 
 
+def terms(rows: DataFrame) -> DataFrame:
+    return rows.select(F.format_string("- %s (%s)", "display_term", "section_eid").alias("line"))
+
+
 def multi_act(rows: DataFrame) -> DataFrame:
     return rows.select(F.format_string("- %s: %d acts", "display_term", "act_count").alias("line"))
 
@@ -72,6 +76,11 @@ def act_summary(rows: DataFrame) -> DataFrame:
     return rows.select(F.format_string("**%s** -- %d scored provisions\n\n- LLM codifiability breakdown: %s\n- Parse verification status: %s", F.col("act_frbr_uri"), F.col("records"), F.when(F.col("scored") > 0, shares).otherwise(NOT_COMPUTED), F.col("status")).alias("line"))
 
 
+def not_available(table: str) -> str:
+    """What is said where a side table has not been made."""
+    return f"The graph has no {table} table. Make it with the command {table}."
+
+
 def answer(rows: DataFrame, miss: str, separator: str = "\n") -> str:
     """The lines of one lookup as a string; an answer is meant for a reader."""
     lines = [r["line"] for r in rows.collect()]

@@ -98,10 +98,13 @@ def added_terms(terms: DataFrame, new: DataFrame) -> DataFrame:
 
 def verified_definitions(replies: DataFrame) -> DataFrame:
     """Items of JSON replies (section_text, reply and what else the rows carry) whose
-    definition stands word for word in the section."""
-    kind = "array<struct<term string, definition_text string>>"
-    rows = replies.select("*", F.explode(F.from_json("reply", kind, {"mode": "PERMISSIVE"})).alias("_i")).select("*", "_i.term", "_i.definition_text").drop("_i", "reply")
-    return rows.where((F.length(F.trim("term")) > 0) & (F.length("definition_text") > 0) & F.col("section_text").contains(F.col("definition_text")))
+    definition stands word for word in the section. A fence around a reply is taken off;
+    a reply that is no JSON list gives nothing, and of a list items that are no object or
+    whose term or definition is no string are skipped."""
+    items = F.try_variant_get(F.try_parse_json(K.unfenced(F.col("reply"))), "$", "array<variant>")
+    rows = replies.select("*", F.explode(items).alias("_i")).drop("reply")
+    rows = rows.select("*", K.variant_string(F.col("_i"), "term").alias("term"), K.variant_string(F.col("_i"), "definition_text").alias("definition_text")).drop("_i")
+    return rows.where((F.length("term") > 0) & (F.length("definition_text") > 0) & F.col("section_text").contains(F.col("definition_text")))
 
 
 def first_definitions(rows: DataFrame, *order: str) -> DataFrame:

@@ -48,7 +48,8 @@ def act_complexity(acts: DataFrame, sections: DataFrame, terms: DataFrame, edges
 def codifiability(sections: DataFrame, verification: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """One row for each section: obligation words (long and short list) and their tag,
     both scorer signals (node_id, signal1, signal2), agreement, and the act's
-    verification status (act_frbr_uri, status)."""
+    verification status (act_frbr_uri, status). Of several statuses of an act or signals
+    of a node the greatest counts, so that no row is repeated."""
     c = F.col("text")
     rows = sections.select("node_id", "eid", "act_frbr_uri", K.obligations(c).alias("prescriptive_density_count"), K.obligations(c, K.OBLIGATIONS_SHORT).alias("prescriptive_density_regdata_subset_count"))
     rows = rows.withColumn("prescriptive_density_tag", K.density_tag(F.col("prescriptive_density_count")))
@@ -56,8 +57,8 @@ def codifiability(sections: DataFrame, verification: DataFrame, scores: DataFram
         signal = F.lit(None).cast("struct<tag:string,reasoning:string>")
         rows = rows.withColumns({"signal1": signal, "signal2": signal})
     else:
-        rows = rows.join(scores.select("node_id", "signal1", "signal2"), "node_id", "left")
-    rows = rows.join(verification.select("act_frbr_uri", "status"), "act_frbr_uri", "left")
+        rows = rows.join(scores.groupBy("node_id").agg(F.max("signal1").alias("signal1"), F.max("signal2").alias("signal2")), "node_id", "left")
+    rows = rows.join(verification.groupBy("act_frbr_uri").agg(F.max("status").alias("status")), "act_frbr_uri", "left")
     return rows.select(
         "eid", "act_frbr_uri", F.col("signal1.tag").alias("llm_tag"), F.col("signal1.reasoning").alias("llm_reasoning"), F.col("signal2.tag").alias("vagueness_tag"), F.col("signal2.reasoning").alias("vagueness_reasoning"),
         "prescriptive_density_count", "prescriptive_density_regdata_subset_count", "prescriptive_density_tag",
@@ -100,12 +101,22 @@ def relation_distribution(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode("citations").alias("c")).groupBy("c.relation").agg(F.count("*").alias("n"))
 
 
+def relation_samples(edges: DataFrame, n: int = 10) -> DataFrame:
+    """(relation, src, dst, pos, ref_text): the first n citations of each relation, by
+    edge and place."""
+    rows = edges.select("src", "dst", F.posexplode("citations").alias("pos", "c")).select("c.relation", "src", "dst", "pos", "c.ref_text")
+    part = Window.partitionBy("relation", "_p").orderBy("src", "dst", "pos")
+    whole = Window.partitionBy("relation").orderBy("src", "dst", "pos")
+    few = rows.withColumn("_p", F.pmod(F.xxhash64("src", "dst"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= n)  # each part's own first
+    return few.withColumn("_k", F.row_number().over(whole)).where(F.col("_k") <= n).drop("_k", "_p")
+
+
 def samples(rows: DataFrame, label: str, key: str, n: int) -> DataFrame:
-    """The n rows of each label with the lowest hashes of key: the sample is the same
-    in any run and any order of rows. Each task keeps its own n lowest first."""
-    rows = rows.withColumn("_h", F.xxhash64(key))
+    """The n rows of each label with the lowest MD5 of key: the sample is the same in any
+    run, any order of rows and any engine. Each task keeps its own n lowest first."""
+    rows = rows.withColumn("_h", F.md5(F.col(key).cast("string")))
     part = Window.partitionBy("_p", label).orderBy("_h", key)
-    rows = rows.withColumn("_p", F.pmod("_h", F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= n)
+    rows = rows.withColumn("_p", F.pmod(F.xxhash64("_h"), F.lit(64))).withColumn("_k", F.row_number().over(part)).where(F.col("_k") <= n)
     whole = Window.partitionBy(label).orderBy("_h", key)
     return rows.withColumn("_k", F.row_number().over(whole)).where(F.col("_k") <= n).drop("_h", "_p", "_k")
 

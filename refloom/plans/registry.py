@@ -173,9 +173,23 @@ def fan_out(spark, d):
     return graph.fan_out(link.ref_edges(_resolved(spark, d))).groupBy("src", "target", "relation_confidence_label", "extraction_confidence_label").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {inputs.SQL} SELECT 'cites' AS relation, count(*) AS n FROM resolved WHERE target IS NOT NULL")
+_RELATED = "CASE v WHEN 0 THEN 'amends' WHEN 1 THEN 'repeals' WHEN 2 THEN 'references_definition' ELSE 'cites' END"
+
+
+def _related(spark, d):
+    """Edges whose citations have all kinds of relation."""
+    v = F.expr("case when kind = 'tagged' and ref_text = 'section 2' then 'amends' when kind = 'tagged' and ref_text = 'section 9' then 'repeals' when kind = 'tagged' then 'references_definition' else 'cites' end")
+    return link.ref_edges(_resolved(spark, d).withColumn("relation", v))
+
+
+@query(f"WITH {inputs.SQL} SELECT {_RELATED} AS relation, count(*) AS n FROM resolved WHERE target IS NOT NULL GROUP BY 1")
 def relation_distribution(spark, d):
-    return score.relation_distribution(link.ref_edges(_resolved(spark, d)))
+    return score.relation_distribution(_related(spark, d))
+
+
+@query(f"WITH {inputs.SQL} SELECT relation, src, dst, n AS pos FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY src, dst, n) k FROM (SELECT {_RELATED} relation, source_id src, target dst, (row_number() OVER (PARTITION BY source_id, target ORDER BY kind, cite_pos) - 1)::INT n FROM resolved WHERE target IS NOT NULL)) WHERE k <= 10")
+def relation_samples(spark, d):
+    return score.relation_samples(_related(spark, d), 10).select("relation", "src", "dst", "pos")
 
 
 @query(f"WITH {inputs.SQL} SELECT count(*) AS edges, count_if(weight > 1) AS repeated, sum(weight)::BIGINT AS weight FROM (SELECT source_id, target, count(*) weight, arg_min(is_cross_act, kind * 1000000000000 + cite_pos) x FROM resolved WHERE target IS NOT NULL GROUP BY 1, 2) WHERE NOT x AND split_part(source_id, '#', 1) = split_part(target, '#', 1)")
@@ -213,23 +227,26 @@ def impact_diamond_ties(spark, d):
 
 
 def _pagerank_sql(turns: int) -> str:
-    out = f"WITH {inputs.LAYERED}, nodes AS (SELECT src id FROM flow UNION SELECT dst FROM flow), k AS (SELECT count(*)::DOUBLE n FROM nodes), o AS (SELECT src, sum(w) total FROM flow GROUP BY 1), s AS (SELECT f.src, f.dst, f.w / o.total p FROM flow f JOIN o USING (src)), r0 AS (SELECT id, 1 / n AS x FROM nodes, k)"
+    """Turns one by one; once the change has fallen below the tolerance, no more."""
+    out = f"WITH {inputs.LAYERED}, nodes AS MATERIALIZED (SELECT src id FROM flow UNION SELECT dst FROM flow), k AS (SELECT count(*)::DOUBLE n FROM nodes), o AS MATERIALIZED (SELECT src, sum(w) total FROM flow GROUP BY 1), s AS MATERIALIZED (SELECT f.src, f.dst, f.w / o.total p FROM flow f JOIN o USING (src)), r0 AS MATERIALIZED (SELECT id, 1 / n AS x FROM nodes, k), f0 AS MATERIALIZED (SELECT false AS done)"
     for i in range(turns):
-        out += f", d{i} AS (SELECT coalesce(sum(x), 0) stuck FROM r{i} r ANTI JOIN o ON o.src = r.id), g{i} AS (SELECT s.dst, sum(r.x * s.p) g FROM r{i} r JOIN s ON s.src = r.id GROUP BY 1), r{i + 1} AS (SELECT r.id, 0.15 / n + 0.85 * stuck / n + 0.85 * coalesce(g, 0) x FROM r{i} r CROSS JOIN k CROSS JOIN d{i} LEFT JOIN g{i} ON g{i}.dst = r.id)"
+        out += f", d{i} AS (SELECT coalesce(sum(x), 0) stuck FROM r{i} r ANTI JOIN o ON o.src = r.id), g{i} AS (SELECT s.dst, sum(r.x * s.p) g FROM r{i} r JOIN s ON s.src = r.id GROUP BY 1), t{i} AS MATERIALIZED (SELECT r.id, x, 0.15 / n + 0.85 * stuck / n + 0.85 * coalesce(g, 0) y FROM r{i} r CROSS JOIN k CROSS JOIN d{i} LEFT JOIN g{i} ON g{i}.dst = r.id), r{i + 1} AS MATERIALIZED (SELECT id, CASE WHEN done THEN x ELSE y END x FROM t{i}, f{i}), f{i + 1} AS MATERIALIZED (SELECT done OR (SELECT sum(abs(y - x)) FROM t{i}) < 1e-6 * n AS done FROM f{i}, k)"
     return out + f" SELECT id AS node_id, round(x, 9) AS score FROM r{turns}"
 
 
-@query(_pagerank_sql(5))
+@query(_pagerank_sql(60))
 def pagerank(spark, d):
-    return graph.pagerank(inputs.layered(spark, d), exact_iterations=5).select("node_id", F.round("score", 9).alias("score"))
+    return graph.pagerank(inputs.layered(spark, d)).select("node_id", F.round("score", 9).alias("score"))
 
 
 _BY_SUPPLIER = "SELECT l_suppkey, count(*) AS score FROM lineitem GROUP BY 1"
 
 
-@query(f"SELECT l_suppkey, score, round_even(percent_rank() OVER (ORDER BY score) * 100, 1) AS percentile FROM ({_BY_SUPPLIER})")
+@query(f"SELECT l_suppkey, score, round_even(percent_rank() OVER (ORDER BY score) * 100, 1) AS percentile FROM ({_BY_SUPPLIER}) UNION ALL SELECT -n_nationkey - 1, NULL, NULL FROM nation")
 def centrality_percentile(spark, d):
-    return graph.percentiles(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("score"))).select("l_suppkey", "score", "percentile")
+    """Suppliers by their line items, and nations, which have no score."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("score"))
+    return graph.percentiles(rows.union(table(spark, d, "nation").selectExpr("cast(-n_nationkey - 1 as bigint)", "cast(null as bigint)"))).select("l_suppkey", "score", "percentile")
 
 
 @query(f"""WITH {inputs.SQL}, r AS (SELECT p_partkey, '/akn/au/act/' || p_partkey act, lower(p_type) term, CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'part-I__sec-' || (1 + p_partkey % 4) ELSE 'part-II__sec-1' END place FROM part),
@@ -353,9 +370,8 @@ def group_means(spark, d):
     return score.group_means(_docs(spark, d), "lang", "n_chars").select("lang", "n", F.round("mean", 6).alias("mean"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) k FROM documents) WHERE k <= 5")
 def sample_per_group(spark, d):
-    """Five a language by hash; DuckDB has no such hash, so tests hold it to its rule."""
     return score.samples(_docs(spark, d).select("doc_id", "lang"), "lang", "doc_id", 5)
 
 
@@ -370,17 +386,24 @@ def rename_map(spark, d):
     return reconcile.rename_map(table(spark, d, "part").selectExpr("p_brand name", "p_partkey pos", "array(upper(p_name), p_brand) name_history"))
 
 
-_LEDGER = "led AS (SELECT lower(p_name) title, count(*) mention_count FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 5 GROUP BY 1)"
+_LEDGER = "led AS (SELECT CASE WHEN p_size = 7 THEN 'repeal of ' ELSE '' END || lower(p_name || ' ' || p_brand) title, count(*) mention_count FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)"
+_TITLES = "lower(p_name || ' ' || p_brand)"
 
 
-@query(f"WITH {_LEDGER} SELECT title, mention_count, CASE WHEN mention_count < 5 THEN 'below_threshold' WHEN title = (SELECT min(lower(p_name)) FROM part) THEN 'excluded' WHEN EXISTS (SELECT 1 FROM part WHERE p_partkey % 50 = 0 AND contains(lower(p_name) || ' act', title)) THEN 'present' WHEN title IN (SELECT lower(p_name) FROM part WHERE p_partkey % 50 = 1) THEN 'renamed' ELSE 'genuine' END AS status FROM led")
+@query(f"""WITH {_LEDGER}, ex AS (SELECT DISTINCT lower(CASE WHEN p_size > 40 THEN 'the ' || p_name || ' ' || p_brand || ' act' ELSE p_type || ' act' END) n FROM part), ren AS (SELECT CASE WHEN p_size > 30 THEN {_TITLES} ELSE lower(p_type) END t FROM part), kn AS (SELECT CASE WHEN p_size > 20 THEN {_TITLES} ELSE lower(p_type) END t FROM part)
+SELECT title, mention_count, CASE WHEN mention_count < 25 THEN 'below_threshold' WHEN title = (SELECT min({_TITLES}) FROM part) THEN 'excluded' WHEN contains(title, 'repeal') THEN 'amendment_or_repeal' WHEN EXISTS (SELECT 1 FROM ex WHERE contains(n, title)) THEN 'present'
+WHEN title IN (SELECT t FROM ren) THEN 'renamed' WHEN title IN (SELECT t FROM kn) THEN 'known_title' ELSE 'genuine' END AS status FROM led""")
 def reconcile_status(spark, d):
+    """Every part gives a title to each list; size decides which kind of title."""
     part = table(spark, d, "part")
-    ledger = part.where("p_size > 5").join(table(spark, d, "lineitem"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.lower("p_name").alias("title")).agg(F.count("*").alias("mention_count"))
-    have = part.where("p_partkey % 50 = 0").selectExpr("concat(p_name, ' act') title", "p_partkey file_pos")
-    renames = part.where("p_partkey % 50 = 1").groupBy(F.lower("p_name").alias("old")).agg(F.max("p_brand").alias("current"))
-    known = part.where("false").selectExpr("p_name name")
-    return reconcile.status_report(ledger, have, renames, known, part.agg(F.min("p_name").alias("title"))).select("title", "mention_count", "status")
+    title = F.expr("concat(p_name, ' ', p_brand)")
+    of = lambda least: F.when(F.col("p_size") > least, title).otherwise(F.col("p_type"))
+    own = part.withColumn("title", F.expr("concat(if(p_size = 7, 'repeal of ', ''), lower(concat(p_name, ' ', p_brand)))"))
+    ledger = own.join(table(spark, d, "lineitem"), F.col("l_partkey") == F.col("p_partkey")).groupBy("title").agg(F.count("*").alias("mention_count"))
+    have = part.select(F.when(F.col("p_size") > 40, F.concat(F.lit("the "), title, F.lit(" act"))).otherwise(F.concat("p_type", F.lit(" act"))).alias("title"), F.col("p_partkey").alias("file_pos"))
+    renames = part.groupBy(F.lower(of(30)).alias("old")).agg(F.max("p_brand").alias("current"))
+    known = part.select(of(20).alias("name"))
+    return reconcile.status_report(ledger, have, renames, known, part.agg(F.min(F.lower(title)).alias("title")), threshold=25).select("title", "mention_count", "status")
 
 
 @query("SELECT o_orderkey, 'signal1_' || substr(sha256('signal1:' || o_orderkey), 1, 16) AS custom_id FROM orders")
@@ -400,10 +423,12 @@ def deep_links(spark, d):
     return inputs.acts(spark, d).select(F.col("act_pos").alias("p_partkey"), K.deep_link(F.col("title_id")).alias("url"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.;])\s+', '\1' || chr(1), 'g'), chr(1)) p FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, CASE WHEN length(text) // 4 <= 100 THEN [text] ELSE (SELECT list_append(r.done, r.open) FROM (SELECT list_reduce(list_transform(p, lambda x: {'done': []::VARCHAR[], 'open': x}), lambda a, b: CASE WHEN length(a.open) + 1 + length(b.open) <= 400 THEN {'done': a.done, 'open': a.open || ' ' || b.open} ELSE {'done': list_append(a.done, a.open), 'open': b.open} END) r)) END l FROM s)
+SELECT doc_id, (i - 1)::INT AS pos, length(l[i])::INT AS n_chars, md5(l[i]) AS chunk FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) i FROM c)""")
 def chunk_text(spark, d):
-    """Chunks of at most 100 tokens; a fold, held to a plain loop by the tests."""
-    return _docs(spark, d).select("doc_id", F.posexplode(T.chunks(F.col("text"), 100)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"))
+    """Chunks of at most 100 tokens: a fold over sentences."""
+    return _docs(spark, d).select("doc_id", F.posexplode(T.chunks(F.col("text"), 100)).alias("pos", "chunk")).select("doc_id", "pos", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' means a ' || lower(p_type) END AS term, 2::BIGINT + CASE WHEN p_partkey % 3 = 1 THEN -1 ELSE 0 END AS n FROM part WHERE p_partkey % 3 < 2")
@@ -453,10 +478,12 @@ def rendered_definitions(spark, d):
     return render.definitions(table(spark, d, "part").selectExpr("p_type display_term", "p_name act_title", "concat('sec-', p_partkey) section_eid", "p_brand definition_text"))
 
 
-@query("SELECT '- s' || l_suppkey || ' (hop 1, weight ' || printf('%.2f', n::DOUBLE) || ', centrality: 50.0th percentile) cites via \"a; b\"' AS line FROM (SELECT l_suppkey, count(*) n FROM lineitem GROUP BY 1)")
+@query(f"""SELECT '- s' || l_suppkey || ' (hop ' || (1 + score % 3) || ', weight ' || printf('%.2f', score::DOUBLE) || CASE WHEN p IS NULL THEN '' ELSE ', centrality: ' || p || 'th percentile' END || ') cites via "a; b"' AS line FROM (SELECT l_suppkey, score, CASE WHEN s_acctbal > 3000 THEN round_even(percent_rank() OVER (PARTITION BY s_acctbal > 3000 ORDER BY score) * 100, 1) END p FROM ({_BY_SUPPLIER}) JOIN supplier ON s_suppkey = l_suppkey)""")
 def rendered_impact(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("double").alias("path_weight"))
-    return render.impact(rows.selectExpr("concat('s', l_suppkey) node_id", "1 hop", "path_weight", "array('a', 'b') ref_texts", "50.0D centrality_percentile"))
+    """Percentiles among suppliers of some wealth; the others have none."""
+    n = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("score")).withColumn("node_id", F.format_string("s%d", "l_suppkey"))
+    rank = n.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).where("s_acctbal > 3000").select("node_id", "score")
+    return render.impact(graph.ranked_impact(n.selectExpr("node_id", "cast(1 + score % 3 as int) hop", "cast(score as double) path_weight", "array('a', 'b') ref_texts"), rank))
 
 
 @query("SELECT p_partkey, floor((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) / 15)::INT AS batch FROM part")
@@ -471,9 +498,13 @@ def first_definitions(spark, d):
     return rows.select("node_id", "definition_text", F.lower("term").alias("term"))
 
 
-@query("SELECT p_partkey, p_type AS term, p_name AS definition_text FROM part WHERE p_partkey % 2 = 0")
+@query("SELECT p_partkey, p_type AS term, p_name AS definition_text FROM part WHERE p_partkey % 4 < 2 UNION ALL SELECT p_partkey, 'second', 'stands' FROM part WHERE p_partkey % 4 < 3")
 def verified_definitions(spark, d):
-    rows = table(spark, d, "part").selectExpr("p_partkey", "concat('here ', p_name, ' stands') section_text", """concat('[{"term": "', p_type, '", "definition_text": "', p_name, case when p_partkey % 2 = 0 then '' else ' not' end, '"}, {"term": "", "definition_text": "here"}]') reply""")
+    """Replies with and without a fence, with items that are no object or have a number
+    for a term, with what does not stand in the section, and replies that are no list."""
+    items = """concat('[{"term": "', p_type, '", "definition_text": "', p_name, if(p_partkey % 4 = 2, ' not', ''), '"}, "x", 7, {"term": 5, "definition_text": "here"}, {"term": "", "definition_text": "here"}, {"term": "second", "definition_text": "stands"}]')"""
+    reply = f"case p_partkey % 4 when 1 then concat('```json\\n', {items}, '\\n```') when 3 then concat('{{', {items}, '}}') else {items} end reply"
+    rows = table(spark, d, "part").selectExpr("p_partkey", "concat('here ', p_name, ' stands') section_text", reply)
     return resolve.verified_definitions(rows).select("p_partkey", "term", "definition_text")
 
 
@@ -525,12 +556,14 @@ def upserted(spark, d):
     return link.upserted(part.selectExpr("p_partkey node_id", "p_brand v"), part.where("p_partkey % 3 = 0").selectExpr("p_partkey node_id", "p_name v"))
 
 
-@query(f"WITH {inputs.SQL}, m AS (SELECT s.node_id src, s.act_frbr_uri FROM sections s) SELECT src, CASE WHEN CAST(split_part(act_frbr_uri, '/', 5) AS INT) % 2 = 0 THEN 2 ELSE 1 END AS n FROM m")
+@query(f"""WITH {inputs.SQL}, o AS (SELECT act_frbr_uri, display_term, arg_max(node_id, doc_pos) dst FROM terms WHERE entity_type IS NOT NULL GROUP BY 1, 2)
+SELECT s.node_id AS src, o.dst, CASE WHEN p_size > 25 THEN 2 ELSE 1 END::BIGINT AS count FROM sections s JOIN o USING (act_frbr_uri) JOIN part ON act_frbr_uri = '/akn/au/act/' || p_partkey""")
 def rebuilt_mentions(spark, d):
-    s = inputs.sections(spark, d)
-    old, some = s.selectExpr("node_id src", "1 n"), inputs.acts(spark, d).where("act_pos % 2 = 0")
-    new = s.join(some, s["act_frbr_uri"] == some["frbr_uri"], "left_semi").selectExpr("node_id src", "2 n")
-    return link.rebuilt(old, new, s, some)
+    """Mentions of some acts made afresh, from texts that now name their entity twice."""
+    s, t = inputs.sections(spark, d), inputs.terms(spark, d)
+    some = table(spark, d, "part").where("p_size > 25").selectExpr("concat('/akn/au/act/', p_partkey) frbr_uri", "p_type")
+    again = s.join(some.withColumnRenamed("frbr_uri", "act_frbr_uri"), "act_frbr_uri").withColumn("text", F.concat_ws(" ", "text", "p_type")).select(*s.columns)
+    return link.rebuilt(link.mentions(s, t), link.mentions(again, t, some), s, some)
 
 
 @query("SELECT p_partkey, unnest([p_name || ' of ' || p_brand, 'of ' || p_brand]) AS fragment FROM (SELECT *, row_number() OVER () FROM part WHERE NOT contains(p_name, ' ')) UNION ALL SELECT p_partkey, unnest([p_name || ' of ' || p_brand, split_part(p_name, ' ', 2) || ' of ' || p_brand, 'of ' || p_brand]) FROM part WHERE contains(p_name, ' ')")
@@ -578,3 +611,6 @@ def act_rollup(spark, d):
     rank = edges.select(F.col("dst").alias("node_id")).distinct().withColumn("score", F.lit(0.5))
     rows = score.act_complexity(inputs.acts(spark, d), inputs.sections(spark, d), inputs.terms(spark, d), edges, rank)
     return rows.select("act_frbr_uri", F.col("raw_citation_count").alias("cited"), F.col("defined_term_count").alias("terms"), F.col("word_count").alias("words"), F.round("defined_term_density", 9).alias("density"))
+
+
+from . import corpora  # noqa: E402,F401  adds its queries

@@ -7,7 +7,6 @@ A graph folder has one Parquet table each and _meta.json with the format's versi
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import link
+from . import versions
 from .xmlflat import flat_documents
 
 FORMAT = 1
@@ -82,12 +82,12 @@ def citations(sections: DataFrame) -> DataFrame:
 
     raw = F.col("raw")
     tagged = sections.select(*base, F.posexplode("refs").alias("pos", "c")).select(*base, "pos", "c.href", F.col("c.ref_text").alias("raw")).withColumn("r", rel)
-    out = rows(tagged, "tagged", raw, ~F.col("href").startswith("#"), F.col("href"), none, none, TAGGED, F.col("pos"))
+    out = rows(tagged, "tagged", raw, ~F.col("href").startswith("#"), F.col("href"), none, none, TAGGED, F.col("pos").cast("bigint"))
     titled = sections.select(*base, F.posexplode(T.prose_citations(F.col("prose_text"))).alias("pos", "raw")).withColumn("t", T.normalized_title(raw)).where("t is not null").withColumn("r", rel)
-    out = out.unionByName(rows(titled, "prose", raw, F.lit(True), none, F.col("t.title"), none, PROSE, F.col("pos")))
+    out = out.unionByName(rows(titled, "prose", raw, F.lit(True), none, F.col("t.title"), none, PROSE, F.col("pos").cast("bigint")))
     lists = sections.select(*base, F.posexplode(T.number_lists(F.col("prose_text"))).alias("pos", "raw")).withColumn("r", rel)
     each = lists.select("*", F.posexplode(T.section_numbers(raw)).alias("k", "number"))
-    return out.unionByName(rows(each, "intra", raw, F.lit(False), none, none, F.col("number"), INTRA, (F.col("pos") * 1000 + F.col("k")).cast("int")))
+    return out.unionByName(rows(each, "intra", raw, F.lit(False), none, none, F.col("number"), INTRA, F.col("pos").cast("bigint") * (1 << 32) + F.col("k")))
 
 
 def build(spark: SparkSession, folder: str, normalize_index: bool = False) -> dict[str, DataFrame]:
@@ -99,10 +99,6 @@ def build(spark: SparkSession, folder: str, normalize_index: bool = False) -> di
     return t
 
 
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
-
-
 def save(t: dict[str, DataFrame], folder: str) -> None:
     """Writes a graph folder; its marker last, so that a broken-off write is no graph."""
     for name in TABLES:
@@ -114,7 +110,7 @@ def save(t: dict[str, DataFrame], folder: str) -> None:
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """A graph folder's tables. FileNotFoundError without one, ValueError for another
     format."""
-    if "://" not in folder and not os.path.isdir(os.path.join(_local(folder), "_meta")):
+    if not versions.exists(spark, f"{folder}/_meta"):
         raise FileNotFoundError(folder)
     meta = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/_meta").collect()))
     if not meta.get("multigraph") or meta.get("format") != FORMAT:
@@ -129,7 +125,7 @@ def save_sidecar(df: DataFrame, folder: str, name: str, form: str = "parquet") -
 def load_sidecar(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """The derived table, or None where it hasn't been made."""
     path = f"{folder}/{name}"
-    if "://" not in path and not os.path.isdir(_local(path)):
+    if not versions.exists(spark, path):
         return None
     return spark.read.parquet(path)
 
@@ -144,14 +140,6 @@ def node_link(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return nodes, links.union(pair(link.contains(t["sections"]), "contains")).union(pair(link.defines(t["terms"], t["sections"]), "defines"))
 
 
-def next_version(df: DataFrame, folder: str, name: str, marks: list[str]) -> str:
-    """Writes df beside the version in use, whose name stays as the backup; returns
-    the new version's name. marks: the names so far."""
-    new = f"{name}-v{len(marks) + 1}"
-    df.write.mode("errorifexists").parquet(f"{folder}/{new}")
-    return new
-
-
 def label_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules of JSON files {"rules": [...]}: (domain, rule as JSON)."""
     rows = spark.read.option("multiLine", True).schema("rules array<string>").json(path)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 INLINE = frozenset(("b", "i", "span", "sub", "sup", "u"))
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1000
 CONTROL = re.compile("[\x1c-\x1f]")
 
 FLAT = (
@@ -103,16 +104,24 @@ def flatten(data: bytes) -> dict:
 
 def flat_documents(files: DataFrame) -> DataFrame:
     """FLAT rows of files (path, content). A document that can't be read has error and
-    nothing else."""
+    nothing else. Rows go on in batches of about BATCH_BYTES of XML."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                row = dict.fromkeys(ARROW.names) | {"path": path}
+            for path, data in zip(b.column(0), b.column(1)):
+                data = data.as_py() or b""
+                row = dict.fromkeys(ARROW.names) | {"path": path.as_py()}
                 try:
-                    row |= flatten(data or b"")
+                    row |= flatten(data)
                 except (ValueError, ET.ParseError) as e:
                     row["error"] = f"{type(e).__name__}: {e}"
-                yield pa.RecordBatch.from_pylist([row], ARROW)
+                rows.append(row)
+                size += len(data)
+                if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, ARROW)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, ARROW)
 
     return files.select("path", "content").mapInArrow(run, FLAT)
