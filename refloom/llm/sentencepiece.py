@@ -6,17 +6,21 @@ distinct words of a run of texts are sorted, so that they are a trie in depth-fi
 order: the forward pass over a word starts where it leaves the word before it and
 reuses the states of their common prefix. Back pointers give the pieces.
 
-* A unigram model's state is the Viterbi score of the best segmentation so far.
+* The Viterbi state of a prefix is the score of its best segmentation. For a unigram
+  model its pieces are the ids.
 * The public vocabulary is a byte-pair model, whose ids are not the best sum of its
-  scores, so that plain Viterbi gives wrong ids. Here the state of a prefix is the
+  scores, so that plain Viterbi gives wrong ids. There the state of a prefix is also the
   last piece of its byte-pair encoding: the one piece that ends there, joins a prefix
-  whose own last piece is known, and stays apart from that piece in merging. One
-  forward pass over these states gives exactly the library's ids.
+  whose own last piece is known, and stays apart from that piece in merging. The same
+  pass over the trie finds both; this state gives exactly the library's ids, and the
+  Viterbi segmentation those of the same vocabulary read as a unigram model.
 
 Characters that are no piece become byte pieces (or the unknown piece). Null and empty
 texts have no ids. Decoding joins pieces and bytes; invalid bytes become U+FFFD. A
 U+2581 in a text is decoded as a space, as by the library: such texts alone don't
-come back as they were.
+come back as they were. Of equal sums the longest last piece counts, as in the library.
+Repeated rows have equal results, very long texts are encoded whole, an empty table gives
+no rows, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -133,18 +137,16 @@ class Encoder:
         self.unknown = m.kinds.index(UNKNOWN) if UNKNOWN in m.kinds else 0
         if m.bpe:
             self._rank(normal)
-        else:
-            self.low = min((m.scores[i] for i in normal), default=0.0) - 10.0
+        self.low = min((m.scores[i] for i in normal), default=0.0) - 10.0
         self.back: dict = {}  # pieces by their characters from the last to the first; None: the piece itself
         for i in normal:
-            if m.bpe and i not in self.number:
-                continue
             node = self.back
             for ch in reversed(m.pieces[i]):
                 node = node.setdefault(ch, {})
             node[None] = i
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.best: dict[str, int] = {}  # ids of the Viterbi segmentation
 
     def _rank(self, normal: list[int]) -> None:
         """Numbers pieces in the order in which merges make them, and finds for each
@@ -204,21 +206,23 @@ class Encoder:
         return [marked] if self.whole else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
 
     def _forward(self, words: list[str]):
-        """The pieces of each of the sorted words, as (piece or UNK, start) backwards."""
-        m, back, number = self.model, self.back, getattr(self, "number", None)
-        piece: list[int] = [UNK]  # by place: the last piece of the prefix that ends there
-        start: list[int] = [0]
-        score: list[float] = [0.0]
+        """(word, pieces, best pieces) of each of the sorted words: those of the ids and
+        those of the Viterbi segmentation, as (piece or UNK, start, end)."""
+        scores, back, number, low = self.model.scores, self.back, getattr(self, "number", None), self.low
+        piece, start = [UNK], [0]  # by place: the last piece of the prefix that ends there
+        bpiece, bstart, score = [UNK], [0], [0.0]  # and that of its best segmentation
         before = ""
         for word in words:
             n = len(word)
             at, most = 0, min(n, len(before))
             while at < most and word[at] == before[at]:
                 at += 1
-            del piece[at + 1 :], start[at + 1 :], score[at + 1 :]
+            for state in (piece, start, bpiece, bstart, score):
+                del state[at + 1 :]
             for end in range(at + 1, n + 1):
                 node, i = back, end
-                best, where, top = UNK, end - 1, None
+                last, where, best, from_, top = UNK, end - 1, UNK, end - 1, score[end - 1] + low
+                known = False
                 while i > 0:
                     i -= 1
                     node = node.get(word[i])
@@ -226,50 +230,63 @@ class Encoder:
                         break
                     p = node.get(None)
                     if p is not None:
-                        if number is not None:
-                            last = piece[i]
-                            if i == 0 or last == UNK or self._apart(number[last], number[p]):
-                                best, where = p, i
-                                break
-                        else:
-                            s = score[i] + m.scores[p]
-                            if top is None or s >= top:
-                                best, where, top = p, i, s
-                if number is None:
-                    if word[end - 1] not in back or None not in back[word[end - 1]]:
-                        s = score[end - 1] + self.low
-                        if top is None or s > top:
-                            best, where, top = UNK, end - 1, s
-                    score.append(top)
-                piece.append(best)
+                        s = score[i] + scores[p]
+                        if s >= top or best == UNK and i == end - 1:
+                            best, from_, top = p, i, s
+                        if number is not None and not known and p in number:
+                            q = piece[i]
+                            if i == 0 or q == UNK or self._apart(number[q], number[p]):
+                                last, where, known = p, i, True
+                bpiece.append(best)
+                bstart.append(from_)
+                score.append(top)
+                piece.append(last)
                 start.append(where)
             before = word
-            out, i = [], n
-            while i > 0:
-                out.append((piece[i], start[i], i))
-                i = start[i]
-            yield word, out[::-1]
+            parts = []
+            for pieces, starts in ((piece, start), (bpiece, bstart)):
+                out, i = [], n
+                while i > 0:
+                    out.append((pieces[i], starts[i], i))
+                    i = starts[i]
+                parts.append(out[::-1])
+            yield word, parts[number is None], parts[1]
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words.difference(self.known))
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
+            self.best.clear()
             new = sorted(words)
-        for word, parts in self._forward(new):
-            ids: list[int] = []
-            run = False
-            for p, i, j in parts:
-                if p != UNK:
-                    ids.append(p)
-                elif self.model.byte_fallback:
-                    ids += [self.byte[b] for b in word[i:j].encode()]
-                elif not run:
-                    ids.append(self.unknown)
-                run = p == UNK
-            self.known[word] = array("I", ids).tobytes()
+        for word, parts, best in self._forward(new):
+            self.known[word] = array("I", self._ids(word, parts)).tobytes()
+            self.best[word] = len(best) if all(p != UNK for p, _, _ in best) else len(self._ids(word, best))
+
+    def _ids(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
+        ids: list[int] = []
+        run = False
+        for p, i, j in parts:
+            if p != UNK:
+                ids.append(p)
+            elif self.model.byte_fallback:
+                ids += [self.byte[b] for b in word[i:j].encode()]
+            elif not run:
+                ids.append(self.unknown)
+            run = p == UNK
+        return ids
+
+    def viterbi(self, text: str) -> list[int]:
+        """Ids of the best segmentation by the sum of scores."""
+        words = self.words(text) if text else []
+        best = {w: self._ids(w, b) for w, _, b in self._forward(sorted(set(words)))}
+        return [i for w in words for i in best[w]]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, four bytes each."""
+        return [ids for ids, _ in self.both(texts)]
+
+    def both(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
+        """Ids of each text, and the number of those of its best segmentation."""
         parts = []
         for t in texts:
             if not t:
@@ -282,10 +299,11 @@ class Encoder:
             else:
                 parts.append((MARK + t.replace(" ", " " + MARK)).split(" "))
         self.learn(set().union(*parts) if parts else set())
-        known = self.known.__getitem__
-        out = [b"".join(map(known, p)) for p in parts]
+        known, best = self.known.__getitem__, self.best.__getitem__
+        out = [(b"".join(map(known, p)), sum(map(best, p))) for p in parts]
         if len(self.known) > KNOWN:
             self.known.clear()
+            self.best.clear()
         return out
 
 
@@ -316,8 +334,8 @@ class Decoder:
 
 def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
     """doc_id, n_tokens and either the ids or, for ids=False, a digest: ids_crc32 (of
-    little-endian unsigned 32-bit ids), decoded_sha256 and lossless (the decoded ids
-    are the text)."""
+    little-endian unsigned 32-bit ids), decoded_sha256, lossless (the decoded ids are
+    the text) and n_viterbi (ids of the best segmentation by scores)."""
     path = path or C.tokenizer_path(PIECES)
 
     def run(batches):
@@ -326,16 +344,16 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
         for b in batches:
             for i, j in slices(b.column(1), 1 << 20):
                 texts = b.column(1).slice(i, j - i).to_pylist()
-                got = encoder.batch(texts)
+                got, best = map(list, zip(*encoder.both(texts)))
                 n = pa.array([len(g) // 4 for g in got], pa.int64())
                 own = b.column(0).slice(i, j - i)
                 if ids:
                     yield pa.RecordBatch.from_arrays([own, n, pa.array([array("I", g).tolist() for g in got], pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
                 else:
                     back = [decoder(g) for g in got]
-                    yield pa.RecordBatch.from_arrays([own, n, pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([t == (x or "") for t, x in zip(back, texts)], pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+                    yield pa.RecordBatch.from_arrays([own, n, pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([t == (x or "") for t, x in zip(back, texts)], pa.bool_()), pa.array(best, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless", "n_viterbi"])
 
-    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, n_tokens bigint, " + ("ids array<int>" if ids else "ids_crc32 bigint, decoded_sha256 string, lossless boolean"))
+    return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, n_tokens bigint, " + ("ids array<int>" if ids else "ids_crc32 bigint, decoded_sha256 string, lossless boolean, n_viterbi bigint"))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -46,11 +46,81 @@ def test_unigram_viterbi(vocabulary, texts):
         return max(own if t[0] in vocabulary else [*own, encoder.low + best(t[1:])])
 
     words = sorted({w for t in texts for w in encoder.words(t)})
-    for word, parts in encoder._forward(words):
+    for word, parts, same in encoder._forward(words):
+        assert parts == same
         assert "".join(word[i:j] for _, i, j in parts) == word
         assert abs(sum(encoder.low if p == S.UNK else m.scores[p] for p, _, _ in parts) - best(word)) < 1e-9
 
 
+def unigram_library():
+    """The library with the public vocabulary read as a unigram model: its trainer's kind
+    is changed from 2 to 1."""
+    data = open(PATH, "rb").read()
+
+    def varint(n):
+        got = b""
+        while True:
+            got += bytes([n & 127 | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return got
+
+    def message(data, change):
+        out, at = b"", 0
+
+        def read():
+            nonlocal at
+            v = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                v |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return v
+
+        while at < len(data):
+            key = read()
+            if key & 7 == 0:
+                v = read()
+                v = change(key >> 3, v)
+                out += varint(key) + varint(v)
+            elif key & 7 == 2:
+                n = read()
+                out += varint(key) + (lambda x: varint(len(x)) + x)(change(key >> 3, data[at : at + n]))
+                at += n
+            else:
+                n = 4 if key & 7 == 5 else 8
+                out += varint(key) + data[at : at + n]
+                at += n
+        return out
+
+    kind = lambda f, v: 1 if f == 3 and isinstance(v, int) else v
+    return sentencepiece.SentencePieceProcessor(model_proto=message(data, lambda f, v: message(v, kind) if f == 2 else v))
+
+
+def test_viterbi_is_the_best_the_library_lists():
+    """Its first of several segmentations has the same sum of scores. (Its plain encode
+    sums in single precision, where the mark's score of -10^9 hides small ones.)"""
+    lib, encoder = unigram_library(), S.Encoder(S.load(PATH))
+
+    def check(t):
+        got, total = encoder.viterbi(t), lambda ids: sum(map(lib.get_score, ids))
+        assert "".join(map(lib.id_to_piece, got)) == "▁" + t.replace(" ", "▁") and encoder.both([t])[0][1] == len(got)
+        assert total(got) == total(lib.nbest_encode_as_ids(t, 3)[0]), t
+
+    for t in ("the then there they're the", "Some words, as one finds them; shared prefix, prefixes and prefixing.", "other towers"):
+        check(t)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="abetnrs", min_size=2, max_size=9), min_size=1, max_size=5).map(" ".join))
+    def any_words(t):
+        check(t)
+
+    any_words()
+    assert encoder.viterbi("") == [] and len(encoder.viterbi("東")) in (2, 4)
+
+
 def test_whole_documents(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
