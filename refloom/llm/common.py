@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Only on one machine (a local master),
     as in tests, a temporary folder stands in where that is unset; a cluster without a
     shared folder is an error."""
+    if _scratch:
+        return f"{_scratch[-1]}/refloom-{uuid.uuid4().hex}"
     jsc = spark.sparkContext._jsc.sc()
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base and jsc.getCheckpointDir().isDefined():
@@ -56,11 +58,31 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+_scratch: list[str] = []  # folders in which the tables of a running stage lie
+
+
+def finished(spark: SparkSession, stage: Callable[[], DataFrame]) -> DataFrame:
+    """What the stage returns, written; the tables that it wrote on its way are deleted.
+    Run one stage at a time in a process."""
+    folder = shared_dir(spark)
+    _scratch.append(folder)
+    try:
+        made = stage()
+    finally:
+        _scratch.pop()
+    out = written(made)
+    _delete(spark, folder)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table that `written` made, once all that reads it has been written."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _delete(df.sparkSession, df.written_at)
 
 
 def lean(run: Callable) -> Callable:

@@ -3,12 +3,16 @@
 Each partition packs its pieces best-fit, longest first, and emits the bins that are
 nearly full (at most `slack` tokens free). Underfull bins become items: they meet in
 fewer partitions, are packed best-fit again, and so on up a tree until one task holds
-what is left or a round saves less than a twentieth of the bins. No task holds more
-than `window` pieces or about `fan_in` bins; a bin has at most `capacity` pieces.
+what is left or a round saves less than a twentieth of the bins. A round deals underfull
+bins at random, so each of its tasks sees the same mix of fills as any other; what best
+fit can't pair among `fan_in` of them it could not among all. No task holds more than
+`window` pieces or about `fan_in` bins; a bin has at most `capacity` pieces.
 
 Only documents longer than the capacity are cut. Null text is empty, and an empty
 document is its end token alone. Every row of docs is packed, repeated ones as often
-as they occur; an empty table gives no sequences.
+as they occur; of equal lengths the earlier piece goes first. Very long texts give as many
+pieces as they need. An empty table gives no sequences. Columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations

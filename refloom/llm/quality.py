@@ -6,8 +6,13 @@ at most `max_covered` of the text and none may be longer than `max_longest`. Tex
 without any repeated window of min_bytes have no such substring and get no suffix
 array: one vectorised pass over a batch finds the others.
 
-Nulls and empty texts have no words and fail the base rules. Columns other than
-doc_id and text are not read by `quality_rules`; `keep_good` carries them along.
+The base rules see repeated words; suffix arrays also see what repeats without white
+space (encoded data, scripts that don't part words), where no five words do.
+
+Nulls and empty texts have no words and fail the base rules. Very long texts are measured
+whole, as a batch of their own; repeated rows have equal results, an empty table none.
+Columns other than doc_id and text are not read by `quality_rules`; `keep_good` carries
+them along.
 """
 
 from __future__ import annotations

@@ -1,8 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
 from refloom.llm import common as C
-from refloom.llm import quality, tokens
+from refloom.llm import quality, tokens, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,6 +33,11 @@ def test_stages(spark):
         if name == "quality_rules":
             kept = {r.doc_id for r in quality.quality_rules(C.table(spark, DATA, "documents")).where("kept").collect()}
             assert set(now) == kept
+        if name == "toxicity":
+            model = toxicity.train(spark.createDataFrame([(d, t) for d, t in before.items()], "doc_id bigint, text string"), C.table(spark, DATA, "labels"))
+            toxic = {d for d, t in before.items() if toxicity.score(model, toxicity.Terms(model.bits)(t)) >= 0.5}
+            labelled = {r.doc_id for r in C.table(spark, DATA, "labels").where("toxic = 1").collect()} & set(before)
+            assert set(now) == set(before) - toxic and toxic and len(toxic & labelled) >= 0.7 * len(labelled)
         if name == "minhash_near_dedup":
             assert len({r.text for r in now.values()}) == len(now)
         if name == "suffix_array_dedup":
@@ -43,7 +49,10 @@ def test_stages(spark):
     encoder = tokens.Encoder(tokens.WORD_BPE)
     assert sum(r.length for r in pieces) == sum(len(i) // 4 + 1 for i in encoder.batch(list(before.values())))
     assert {r.doc_id for r in pieces} == set(before)
+    folder = os.path.dirname(C.shared_dir(spark)).removeprefix("file://")
+    there = set(os.listdir(folder))
     run = corpus_pipeline.run(spark, DATA).collect()
+    assert len(set(os.listdir(folder)) - there) == 1  # the result alone
     place = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(place, run)) == sorted(map(place, pieces))
 
