@@ -10,10 +10,10 @@ one, main element.
 
 Elements, roles and words of class or id that tell of menus, headers, footers, sidebars,
 notices, adverts, forms and comments are hints: a hint lowers the points of the blocks
-inside to a fifth, and what bears it goes from the article unless it holds the best
-container. A weak hint (a word that has other uses) also gives way where its element has
-a third of the article's points, mostly outside links; words beside no, with, has,
-without or free hint at nothing. So hints choose between containers but can't empty a
+inside to a twentieth, a weak one (a word that has other uses) to a fifth, and what bears
+it goes from the article unless it holds the best container. A weak hint also gives way
+where its element has a third of the article's points, mostly outside links; words beside
+no, with, has, without or free hint at nothing. So hints choose between containers but can't empty a
 page. Only what is never text goes at once: scripts, styles, templates, the head,
 replaced elements and the controls of forms.
 
@@ -61,7 +61,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WIDE = frozenset(("article", "main"))
 CONTAINERS = frozenset(("", "html", "body", "main", "article", "section", "div", "td", "form"))
 NONE, SOME, SURE, TEXTLESS = range(4)
-LOWERED = 0.2
+LOWERED = (1.0, 0.2, 0.05, 1.0)  # by hint
 LEAST = 1e-6
 
 
@@ -216,7 +216,7 @@ class _Scores:
         self.points, self.plain, self.size, self.linked, self.links = [0.0] * n, [0.0] * n, [0] * n, [0] * n, [0] * n
         lowered = [1.0] * n
         for i in range(1, n):  # parents come first
-            lowered[i] = lowered[t.parent[i]] * (LOWERED if t.hint[i] else 1.0)
+            lowered[i] = lowered[t.parent[i]] * LOWERED[t.hint[i]]
         for node, text, inside, links in t.blocks:
             gain = (1 + text.count(",") + min(len(text) / 100, 3)) * _share(inside, len(text))
             if t.tag[node] in HEADINGS:

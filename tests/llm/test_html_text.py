@@ -1,3 +1,4 @@
+import math
 import re
 import time
 
@@ -104,7 +105,7 @@ def unnamed_page(rng):
     return f"<html><body>{menu}<div>{''.join(parts)}</div>{foot}</body></html>", [title, *paras]
 
 
-def test_scores_decide_on_pages_without_telling_names(monkeypatch):
+def test_scores_decide_on_pages_without_telling_names():
     import random
 
     from refloom.llm import html_text as H
@@ -124,7 +125,7 @@ def test_scores_by_definition():
 
     rng = random.Random(8)
     for _ in range(60):
-        page, depth = "", 0
+        page = ""
         for _ in range(40):
             pick = rng.random()
             if pick < 0.35:
@@ -147,7 +148,7 @@ def test_scores_by_definition():
                 to = path if t.tag[node] in H.CONTAINERS else path[1:]
                 if i in to:
                     gain = (1 + text.count(",") + min(len(text) / 100, 3)) * max(1 - inside / len(text), H.LEAST)
-                    gain *= (0.25 if t.tag[node] in H.HEADINGS else 1) * H.LOWERED ** sum(bool(t.hint[k]) for k in path)
+                    gain *= (0.25 if t.tag[node] in H.HEADINGS else 1) * math.prod(H.LOWERED[t.hint[k]] for k in path)
                     points += gain / (1 + to.index(i))
             want = points * max(1 - linked / size, H.LEAST) if size else 0
             assert abs(s.score[i] - want) < 1e-9
