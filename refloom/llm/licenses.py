@@ -1,6 +1,8 @@
 """License scans: Dice coefficient over word bigrams with size bounds.
 
-In lower case, with letters and digits as words, every run of words is a region; of a
+In lower case, with letters and digits as words (so that signs, comment marks and line
+breaks don't matter) and one spelling for words that have two, every run of words is a
+region; of a
 template of fewer than WHOLE bigrams, whose words are common, only runs of whole units
 (lines and their sentences). A region matches a template if the Dice coefficient of the
 two bags of word bigrams, 2 |A & B| / (|A| + |B|), reaches the threshold t. A template of
@@ -132,6 +134,17 @@ for _name, _text in _MORE:
 
 WHOLE = 4
 WORD = re.compile(r"[^\W_]+")
+#: One of two spellings for words that license texts are written with.
+SPELLING = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "licencee": "licensee", "licencor": "licensor", "sublicence": "sublicense", "relicence": "relicense",
+    "https": "http", "acknowledgement": "acknowledgment", "analogue": "analog", "authorisation": "authorization", "authorised": "authorized", "behaviour": "behavior", "catalogue": "catalog", "centre": "center",
+    "customisation": "customization", "endeavour": "endeavor", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment",
+    "labelling": "labeling", "labour": "labor", "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program", "realise": "realize", "recognise": "recognize", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+}
+
+
+def words_of(text: str) -> list[str]:
+    return [SPELLING.get(w, w) for w in WORD.findall(text.lower())]
 UNIT = re.compile(r"\n|(?<=[.!?:;])\s")
 
 
@@ -159,9 +172,9 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8):
         self.t = threshold
         self.templates = []
-        uses = Counter(w for _, text in templates for w in set(WORD.findall(text.lower())))
+        uses = Counter(w for _, text in templates for w in set(words_of(text)))
         for name, text in templates:
-            grams = bigrams(WORD.findall(text.lower()))
+            grams = bigrams(words_of(text))
             size = sum(grams.values())
             if not size:
                 raise ValueError(f"template {name} has no two words")
@@ -169,7 +182,8 @@ class Scanner:
             spare = size - int(np.ceil(self.shared(size) - 1e-9)) + 1
             rare = sorted(grams.elements(), key=lambda g: (-max(map(len, g)), g))[:spare]
             self.templates.append(Template(name, grams, size, frozenset(max(g, key=lambda w: (len(w), -uses[w], w)) for g in rare)))
-        words = sorted({w for t in self.templates for w in t.key_words}, key=len)
+        keys = {w for t in self.templates for w in t.key_words}
+        words = sorted(keys | {other for other, w in SPELLING.items() if w in keys}, key=len)
         least = [w for i, w in enumerate(words) if not any(v in w for v in words[:i])]  # a part stands for the whole
         self.pattern = "|".join(map(re.escape, least))
 
@@ -183,7 +197,8 @@ class Scanner:
         for m in [*UNIT.finditer(text), None]:
             end = m.start() if m else len(text)
             for w in WORD.finditer(text, at, end):
-                words.append(w[0].lower())
+                word = w[0].lower()
+                words.append(SPELLING.get(word, word))
                 starts.append(w.start())
                 ends.append(w.end())
             if len(words) > edges[-1]:

@@ -13,7 +13,7 @@ def brute(text, scanner):
         spans += [w.span() for w in L.WORD.finditer(text, at, end)]
         edges += [len(spans)] * (len(spans) > edges[-1])
         at = m.end() if m else end
-    words = [text[x:y].lower() for x, y in spans]
+    words = [L.SPELLING.get(w, w) for w in (text[x:y].lower() for x, y in spans)]
     found = []
     for k, t in enumerate(scanner.templates):
         for i in range(len(words)):
@@ -49,7 +49,7 @@ def test_against_brute_force():
             if rng.random() < 0.5:
                 words = rng.choice(some)[1].split(" ")[:60]
                 for _ in range(rng.randint(0, 2)):
-                    words[rng.randrange(len(words))] = rng.choice(["the", "License", "x", "MIT."])
+                    words[rng.randrange(len(words))] = rng.choice(["the", "License", "x", "MIT.", "Licence"])
                 parts.append(" ".join(words))
             else:
                 parts.append(" ".join(rng.choice(["license", "the", "under", "all", "rights", "cat", "version."]) for _ in range(rng.randint(0, 12))))
@@ -102,5 +102,7 @@ def test_notices_inside_sentences_and_openings():
     assert names("it is free, all rights reserved by nobody, as they say") == []  # of so few words whole units alone
     opening = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\nThe licenses for most software and other practical works are designed\nto take away your freedom to share and change the works."
     assert names(opening) == ["GPL-3.0"]
+    assert names("# Released under\n# the MIT Licence") == ["MIT"]
+    assert [len(f) for f in scanner.batch(pa.array(["Released under the MIT Licence.", "Licenced under CC BY 4.0"]))] == [1, 1]
     two = names("Licensed under CC BY 4.0. And then, in the next part: licensed under CC BY-SA 4.0")
     assert two == ["CC-BY-4.0", "CC-BY-SA-4.0"]
