@@ -36,10 +36,19 @@ def _save(folder: str):
     return run
 
 
+_folders: dict[tuple[str, str], str] = {}
+
+
 def write_corpus(spark: SparkSession, d: str) -> str:
-    """The folder: documents are written where their rows are, the index (one JSON
-    object, as the format asks for) by the driver."""
-    folder = shared_folder(spark)
+    """The folder, written once an application: documents where their rows are, the
+    index (one JSON object, as the format asks for) by the driver."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _folders:
+        _folders[key] = _written(spark, d, shared_folder(spark))
+    return _folders[key]
+
+
+def _written(spark: SparkSession, d: str, folder: str) -> str:
     part = table(spark, d, "part")
     col = lambda c: f"', {c}, '"
     names = _el("identification", _el("FRBRWork", f'<FRBRuri value="/akn/{col("p_partkey")}/"/>') + _el("FRBRExpression", '<FRBRdate name="Generation" date="2020-01-01"/>'))
