@@ -217,3 +217,15 @@ def first_section_numbers(spark, d):
 def junk_terms(spark, d):
     term = F.expr("case p_size % 5 when 0 then concat('Does not ', p_name) when 1 then substr(p_name, 1, 3) when 2 then concat('the ', p_name) when 3 then concat('then ', p_name) else concat('of', p_name) end")
     return table(spark, d, "part").select("p_partkey", K.is_junk_term(term).alias("junk"))
+
+
+@query("SELECT 'region' || r_regionkey AS domain, n_name AS name, n_nationkey AS number FROM nation JOIN region ON r_regionkey = n_regionkey")
+def label_rules(spark, d):
+    """Rules from JSON files, one for each region, with a rule for each nation."""
+    folder = shared_folder(spark)
+    rule = F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("number"))
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(rule).alias("rules"))).alias("j"))
+    for r in rows.collect():  # one row a region
+        versions.write_text(spark, f"{folder}/region{r.n_regionkey}.json", r.j)
+    out = corpus.label_rules(spark, folder)
+    return out.select("domain", F.get_json_object("rule", "$.name").alias("name"), F.get_json_object("rule", "$.number").cast("int").alias("number"))
