@@ -138,12 +138,12 @@ class Encoder:
         if m.bpe:
             self._rank(normal)
         self.low = min((m.scores[i] for i in normal), default=0.0) - 10.0
-        self.back: dict = {}  # pieces by their characters from the last to the first; None: the piece itself
+        self.back: dict = {}  # pieces by their characters from the last to the first; None: the piece, its score and number
         for i in normal:
             node = self.back
             for ch in reversed(m.pieces[i]):
                 node = node.setdefault(ch, {})
-            node[None] = i
+            node[None] = (i, m.scores[i], self.number.get(i, -1) if m.bpe else -1)
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.best: dict[str, int] = {}  # ids of the Viterbi segmentation
@@ -208,49 +208,57 @@ class Encoder:
     def _forward(self, words: list[str]):
         """(word, pieces, best pieces) of each of the sorted words: those of the ids and
         those of the Viterbi segmentation, as (piece or UNK, start, end)."""
-        scores, back, number, low = self.model.scores, self.back, getattr(self, "number", None), self.low
-        piece, start = [UNK], [0]  # by place: the last piece of the prefix that ends there
-        bpiece, bstart, score = [UNK], [0], [0.0]  # and that of its best segmentation
+        back, low, apart, bpe = self.back, self.low, self.apart, self.model.bpe
+        number, score = [-1], [0.0]  # by place: of the last piece of the prefix that ends there, and of its best segmentation
+        pointers = [(UNK, 0, UNK, 0)]  # last piece and its start, of the ids and of the best segmentation
         before = ""
         for word in words:
             n = len(word)
             at, most = 0, min(n, len(before))
             while at < most and word[at] == before[at]:
                 at += 1
-            for state in (piece, start, bpiece, bstart, score):
-                del state[at + 1 :]
-            for end in range(at + 1, n + 1):
-                node, i = back, end
-                last, where, best, from_, top = UNK, end - 1, UNK, end - 1, score[end - 1] + low
-                known = False
-                while i > 0:
+            at += 1
+            del number[at:], score[at:], pointers[at:]
+            for end in range(at, n + 1):
+                node, i, open_ = back, end, bpe
+                last, where, k = UNK, end - 1, -1
+                best, from_, top = UNK, end - 1, score[end - 1] + low  # below any piece of one character
+                while i:
                     i -= 1
                     node = node.get(word[i])
                     if node is None:
                         break
-                    p = node.get(None)
-                    if p is not None:
-                        s = score[i] + scores[p]
-                        if s >= top or best == UNK and i == end - 1:
+                    found = node.get(None)
+                    if found is not None:
+                        p, s, m = found
+                        s += score[i]
+                        if s >= top:
                             best, from_, top = p, i, s
-                        if number is not None and not known and p in number:
-                            q = piece[i]
-                            if i == 0 or q == UNK or self._apart(number[q], number[p]):
-                                last, where, known = p, i, True
-                bpiece.append(best)
-                bstart.append(from_)
+                        if open_ and m >= 0:
+                            q = number[i]
+                            if q >= 0:
+                                fits = apart.get(q << 32 | m)
+                                if fits is None:
+                                    fits = self._apart(q, m)
+                            if q < 0 or fits:
+                                last, where, k, open_ = p, i, m, False
                 score.append(top)
-                piece.append(last)
-                start.append(where)
+                number.append(k)
+                pointers.append((last, where, best, from_))
             before = word
-            parts = []
-            for pieces, starts in ((piece, start), (bpiece, bstart)):
-                out, i = [], n
-                while i > 0:
-                    out.append((pieces[i], starts[i], i))
-                    i = starts[i]
-                parts.append(out[::-1])
-            yield word, parts[number is None], parts[1]
+            out, i = [], n
+            while bpe and i:
+                p, j, _, _ = pointers[i]
+                out.append((p, j, i))
+                i = j
+            best_out, i = [], n
+            while i:
+                _, _, p, j = pointers[i]
+                best_out.append((p, j, i))
+                i = j
+            best_out.reverse()
+            out.reverse()
+            yield word, out if bpe else best_out, best_out
 
     def learn(self, words: set[str]) -> None:
         new = sorted(words.difference(self.known))
@@ -259,8 +267,9 @@ class Encoder:
             self.best.clear()
             new = sorted(words)
         for word, parts, best in self._forward(new):
-            self.known[word] = array("I", self._ids(word, parts)).tobytes()
-            self.best[word] = len(best) if all(p != UNK for p, _, _ in best) else len(self._ids(word, best))
+            ids = [p for p, _, _ in parts]
+            self.known[word] = array("I", self._ids(word, parts) if UNK in ids else ids).tobytes()
+            self.best[word] = len(self._ids(word, best) if UNK in [p for p, _, _ in best] else best)
 
     def _ids(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
         ids: list[int] = []
