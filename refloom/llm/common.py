@@ -53,6 +53,7 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    spark.sparkContext._jvm.System.gc()  # plans of queries that have ended needn't fill the driver
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

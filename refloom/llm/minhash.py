@@ -290,13 +290,13 @@ def blocks(rows: DataFrame, group: str, *more: str) -> DataFrame:
     return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "block", "node")
 
 
-def by_block(batches, solve):
+def by_block(batches, solve, sides: bool = False):
     """What solve(rows, two) yields for the rows of each pair of blocks; two: whether
-    they are two blocks, of which only pairs between them are wanted."""
+    they are two blocks, or sides, of which only pairs between them are wanted."""
     key, rows = None, []
 
     def done():
-        two = key is not None and key[1] != key[2]
+        two = sides or key is not None and key[1] != key[2]
         if len(rows) < 2 or two and rows[0][0] == rows[-1][0]:
             return None
         return solve(rows, two)
@@ -314,10 +314,12 @@ def by_block(batches, solve):
 
 def joined(rows: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of similar nodes that join the classes of each bucket's members, rows
-    (node, key, label), as far as their similarity does."""
+    (node, key, label), as far as their similarity does. The members outside a bucket's
+    largest class are one side, in blocks, and all its members the other; so a few strays
+    of a large class are held against it once."""
 
     def solve(own: list[tuple], two: bool) -> pa.RecordBatch:
-        """own: (block, node, label, shingles) by block and node."""
+        """own: (side, node, label, shingles) by side and node."""
         block, node, label = Block([r[3] for r in own]), [r[1] for r in own], [r[2] for r in own]
         parent = {x: x for x in label}
 
@@ -326,11 +328,11 @@ def joined(rows: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        half = sum(r[0] == own[0][0] for r in own) if two else 0
+        lo = sum(r[0] == 0 for r in own)
+        others = sorted(set(label[lo:]))
         a, b = [], []
-        for i in range(half or len(own) - 1):
-            lo = half or i + 1
-            if all(root(x) == root(label[i]) for x in set(label[lo:])):
+        for i in range(lo):
+            if all(root(x) == root(label[i]) for x in others):
                 continue
             for j in (lo + np.flatnonzero(block.similarities(i, lo, len(own)) >= threshold - SLACK)).tolist():
                 x, y = root(label[i]), root(label[j])
@@ -341,9 +343,22 @@ def joined(rows: DataFrame, blobs: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([C.int_col(a), C.int_col(b)], names=["a", "b"])
 
     def run(batches):
-        yield from by_block(batches, solve)
-
-    return blocks(rows.join(blobs, "node"), "key", "label").mapInArrow(C.lean(run), "a bigint, b bigint").distinct()
+        yield from by_block(batches, solve, sides=True)
+
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    rows = C.written(rows.join(most, "key").join(blobs, "node").withColumn("few", (F.col("label") != F.col("most")).cast("int")))
+    number = lambda size, n: F.ceil(F.greatest(F.sum(size) / BLOCK, F.sum(n) / BLOCK_NODES)).cast("int")
+    bytes_ = F.length("shingles")
+    parts = rows.groupBy("key").agg(number(bytes_, F.lit(1)).alias("n_all"), number(bytes_ * F.col("few"), F.col("few")).alias("n_few"))
+    rows = rows.join(parts, "key")
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "i", "j", "side", "node", "label", "shingles"]
+    left = rows.where("few = 1").withColumns({"i": own("n_few", 1), "side": F.lit(0)}).withColumn("j", each("n_all")).select(columns)
+    right = rows.withColumns({"j": own("n_all", 2), "side": F.lit(1)}).withColumn("i", each("n_few")).select(columns)
+    dealt = left.union(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    return dealt.mapInArrow(C.lean(run), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -153,6 +153,22 @@ def test_null_ids_are_linked(spark):
     assert sorted(r.doc_id or 0 for r in out) == [0, 3, 7] and next(r.text for r in out if r.doc_id is None) in {rows[2][1], other}
 
 
+def test_strays_of_a_large_class(spark, monkeypatch):
+    """A bucket of one class and some strays, in many blocks: one stray belongs to it."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(1, 1 << 32, 30)).astype("<u4")
+    lists = [np.r_[base[:24], np.unique(rng.integers(1, 1 << 32, 6)).astype("<u4")] for _ in range(40)]
+    lists += [np.unique(rng.integers(1, 1 << 32, 20)).astype("<u4") for _ in range(9)]
+    lists[45] = lists[44].copy()
+    lists[45][0] += 1
+    blobs = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(lists)], "node bigint, shingles binary")
+    rows = spark.createDataFrame([(i, 7, 0 if i < 39 else i) for i in range(49)], "node bigint, key bigint, label bigint")
+    for size in (1024, 3):
+        monkeypatch.setattr(M, "BLOCK_NODES", size)
+        got = {tuple(sorted(r)) for r in M.joined(rows, blobs, 0.5).collect()}
+        assert {x for x in got if x[1] >= 40} == {(44, 45)} and {x[1] for x in got if x[1] < 40} == {39}
+
+
 def test_a_large_bucket_without_a_common_class(spark):
     """10,000 members of one bucket that are not alike, with one pair that is."""
     rng = np.random.default_rng(1)
