@@ -122,7 +122,7 @@ def sidecar_roundtrip(spark, d):
 @query(f"WITH {ACTS} SELECT uri || '#sec-1' AS src, uri || '#sec-1' AS dst, 2::BIGINT AS weight FROM own UNION ALL SELECT uri || '#sec-1', uri || '#Schedule-1__sec-2', 1 FROM own")
 def acts_one_after_another(spark, d):
     """Acts that come in two lots: their links are those of a graph built at once."""
-    t = corpus.read_corpus(spark, write_corpus(spark, d))
+    t = corpus.read_corpus(spark, write_corpus(spark, d), once=True)
     key = {"acts": "frbr_uri", "sections": "act_frbr_uri", "terms": "act_frbr_uri", "citations": "act_frbr_uri"}
     lot = lambda first: {n: t[n].where((F.crc32(F.col(k).cast("binary")) % 2 == 0) == F.lit(first)) for n, k in key.items()}
     return incremental.absorbed(incremental.absorbed(None, lot(False)), lot(True))["ref_edges"].select("src", "dst", "weight")

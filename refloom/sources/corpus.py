@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import link
+from ..operators.keep import kept
 from . import versions
 from .xmlflat import flat_documents
 
@@ -35,12 +36,14 @@ def corpus_index(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("slug", "name", "year", "effective_date", "title_id", F.col("xml_path").alias("path"), "act_pos")
 
 
-def read_corpus(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def read_corpus(spark: SparkSession, folder: str, once: bool = False) -> dict[str, DataFrame]:
     """The tables of a corpus folder, and rejects (slug, path, error): missing files
-    and documents that can't be read, which are left out of the tables."""
+    and documents that can't be read, which are left out of the tables. once: documents
+    are flattened once and kept in the shared folder, for those who use several tables."""
     index = corpus_index(spark, folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(folder)
     flat = flat_documents(files.select("path", "content"))
+    flat = kept(flat) if once else flat
     local = F.regexp_replace("path", r"^file:/+", "/")
     end = F.element_at(F.split(local, "/"), -1)
     named = flat.withColumn("_file", local).withColumn("_end", end).drop("path")
@@ -92,8 +95,8 @@ def citations(sections: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, folder: str, normalize_index: bool = False) -> dict[str, DataFrame]:
     """All tables of a corpus folder, resolved and collapsed."""
-    t = read_corpus(spark, folder)
-    t["resolved"] = link.resolve_citations(t["citations"], t["acts"], t["sections"], t["terms"], normalize_index)
+    t = read_corpus(spark, folder, once=True)
+    t["resolved"] = kept(link.resolve_citations(t["citations"], t["acts"], t["sections"], t["terms"], normalize_index))
     t["ref_edges"] = link.ref_edges(t["resolved"])
     t["mentions"] = link.mentions(t["sections"], t["terms"])
     return t
