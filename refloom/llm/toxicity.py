@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .kernels import mix64
+from .kernels import mix64, slices
 
 LEET = str.maketrans("01345789@$!|", "oieastbgasil")
 EDGES = ".,;:!?|%$#*&\"'()[]{}<>«»„“”…-_+=/\\"
-CACHE = 400_000
+CACHE = 300_000
+CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -267,7 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings
 
 
 def _scores(model: Model, terms: Terms, arr: pa.Array) -> np.ndarray:
-    return np.array([score(model, terms(t)) for t in arr.to_pylist()], np.float64)
+    out = np.zeros(len(arr))
+    for i, j in slices(arr, CHUNK):  # so that a batch's texts are never all Python strings
+        out[i:j] = [score(model, terms(t)) for t in arr.slice(i, j - i).to_pylist()]
+    return out
 
 
 def toxicity(docs: DataFrame, model: Model, s: Settings = Settings(), folds: int = 5) -> DataFrame:
