@@ -22,10 +22,6 @@ from ..functions import classify as K
 from ..functions import text as T
 
 
-#: Tasks among which the citations of one title are dealt.
-TITLE_PARTS = 8
-
-
 def title_index(acts: DataFrame, normalize_index: bool = False) -> DataFrame:
     """(title_key, target): the act of each title in lower case; of equal titles the
     last loaded. normalize_index uses the citations' own normal form for the key."""
@@ -53,7 +49,7 @@ def _spread(key: str) -> Column:
     return F.coalesce(key, F.concat(F.lit("\x01"), F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(4096)).cast("string")))
 
 
-def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame, terms: DataFrame, normalize_index: bool = False) -> DataFrame:
+def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame, terms: DataFrame, normalize_index: bool = False, title_parts: int = 1) -> DataFrame:
     """citations with target (null if there is none), norm_title, bucket and status:
     resolved, unresolved, self, dropped (no normal form) by title; linked or missing
     by address or number, which statistics leave out.
@@ -61,7 +57,9 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
     Addresses that begin with # or /akn/ must name an existing act, section or term.
     Each lookup is one equi-join of citations with a deduplicated key table; which side
     is broadcast is left to the planner, which knows the sizes. A title that a large share
-    of all citations names is dealt to TITLE_PARTS tasks."""
+    of all citations names is split by Spark's own handling of skewed joins (citations are
+    the outer side, which may be split); title_parts deals each title to so many tasks
+    where that is switched off, at the price of as many copies of the titles."""
     href = F.coalesce("target_href", F.lit(""))
     number = F.col("matched_section")
     address = F.when(href.startswith("#"), F.concat("act_frbr_uri", href)).when(href.startswith("/akn/au"), href)
@@ -70,14 +68,18 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
     rows = citations.select("*", address.alias("_address"), F.when(address.isNull(), number).alias("_number"), F.when(by_title, norm).alias("norm_title"))
     own = acts.select(F.col("frbr_uri").alias("act_frbr_uri"), T.normalized_title(F.col("title"))["title"].alias("_own")).dropDuplicates(["act_frbr_uri"])
     rows = rows.join(own, "act_frbr_uri", "left")
-    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title"), "_part": F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(TITLE_PARTS))})
+    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title")})
     nodes = node_ids(acts, sections, terms).select(F.col("node_id").alias("_ka"), F.col("node_id").alias("_a"))
     rows = rows.join(nodes, "_ka", "left")
     numbers = section_index(sections).select("act_frbr_uri", F.col("number").alias("_number"), F.col("target").alias("_b"))
     rows = rows.join(numbers, ["act_frbr_uri", "_number"], "left")
     titles = title_index(acts, normalize_index).select(F.col("title_key").alias("_kt"), F.col("target").alias("_c"))
-    titles = titles.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TITLE_PARTS - 1).cast("bigint"))))
-    rows = rows.join(titles, ["_kt", "_part"], "left")
+    keys = ["_kt"]
+    if title_parts > 1:
+        keys.append("_part")
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(title_parts)))
+        titles = titles.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(title_parts - 1).cast("bigint"))))
+    rows = rows.join(titles, keys, "left")
     is_self = F.col("norm_title").eqNullSafe(F.col("_own"))
     direct = F.coalesce("_a", "_b")
     status = (

@@ -174,3 +174,10 @@ def test_relation_samples(spark):
     e = spark.createDataFrame([("a", "b", [("r1", "cites"), ("r2", "amends")]), ("a", "c", [("r3", "cites")] * 12)], "src string, dst string, citations array<struct<ref_text:string,relation:string>>")
     got = [(r.relation, r.dst, r.pos) for r in score.relation_samples(e, 10).collect()]
     assert sorted(got) == sorted([("amends", "b", 1), ("cites", "b", 0), *[("cites", "c", i) for i in range(9)]])
+
+
+def test_titles_dealt_to_several_tasks(spark, folder):
+    t = corpus.read_corpus(spark, str(folder))
+    args = [t[n] for n in ("citations", "acts", "sections", "terms")]
+    one, many = ({(r.source_id, r.cite_pos, r.kind, r.status, r.target) for r in link.resolve_citations(*args, title_parts=n).collect()} for n in (1, 5))
+    assert one == many and any(r[3] == "resolved" for r in one)
