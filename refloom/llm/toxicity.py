@@ -188,7 +188,7 @@ def telling(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings) -> np.nd
     return (c0 + c1 >= s.min_docs) & (np.abs(z) >= s.min_z)
 
 
-def coupled(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings, chunk: int = 512) -> np.ndarray:
+def coupled(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings, chunk: int = 128) -> np.ndarray:
     """The terms of the pairs that tell together: counted as matrix products of the
     sampled rows, some columns at a time."""
     out = np.zeros(n, bool)
@@ -203,6 +203,7 @@ def coupled(rows: list[np.ndarray], y: np.ndarray, n: int, s: Settings, chunk: i
         own = place[r]
         has[i, own[own >= 0]] = 1
     classes = [has[y > 0.5], has[y <= 0.5]]
+    del has
     rates = [c.mean(0) for c in classes]
     best, found = np.zeros(0), np.zeros((0, 2), np.int64)
     for at in range(0, len(terms), chunk):
