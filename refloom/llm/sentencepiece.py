@@ -4,7 +4,9 @@ A text is marked as the library does (a space becomes U+2581, one is put in fron
 and cut into words at its marks, which no piece of the vocabulary reaches across. The
 distinct words of a run of texts are sorted, so that they are a trie in depth-first
 order: the forward pass over a word starts where it leaves the word before it and
-reuses the states of their common prefix. Back pointers give the pieces.
+reuses the states of their common prefix. Back pointers give the pieces. Where many words
+are new, the same trie is passed over level by level, all prefixes of a length at once;
+long words, of which few share a level, are left to the pass word by word.
 
 * The Viterbi state of a prefix is the score of its best segmentation. For a unigram
   model its pieces are the ids.
@@ -25,13 +27,17 @@ no rows, and columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
+import random
 import re
 import struct
 import zlib
 from array import array
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +49,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES = "piece_bpe_32k.model"
 KNOWN = 400_000
 UNK = -1
+#: At least so many new words, none longer than so many characters, are passed over by level.
+MANY, LONG = 256, 32
 
 
 def _fields(data: bytes):
@@ -125,6 +133,158 @@ def merged(text: str, rank: dict[str, int]) -> list[str]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+class Pairs:
+    """Numbers of pairs (row, column), looked up in bulk: the rows of a sparse table,
+    laid over one another so that no two numbers meet. What isn't there is -1."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int], rows: int, width: int):
+        by_row: dict[int, list[int]] = {}
+        for a, b in pairs:
+            by_row.setdefault(a, []).append(b)
+        self.at = np.zeros(rows, np.int64)
+        room, draw = 8 * len(pairs) + 1, random.Random(0)
+        taken = np.zeros(room + width, bool)
+        for a, columns in sorted(((a, c) for a, c in by_row.items() if len(c) > 1), key=lambda x: -len(x[1])):
+            c = np.array(columns)
+            at, tries = draw.randrange(room), 0
+            while taken[c + at].any():
+                at, tries = draw.randrange(room), tries + 1
+                if tries % 64 == 0:
+                    taken, room = np.concatenate([taken, np.zeros(room, bool)]), 2 * room
+            taken[c + at] = True
+            self.at[a] = at
+        lone = [(a, c[0]) for a, c in by_row.items() if len(c) == 1]
+        free = np.flatnonzero(~taken[width:])[: len(lone)] + width  # enough: there are eight places for each pair
+        for (a, b), place in zip(lone, free.tolist()):
+            self.at[a] = place - b
+        size = int(self.at.max(initial=0)) + width
+        self.row, self.value = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        a, b = np.array(list(pairs), np.int64).reshape(-1, 2).T
+        self.row[self.at[a] + b] = a
+        self.value[self.at[a] + b] = list(pairs.values())
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        place = self.at[a] + b
+        return np.where(self.row[place] == a, self.value[place], -1)
+
+
+class Levels:
+    """The forward pass over many words at once, level by level of their trie."""
+
+    def __init__(self, encoder: Encoder):
+        m = encoder.model
+        self.bpe, self.byte_fallback, self.low = m.bpe, m.byte_fallback, encoder.low
+        often: dict[str, int] = {}
+        nodes, pairs, seen = [encoder.back], [], 0
+        while seen < len(nodes):  # numbers the nodes of the pieces read backwards
+            for ch, node in nodes[seen].items():
+                if ch is not None:
+                    pairs.append((seen, ch, len(nodes)))
+                    often[ch] = often.get(ch, 0) + 1
+                    nodes.append(node)
+            seen += 1
+        kind = {ch: i for i, ch in enumerate(sorted(often, key=lambda ch: -often[ch]), 1)}
+        self.kind = np.zeros(0x110000, np.uint16 if len(kind) < 1 << 16 else np.int32)  # 0: in no piece
+        for ch, i in kind.items():
+            self.kind[ord(ch)] = i
+        self.child = Pairs({(a, kind[ch]): b for a, ch, b in pairs}, len(nodes), len(kind) + 1)
+        found = [node.get(None, (UNK, 0.0, -1)) for node in nodes]
+        self.piece, self.score, self.number = (np.array(x, t) for x, t in zip(zip(*found), (np.int32, np.float64, np.int32)))
+        if m.bpe:
+            size = max(encoder.split, default=-1) + 1
+            self.chars = sum(n == a for n, (a, _) in encoder.split.items())
+            self.left, self.right = np.zeros(size, np.int32), np.zeros(size, np.int32)
+            for n, (a, b) in encoder.split.items():
+                self.left[n], self.right[n] = a, b
+            self.joined = Pairs(encoder.joined, size, size)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Encoder._apart of each pair."""
+        out, of = np.zeros(len(x), bool), np.arange(len(x))
+        limit = np.full(len(x), 1 << 60)
+        while len(of):
+            made = self.joined.get(x, y)
+            go = (made < 0) | (made >= limit)
+            single = np.maximum(x, y) < self.chars
+            out[of[go & single]] = True
+            go &= ~single
+            of, x, y = of[go], x[go], y[go]
+            later = x > y  # undo the later of the two merges
+            limit = np.where(later, x, y + 1)
+            x, y = np.where(later, self.right[x], x), np.where(later, y, self.left[y])
+        return out
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sorted, distinct words, none empty: pieces (or UNK) and their starts, one
+        word's behind the other's; where each word's end; and how many ids each word's best
+        segmentation has."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[code]
+        first = np.cumsum(size) - size  # character of each word
+        base = first + np.arange(n)  # and place of its empty prefix
+        node = np.zeros(len(code) + n, np.int32)  # of each prefix of each word; 0 is the empty one
+        # by node, as in Encoder._forward
+        number, score = np.full(len(code) + 1, -1, np.int32), np.zeros(len(code) + 1)
+        last, where = np.full(len(code) + 1, UNK, np.int32), np.zeros(len(code) + 1, np.int32)
+        count, unknown = np.zeros(len(code) + 1, np.int32), np.zeros(len(code) + 1, bool)  # of the best segmentation: its ids, and whether it ends in none
+        made, alive = 1, np.arange(n)
+        for end in range(1, int(size.max(initial=0)) + 1):
+            alive = alive[size[alive] >= end]
+            before, ch = node[base[alive] + end - 1], code[first[alive] + end - 1]
+            new = np.ones(len(alive), bool)
+            new[1:] = (before[1:] != before[:-1]) | (ch[1:] != ch[:-1])
+            node[base[alive] + end] = np.cumsum(new) + (made - 1)
+            own, w, before, ch = slice(made, made + int(new.sum())), alive[new], before[new], ch[new]
+            made = own.stop
+            number_, last_, where_ = number[own], last[own], where[own]  # views
+            where_[:] = end - 1
+            top, from_, known = score[before] + self.low, before.copy(), np.zeros(len(w), bool)
+            tried = []  # of byte-pair encoding: nodes, pieces and the ancestors and starts they join
+            of, at = np.arange(len(w)), np.zeros(len(w), np.int64)
+            chars, prefixes = first[w], base[w]
+            for i in range(end - 1, -1, -1):
+                at = self.child.get(at, kind[chars[of] + i])
+                there = at >= 0
+                of, at = of[there], at[there]
+                if not len(of):
+                    break
+                ends = self.piece[at] >= 0
+                to, p = of[ends], at[ends]
+                ancestor = node[prefixes[to] + i]
+                s = score[ancestor] + self.score[p]
+                better = s >= top[to]
+                b = to[better]
+                top[b], from_[b], known[b] = s[better], ancestor[better], True
+                if self.bpe:
+                    merged_ = self.number[p] >= 0
+                    tried.append((to[merged_], p[merged_], ancestor[merged_], np.full(np.count_nonzero(merged_), i)))
+                else:
+                    last_[b], where_[b] = self.piece[p[better]], i
+            if tried:
+                to, p, ancestor, start = map(np.concatenate, zip(*tried[::-1]))  # of several, the shortest counts: it is written last
+                q, m = number[ancestor], self.number[p]
+                fits = q < 0
+                fits[~fits] = self.apart(q[~fits], m[~fits])
+                to = to[fits]
+                last_[to], where_[to], number_[to] = self.piece[p[fits]], start[fits], m[fits]
+            score[own], unknown[own] = top, ~known
+            spelled = 1 + (ch >= 0x80) + (ch >= 0x800) + (ch >= 0x10000) if self.byte_fallback else 1 - unknown[before]
+            count[own] = count[from_] + np.where(known, 1, spelled)
+        steps, of, to = [], np.arange(n), size.copy()
+        while len(of):
+            at = node[base[of] + to[of]]
+            steps.append((of, last[at], where[at]))
+            to[of] = where[at]
+            of = of[to[of] > 0]
+        ends = np.cumsum(np.bincount(np.concatenate([x[0] for x in steps]), minlength=n)) if steps else np.zeros(0, np.int64)
+        pieces, starts = np.zeros(int(ends[-1]) if n else 0, np.int32), np.zeros(int(ends[-1]) if n else 0, np.int32)
+        for k, (of, p, i) in enumerate(steps, 1):
+            pieces[ends[of] - k], starts[ends[of] - k] = p, i
+        return pieces, starts, ends, count[node[base + size]]
+
+
 class Encoder:
     def __init__(self, model: Model):
         self.model = m = model
@@ -147,6 +307,7 @@ class Encoder:
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.best: dict[str, int] = {}  # ids of the Viterbi segmentation
+        self.levels: Levels | None = None  # made when first needed
 
     def _rank(self, normal: list[int]) -> None:
         """Numbers pieces in the order in which merges make them, and finds for each
@@ -266,11 +427,27 @@ class Encoder:
             self.known.clear()
             self.best.clear()
             new = sorted(words)
+        short = [w for w in new if 0 < len(w) <= LONG]
+        if len(short) >= MANY:
+            self._learn_levels(short)
+            new = [w for w in new if not 0 < len(w) <= LONG]
         for word, parts, best in self._forward(new):
             ids = [p for p, _, _ in parts]
             self.known[word] = array("I", self._ids(word, parts) if UNK in ids else ids).tobytes()
             self.best[word] = len(self._ids(word, best) if UNK in [p for p, _, _ in best] else best)
 
+    def _learn_levels(self, words: list[str]) -> None:
+        self.levels = self.levels or Levels(self)
+        pieces, starts, ends, best = self.levels(words)
+        raw, to = pieces.tobytes(), ends.tolist()
+        cuts = list(zip([0, *to[:-1]], to))
+        self.known.update(zip(words, [raw[4 * i : 4 * j] for i, j in cuts]))
+        self.best.update(zip(words, best.tolist()))
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(pieces == UNK), side="right")).tolist():
+            (i, j), word = cuts[k], words[k]
+            at = starts[i:j].tolist()
+            self.known[word] = array("I", self._ids(word, list(zip(pieces[i:j].tolist(), at, [*at[1:], len(word)])))).tobytes()
+
     def _ids(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
         ids: list[int] = []
         run = False
@@ -284,6 +461,12 @@ class Encoder:
             run = p == UNK
         return ids
 
+    def forget(self) -> None:
+        """Drops words and what they needed; tables stay."""
+        self.known.clear()
+        self.best.clear()
+        self.apart.clear()
+
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation by the sum of scores."""
         words = self.words(text) if text else []
@@ -329,6 +512,13 @@ def _last_two(text: str, rank: dict[str, int]) -> tuple[str, str] | None:
     return (parts[0], parts[1]) if len(parts) == 2 else None
 
 
+@functools.lru_cache(maxsize=1)
+def _coders(path: str, changed: tuple[int, int]) -> tuple[Encoder, Decoder]:
+    """Made once in a worker, which serves many tasks."""
+    model = load(path)
+    return Encoder(model), Decoder(model)
+
+
 class Decoder:
     def __init__(self, model: Model):
         self.dummy_prefix = model.dummy_prefix
@@ -348,10 +538,11 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
     path = path or C.tokenizer_path(PIECES)
 
     def run(batches):
-        model = load(path)
-        encoder, decoder = Encoder(model), Decoder(model)
+        file = os.stat(path)
+        encoder, decoder = _coders(path, (file.st_mtime_ns, file.st_size))
+        encoder.forget()
         for b in batches:
-            for i, j in slices(b.column(1), 1 << 20):
+            for i, j in slices(b.column(1), 1 << 22):
                 texts = b.column(1).slice(i, j - i).to_pylist()
                 got, best = map(list, zip(*encoder.both(texts)))
                 n = pa.array([len(g) // 4 for g in got], pa.int64())
@@ -362,6 +553,8 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
                     back = [decoder(g) for g in got]
                     yield pa.RecordBatch.from_arrays([own, n, pa.array([zlib.crc32(g) for g in got], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([t == (x or "") for t, x in zip(back, texts)], pa.bool_()), pa.array(best, pa.int64())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless", "n_viterbi"])
 
+        encoder.forget()
+
     return C.doc_columns(docs, "doc_id", "text").mapInArrow(C.lean(run), "doc_id bigint, n_tokens bigint, " + ("ids array<int>" if ids else "ids_crc32 bigint, decoded_sha256 string, lossless boolean, n_viterbi bigint"))
 
 

@@ -1,7 +1,10 @@
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,3 +144,57 @@ def test_table(spark):
     assert len(got) == 6 and {r.doc_id: r.n_tokens for r in got}[1] == 0
     assert {r.doc_id: r.lossless for r in got} == {1: True, 2: True, None: True, 3: True, 4: False}
     assert S.encode(docs.limit(0)).count() == 0
+
+
+def learnt(monkeypatch, model, words, many):
+    monkeypatch.setattr(S, "MANY", many)
+    encoder = S.Encoder(model)
+    encoder.learn(set(words))
+    assert (encoder.levels is None) == (many > len(words))
+    return encoder.known, encoder.best
+
+
+def test_levels_are_the_pass_by_word(spark, monkeypatch):
+    """Many words at once, against the pass word by word and the library."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ODD
+    m = S.load(PATH)
+    cut = S.Encoder(m).words
+    words = {w for t in texts if t for w in cut(t)}
+    assert learnt(monkeypatch, m, words, 1) == learnt(monkeypatch, m, words, 10**9)
+    lib, encoder = sentencepiece.SentencePieceProcessor(model_file=PATH), S.Encoder(m)
+    monkeypatch.setattr(S, "MANY", 1)
+    for t, got in zip(texts, encoder.batch(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abcd", min_size=1, max_size=5), st.floats(-9, -1), max_size=25), st.sets(st.text(alphabet="abcdé", min_size=1, max_size=12), min_size=1, max_size=12), st.booleans())
+def test_levels_of_any_vocabulary(vocabulary, words, bpe):
+    """Pieces that merging never makes, characters that are no piece, runs of them."""
+    m = S.Model(["<unk>", *vocabulary], [0.0, *vocabulary.values()], [S.UNKNOWN] + [S.NORMAL] * len(vocabulary), bpe, False, True)
+    with pytest.MonkeyPatch.context() as patch:
+        assert learnt(patch, m, words, 1) == learnt(patch, m, words, 10**9)
+
+
+def test_new_words_take_less_than_a_pass_word_by_word():
+    """A task spends most of its time on words it hasn't met: CPU seconds of learning
+    them, against those of the pass word by word alone."""
+    draw = random.Random(4)
+    syllables = ["er", "an", "tion", "che", "ing", "th", "au", "ó", "ne", "re", "bla", "um", "ver", "is", "la"]
+    sets = [{"▁" + "".join(draw.choices(syllables, k=draw.randint(2, 5))) + draw.choice(["", ",", ".", "\nThe"]) for _ in range(30_000)} for _ in range(3)]
+    encoder = S.Encoder(S.load(PATH))
+    encoder.learn({w + "x" for w in sets[0]})  # makes the tables
+
+    def seconds(run):
+        at = time.process_time()
+        run()
+        return time.process_time() - at
+
+    learning, by_word = [], []
+    for words in sets:
+        by_itself = lambda: all(word for word, _, _ in encoder._forward(sorted(words)))  # noqa: B023, E731
+        by_itself()  # which pairs stay apart is known then
+        by_word.append(seconds(by_itself))
+        encoder.known.clear()
+        learning.append(seconds(lambda: encoder.learn(words)))
+    assert min(learning) < min(by_word)
