@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/refloom-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 5000, least: int = 500) -> DataFrame:
+    """df dealt by its keys to tasks of about so many rows: for dear work on rows that
+    come in few files. The number is given, so that adaptive execution, which knows bytes
+    alone, leaves it; every core gets a task as long as there are `least` rows for each.
+    Counts df, so df should be a table or cheap."""
+    n = df.count()
+    tasks = max(-(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // least)), 1)
+    return df.repartition(tasks, *keys)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and read from there by all that
     follows, whatever executors are lost; the shuffle files behind it go."""

@@ -7,14 +7,17 @@ their own act by anchor and number, an act by title and an act by title that is
 
 from __future__ import annotations
 
+import os
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..operators import render, resolve, score, scoring
-from ..operators.keep import shared_folder
+from ..operators.keep import shared_folder, spread
 from ..sources import corpus, versions
+from ..sources.files import storage
 from ..streaming import incremental
 from . import inputs
 from .inputs import table
@@ -23,15 +26,18 @@ from .registry import NAMESPACE, _el, query
 
 def _save(folder: str):
     def run(batches):
-        from pyarrow import fs
-
-        where, base = (fs.LocalFileSystem(), folder.removeprefix("file:")) if folder.startswith(("/", "file:")) else fs.FileSystem.from_uri(folder)
-        where.create_dir(f"{base}/xml", recursive=True)
+        where, base = storage(folder)
+        made = set()
         for b in batches:
-            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with where.open_output_stream(f"{base}/xml/{name}.xml") as f:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                full = f"{base}/{path}"
+                under = full.rsplit("/", 1)[0]
+                if under not in made:
+                    os.makedirs(under, exist_ok=True) if where is None else where.create_dir(under, recursive=True)
+                    made.add(under)
+                with open(full, "wb") if where is None else where.open_output_stream(full) as f:
                     f.write(text.encode())
-            yield pa.RecordBatch.from_arrays([b.column(0)], names=["slug"])
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["path"])
 
     return run
 
@@ -40,8 +46,9 @@ _folders: dict[tuple[str, str], str] = {}
 
 
 def write_corpus(spark: SparkSession, d: str) -> str:
-    """The folder, written once an application: documents where their rows are, the
-    index (one JSON object, as the format asks for) by the driver."""
+    """The folder, written once an application: documents where their rows are, a
+    thousand folders of them, and the index (one JSON object, as the format asks for) from
+    what tasks wrote of it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _folders:
         _folders[key] = _written(spark, d, shared_folder(spark))
@@ -49,7 +56,7 @@ def write_corpus(spark: SparkSession, d: str) -> str:
 
 
 def _written(spark: SparkSession, d: str, folder: str) -> str:
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     col = lambda c: f"', {c}, '"
     names = _el("identification", _el("FRBRWork", f'<FRBRuri value="/akn/{col("p_partkey")}/"/>') + _el("FRBRExpression", '<FRBRdate name="Generation" date="2020-01-01"/>'))
     cites = _el("p", f"See {_el('ref', 'section one', ' href="#sec-1"')} and sections 1, 2(3) and 9 of this, which is long enough to keep what follows apart from it; the Lost {col('p_type')} Act 1901 and {col('title')} amend it.")
@@ -57,11 +64,13 @@ def _written(spark: SparkSession, d: str, folder: str) -> str:
     two = _el("section", _el("content", _el("p", f"{_el('term', col('p_type'))} means {_el('def', col('p_name'))}")), ' eId="Schedule-1__sec-2"')
     xml = _el("akomaNtoso", _el("act", _el("meta", names) + _el("body", one + two)), f' xmlns="{NAMESPACE}"')
     rows = part.withColumn("title", F.expr("concat(initcap(p_name), ' Act ', 1900 + p_size)"))
-    files = rows.where("p_size <= 45").selectExpr("concat('p', p_partkey) slug", f"case when p_size < 3 then '<broken>' else concat('{xml}') end text")
-    files.mapInArrow(_save(folder), "slug string").count()
-    entry = F.expr("named_struct('name', title, 'year', 1900 + p_size, 'number', p_size, 'effective_date', case when p_size % 2 = 0 then '2021-02-03' else '' end, 'xml_path', concat('xml/p', p_partkey, '.xml'), 'title_id', concat('C', p_partkey))")
-    index = rows.agg(F.to_json(F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.format_string("p%d", "p_partkey"), entry)))).alias("acts"))).alias("j")).first().j
-    versions.write_text(spark, f"{folder}/index.json", index)
+    path = "concat('xml/', p_partkey % 1000, '/p', p_partkey, '.xml')"
+    files = rows.where("p_size <= 45").selectExpr(f"{path} path", f"case when p_size < 3 then '<broken>' else concat('{xml}') end text")
+    files.mapInArrow(_save(folder), "path string").count()
+    entry = F.expr(f"named_struct('name', title, 'year', 1900 + p_size, 'number', p_size, 'effective_date', case when p_size % 2 = 0 then '2021-02-03' else '' end, 'xml_path', {path}, 'title_id', concat('C', p_partkey))")
+    slug = F.format_string("p%d", "p_partkey")
+    lines = rows.select(slug.alias("slug"), F.to_json(F.create_map(slug, entry)).alias("j")).orderBy("slug").selectExpr("substr(j, 2, length(j) - 2) j")
+    versions.write_joined(spark, lines, f"{folder}/index.json", '{"acts":{', "}}")
     return folder
 
 

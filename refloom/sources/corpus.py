@@ -6,53 +6,78 @@ A graph folder has one Parquet table each and _meta.json with the format's versi
 
 from __future__ import annotations
 
+import codecs
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import link
-from ..operators.keep import kept
+from ..operators.keep import kept, spread
 from . import versions
-from .xmlflat import flat_documents
+from .files import map_entries, storage
+from .xmlflat import flat_files
 
 FORMAT = 1
 TABLES = ("acts", "sections", "terms", "citations", "resolved", "ref_edges", "mentions")
 SIDECARS = ("centrality", "complexity", "codifiability")
-INDEX = "acts map<string, struct<name: string, year: int, number: int, effective_date: string, xml_path: string, title_id: string>>"
+ENTRY = "name string, year int, number int, effective_date string, xml_path string, title_id string"
+INDEX_ROWS = 5000
 TAGGED, PROSE, INTRA = 0.95, 0.7, 0.6
 
 
+def _entries(folder: str):
+    """Tasks' function: (act_pos, slug, entry) of the index; act_pos -1 and the reason
+    where it can't be read."""
+    schema = pa.schema([("act_pos", pa.int32()), ("slug", pa.string()), ("entry", pa.string())])
+
+    def run(batches):
+        where, base = storage(folder)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = []
+            with open(f"{base}/index.json", "rb") if where is None else where.open_input_stream(f"{base}/index.json") as f:
+                try:
+                    for pos, (slug, entry) in enumerate(map_entries(codecs.getreader("utf-8-sig")(f), "acts")):
+                        rows.append({"act_pos": pos, "slug": slug, "entry": entry})
+                        if len(rows) == INDEX_ROWS:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows = []
+                except ValueError as e:
+                    rows.append({"act_pos": -1, "slug": None, "entry": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
+
+
 def corpus_index(spark: SparkSession, folder: str) -> DataFrame:
-    """(slug, name, year, effective_date, path, title_id, act_pos) in the order of the
-    index. ValueError if it has no acts map."""
-    df = spark.read.json(f"{folder}/index.json", schema=INDEX, multiLine=True)
-    entries = F.transform(F.map_entries("acts"), lambda e: F.struct(e["key"].alias("slug"), e["value"].alias("v")))
-    if df.where("acts is not null").isEmpty():
+    """(slug, name, year, effective_date, title_id, path, act_pos) in the order of the
+    index. ValueError if it has no acts map, FileNotFoundError if there is none.
+
+    The index is one JSON object, however many acts it has: one task passes over it, holds
+    an entry at a time and writes entries as rows; what follows reads them in many."""
+    if not versions.exists(spark, f"{folder}/index.json"):
+        raise FileNotFoundError(f"{folder}/index.json")
+    raw = kept(spark.range(0, 1, 1, 1).mapInArrow(_entries(folder), "act_pos int, slug string, entry string"))
+    if not raw.where("act_pos < 0").isEmpty():
         raise ValueError("index.json has no acts")
-    rows = df.select(F.posexplode(entries).alias("act_pos", "e")).select("act_pos", "e.slug", "e.v.*")
+    rows = spread(raw, "act_pos").select("act_pos", "slug", F.from_json("entry", ENTRY).alias("v")).select("act_pos", "slug", "v.*")
     return rows.select("slug", "name", "year", "effective_date", "title_id", F.col("xml_path").alias("path"), "act_pos")
 
 
 def read_corpus(spark: SparkSession, folder: str, once: bool = False) -> dict[str, DataFrame]:
     """The tables of a corpus folder, and rejects (slug, path, error): missing files
-    and documents that can't be read, which are left out of the tables. once: documents
-    are flattened once and kept in the shared folder, for those who use several tables."""
-    index = corpus_index(spark, folder)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(folder)
-    flat = flat_documents(files.select("path", "content"))
-    flat = kept(flat) if once else flat
-    local = F.regexp_replace("path", r"^file:/+", "/")
-    end = F.element_at(F.split(local, "/"), -1)
-    named = flat.withColumn("_file", local).withColumn("_end", end).drop("path")
-    wanted = index.withColumn("_end", F.element_at(F.split("path", "/"), -1))
-    rows = wanted.join(named, "_end", "left").where(F.col("_file").isNull() | F.col("_file").endswith(F.col("path")))
-    found = rows.where("_file is not null")
-    missing = wanted.join(found.select("slug").distinct(), "slug", "left_anti").select("slug", "path", F.lit("missing file").alias("error"))
-    rejects = found.where("error is not null").select("slug", "path", "error").union(missing)
-    return tables(found.where("error is null")) | {"rejects": rejects}
+    and documents that can't be read, which are left out of the tables. An entry's xml_path
+    is relative to the folder. once: documents are flattened once and kept in the shared
+    folder, for those who use several tables."""
+    rows = flat_files(corpus_index(spark, folder), folder)
+    rows = kept(rows) if once else rows
+    rejects = rows.where("error is not null").select("slug", "path", "error")
+    return tables(rows.where("error is null")) | {"rejects": rejects}
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
@@ -73,30 +98,30 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
 
 def citations(sections: DataFrame) -> DataFrame:
     """Tagged, prose and intra-act citations of sections (with refs: href, ref_text)."""
-    base = ["node_id", "act_frbr_uri", "text"]
-    none = F.lit(None).cast("string")
-    rel = K.settled(K.relation(F.col("raw"), F.col("text")))
-
-    def rows(df: DataFrame, kind: str, ref_text, cross, href, title, number, confidence: float, position) -> DataFrame:
-        return df.select(
-            F.col("node_id").alias("source_id"), "act_frbr_uri", F.lit(kind).alias("kind"), ref_text.alias("ref_text"), cross.alias("is_cross_act"), href.alias("target_href"), title.alias("matched_title"), number.alias("matched_section"),
-            F.col("r.relation").alias("relation"), F.col("r.confidence").alias("relation_confidence"), F.lit(confidence).alias("extraction_confidence"), position.alias("cite_pos"),
-        )
-
-    raw = F.col("raw")
-    tagged = sections.select(*base, F.posexplode("refs").alias("pos", "c")).select(*base, "pos", "c.href", F.col("c.ref_text").alias("raw")).withColumn("r", rel)
-    out = rows(tagged, "tagged", raw, ~F.col("href").startswith("#"), F.col("href"), none, none, TAGGED, F.col("pos").cast("bigint"))
-    titled = sections.select(*base, F.posexplode(T.prose_citations(F.col("prose_text"))).alias("pos", "raw")).withColumn("t", T.normalized_title(raw)).where("t is not null").withColumn("r", rel)
-    out = out.unionByName(rows(titled, "prose", raw, F.lit(True), none, F.col("t.title"), none, PROSE, F.col("pos").cast("bigint")))
-    lists = sections.select(*base, F.posexplode(T.number_lists(F.col("prose_text"))).alias("pos", "raw")).withColumn("r", rel)
-    each = lists.select("*", F.posexplode(T.section_numbers(raw)).alias("k", "number"))
-    return out.unionByName(rows(each, "intra", raw, F.lit(False), none, none, F.col("number"), INTRA, F.col("pos").cast("bigint") * (1 << 32) + F.col("k")))
+    kinds = F.create_map(*[F.lit(x) for pair in (("tagged", TAGGED), ("prose", PROSE), ("intra", INTRA)) for x in pair])
+
+    def found(kind: str, texts, href=lambda c: F.lit(None).cast("string"), raw=lambda c: c):
+        return F.transform(F.coalesce(texts, F.array()), lambda c, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), raw(c).alias("raw"), href(c).alias("href")))
+
+    # one pass over the sections: a union of kinds would flatten every document for each
+    every = F.concat(found("tagged", F.col("refs"), lambda c: c["href"], lambda c: c["ref_text"]), found("prose", T.prose_citations(F.col("prose_text"))), found("intra", T.number_lists(F.col("prose_text"))))
+    raw, kind, pos = F.col("raw"), F.col("kind"), F.col("pos").cast("bigint")
+    rows = sections.select("node_id", "act_frbr_uri", "text", F.explode(every).alias("c")).select("node_id", "act_frbr_uri", "text", "c.*")
+    rows = rows.withColumn("title", F.when(kind == "prose", T.normalized_title(raw)["title"])).where((kind != "prose") | F.col("title").isNotNull())
+    rows = rows.withColumn("r", K.settled(K.relation(raw, F.col("text")))).drop("text")
+    numbers = F.when(kind == "intra", T.section_numbers(raw)).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select("*", F.posexplode(numbers).alias("k", "number"))
+    return rows.select(
+        F.col("node_id").alias("source_id"), "act_frbr_uri", "kind", raw.alias("ref_text"), F.when(kind == "tagged", ~F.col("href").startswith("#")).otherwise(kind == "prose").alias("is_cross_act"), F.col("href").alias("target_href"), F.col("title").alias("matched_title"), F.col("number").alias("matched_section"),
+        F.col("r.relation").alias("relation"), F.col("r.confidence").alias("relation_confidence"), kinds[kind].alias("extraction_confidence"), F.when(kind == "intra", pos * (1 << 32) + F.col("k")).otherwise(pos).alias("cite_pos"),
+    )
 
 
 def build(spark: SparkSession, folder: str, normalize_index: bool = False) -> dict[str, DataFrame]:
     """All tables of a corpus folder, resolved and collapsed."""
     t = read_corpus(spark, folder, once=True)
     t["resolved"] = kept(link.resolve_citations(t["citations"], t["acts"], t["sections"], t["terms"], normalize_index))
+    t["citations"] = t["resolved"].select(*t["citations"].columns)  # the same rows, found once
     t["ref_edges"] = link.ref_edges(t["resolved"])
     t["mentions"] = link.mentions(t["sections"], t["terms"])
     return t

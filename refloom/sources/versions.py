@@ -47,6 +47,31 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def write_joined(spark: SparkSession, lines, target: str, head: str, tail: str, between: str = ",") -> None:
+    """A file of head, the rows of lines (one string column, in its order) with one sign
+    between them, and tail. Tasks write the rows; the driver copies bytes on, and holds
+    none of them."""
+    jvm, fs, p = _place(spark, target)
+    parts = jvm.org.apache.hadoop.fs.Path(f"{target}.parts")
+    lines.selectExpr(f"concat('{between}', {lines.columns[0]})").write.mode("overwrite").text(f"{target}.parts")
+    out, first = fs.create(p, True), True
+    try:
+        out.write(bytearray(head.encode()))
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-") and f.getLen()):
+            source = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+            try:
+                if first:
+                    source.read()
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+            finally:
+                source.close()
+            first = False
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(parts, True)
+
+
 def latest(spark: SparkSession, graph: str) -> str | None:
     """The version that the pointer names, or None before the first."""
     text = read_text(spark, f"{graph}/{POINTER}")
