@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: With this set, Spark deletes a query's shuffle files when it has ended.
@@ -38,6 +39,23 @@ def spread(df: DataFrame, *keys: str, rows: int = 5000, least: int = 500) -> Dat
     return df.repartition(tasks, *keys)
 
 
+def paired(left: DataFrame, right: DataFrame, keys: list[str], pairs: int = 4_000_000) -> DataFrame:
+    """The inner join of two tables whose equal keys may be many on both sides: tasks are
+    cut by the pairs they make, counted before, since adaptive execution goes by the bytes
+    that go in. Left rows of a key with more than `pairs` are dealt to several tasks, which
+    each get the right rows of that key. Both sides are read twice, so they should be cheap."""
+    n = left.groupBy(*keys).agg(F.count("*").alias("_l")).join(right.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    each = F.col("_l").cast("double") * F.col("_r")
+    total = n.agg(F.sum(each).alias("t")).first().t or 0.0
+    tasks = int(min(max(-(-total // pairs), left.sparkSession.sparkContext.defaultParallelism), 100_000))
+    hot = n.where(each > pairs).select(*keys, F.least(F.ceil(each / pairs), F.col("_l")).cast("int").alias("_n"))
+    deal = F.coalesce("_n", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*[left[c] for c in left.columns]), deal).cast("int")).drop("_n")
+    b = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), deal - 1))).drop("_n")
+    keys = [*keys, "_part"]
+    return a.repartition(tasks, *keys).join(b.repartition(tasks, *keys), keys).drop("_part")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and read from there by all that
     follows, whatever executors are lost; the shuffle files behind it go."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .keep import paired
 
 STATUSES = ("below_threshold", "excluded", "amendment_or_repeal", "present", "renamed", "known_title", "genuine")
 
@@ -101,15 +102,17 @@ def top_genuine(report: DataFrame, n: int = 50) -> DataFrame:
 
 
 def matched_acts(acts: DataFrame, external: DataFrame) -> DataFrame:
-    """Acts joined with an external table (title, ...) by normal form of title."""
+    """Acts joined with an external table (title, ...) by normal form of title: every pair
+    of equal titles, so the result grows with the square of their number."""
     key = lambda df: df.withColumn("_key", T.normalized_title(F.col("title"))["title"])
-    return key(acts).join(key(external).drop("title"), "_key").drop("_key")
+    return paired(key(acts), key(external).drop("title"), ["_key"]).drop("_key")
 
 
 def rule_texts(rules: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:
     """rules (act_title, section_number, ...) with the section's text: by exact title
-    and number, the last section of a number."""
+    and number, the last section of a number. Acts of one title each give a row."""
     own = acts.select(F.col("title").alias("act_title"), F.col("frbr_uri").alias("act_frbr_uri"))
     numbered = sections.select("act_frbr_uri", T.section_number_of(F.col("eid")).alias("section_number"), "text", "doc_pos").where("section_number is not null")
     texts = numbered.groupBy("act_frbr_uri", "section_number").agg(F.max_by("text", "doc_pos").alias("text"))
-    return rules.join(own, "act_title").join(texts, ["act_frbr_uri", "section_number"])
+    found = own.join(texts, "act_frbr_uri")  # first, so that rules meet texts once
+    return paired(rules, found, ["act_title", "section_number"])

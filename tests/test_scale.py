@@ -6,6 +6,9 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from refloom.operators import keep, reconcile
 from refloom.plans import corpora, registry
 from refloom.sources import corpus, files
 
@@ -57,3 +60,22 @@ def test_written_index_is_one_object_in_order(spark):
     acts = json.load(open(corpora.write_corpus(spark, DATA).removeprefix("file:").replace("//", "/") + "/index.json"))["acts"]
     n = spark.read.parquet(f"{DATA}/part.parquet").count()
     assert list(acts) == sorted(f"p{i}" for i in range(n)) and all(e["xml_path"].startswith("xml/") for e in acts.values())
+
+
+def test_pairs_of_hot_keys_are_dealt_to_tasks(spark):
+    left = spark.range(120).selectExpr("id l", "cast(if(id < 90, 0, if(id < 100, null, id % 7)) as int) k", "'x' t")
+    right = spark.range(80).selectExpr("id r", "cast(if(id < 50, 0, id % 9) as int) k")
+    want = left.join(right, ["k"])
+    got = keep.paired(left, right, ["k"], pairs=100)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    most = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert most < want.count() / 4
+    none = keep.paired(left.where("false"), right, ["k"])
+    assert none.columns == want.columns and none.count() == 0
+
+
+@pytest.mark.parametrize("query", ["matched_acts", "rule_texts"])
+def test_rows_of_equal_titles_meet_in_as_many_tasks_as_pairs_ask_for(spark, query, monkeypatch):
+    monkeypatch.setattr(reconcile, "paired", lambda a, b, keys: keep.paired(a, b, keys, pairs=10))
+    df = registry.QUERIES[query](spark, DATA)
+    assert df.rdd.getNumPartitions() >= df.count() / 10
