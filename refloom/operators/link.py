@@ -22,31 +22,25 @@ from ..functions import classify as K
 from ..functions import text as T
 
 
-def title_index(acts: DataFrame, normalize_index: bool = False) -> DataFrame:
-    """(title_key, target): the act of each title in lower case; of equal titles the
-    last loaded. normalize_index uses the citations' own normal form for the key."""
-    key = T.normalized_title(F.col("title"))["title"] if normalize_index else F.lower("title")
-    return acts.select(key.alias("title_key"), "frbr_uri", "act_pos").where("title_key is not null").groupBy("title_key").agg(F.max_by("frbr_uri", "act_pos").alias("target"))
-
-
-def section_index(sections: DataFrame) -> DataFrame:
-    """(act_frbr_uri, number, target): of equal numbers the last in the document."""
-    rows = sections.select("act_frbr_uri", T.section_number_of(F.col("eid")).alias("number"), "node_id", "doc_pos")
-    return rows.where("number is not null").groupBy("act_frbr_uri", "number").agg(F.max_by("node_id", "doc_pos").alias("target"))
-
-
-def node_ids(acts: DataFrame, sections: DataFrame, terms: DataFrame) -> DataFrame:
-    return acts.select(F.col("frbr_uri").alias("node_id")).union(sections.select("node_id")).union(terms.select("node_id")).distinct()
+def _title_key(normalize_index: bool) -> Column:
+    """An act's title in lower case, or in the citations' own normal form."""
+    return T.normalized_title(F.col("title"))["title"] if normalize_index else F.lower("title")
 
 
 def bucket(matched_title: Column) -> Column:
     return F.when(F.length(F.coalesce(matched_title, F.lit(""))) > 0, "untagged").otherwise("tagged")
 
 
-def _spread(key: str) -> Column:
-    """A join key whose nulls, a large share of the rows, don't meet in one task: they
-    get one of many values that nothing has."""
-    return F.coalesce(key, F.concat(F.lit("\x01"), F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(4096)).cast("string")))
+def _targets(acts: DataFrame, sections: DataFrame, terms: DataFrame, normalize_index: bool) -> DataFrame:
+    """(_how, _k1, _k2, _target): what addresses (0), an act's section numbers (1) and
+    titles (2) lead to, each once: of equal numbers the last in the document, of equal
+    titles the last loaded. One grouping for all, whose keys are those of the join."""
+    none, one = F.lit(""), F.lit(0).cast("bigint")
+    ids = acts.select(F.col("frbr_uri").alias("id")).union(sections.select("node_id")).union(terms.select("node_id"))
+    rows = ids.select(F.lit(0).alias("_how"), F.col("id").alias("_k1"), none.alias("_k2"), F.col("id").alias("t"), one.alias("p"))
+    rows = rows.union(sections.select(F.lit(1), "act_frbr_uri", T.section_number_of(F.col("eid")).alias("n"), "node_id", F.col("doc_pos").cast("bigint")).where("n is not null"))
+    rows = rows.union(acts.select(F.lit(2), _title_key(normalize_index).alias("k"), none, "frbr_uri", F.col("act_pos").cast("bigint")).where("k is not null"))
+    return rows.groupBy("_how", "_k1", "_k2").agg(F.max_by("t", "p").alias("_target"))
 
 
 def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame, terms: DataFrame, normalize_index: bool = False, title_parts: int = 1) -> DataFrame:
@@ -55,39 +49,36 @@ def resolve_citations(citations: DataFrame, acts: DataFrame, sections: DataFrame
     by address or number, which statistics leave out.
 
     Addresses that begin with # or /akn/ must name an existing act, section or term.
-    Each lookup is one equi-join of citations with a deduplicated key table; which side
-    is broadcast is left to the planner, which knows the sizes. A title that a large share
-    of all citations names is split by Spark's own handling of skewed joins (citations are
-    the outer side, which may be split); title_parts deals each title to so many tasks
-    where that is switched off, at the price of as many copies of the titles."""
+    A citation is looked up in one way only, so all ways are one table of keys and one
+    equi-join; before it, a join by act tells citations of the own title. Citations are
+    moved twice, with the columns that are asked for; which side is broadcast is left to
+    the planner, which knows the sizes. A title that a large share of all citations names
+    is split by Spark's own handling of skewed joins (citations are the outer side, which
+    may be split); title_parts deals each title to so many tasks where that is switched
+    off, at the price of as many copies of the titles."""
     href = F.coalesce("target_href", F.lit(""))
-    number = F.col("matched_section")
+    number, norm = F.col("matched_section"), F.col("norm_title")
     address = F.when(href.startswith("#"), F.concat("act_frbr_uri", href)).when(href.startswith("/akn/au"), href)
-    norm = T.normalized_title(F.coalesce(F.when(F.length("matched_title") > 0, F.col("matched_title")), F.col("ref_text")))["title"]
-    by_title = address.isNull() & number.isNull()
-    rows = citations.select("*", address.alias("_address"), F.when(address.isNull(), number).alias("_number"), F.when(by_title, norm).alias("norm_title"))
+    title = T.normalized_title(F.coalesce(F.when(F.length("matched_title") > 0, F.col("matched_title")), F.col("ref_text")))["title"]
+    how = F.when(address.isNotNull(), 0).when(number.isNotNull(), 1).otherwise(2)
+    rows = citations.select("*", how.alias("_how"), F.when(address.isNull() & number.isNull(), title).alias("norm_title"), bucket(F.col("matched_title")).alias("bucket"))
+    # titles without a normal form, which may be many, don't meet in one task: they get one of many values that nothing has
+    lost = F.concat(F.lit("\x01"), F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(4096)).cast("string"))
+    k1 = F.when(F.col("_how") == 0, address).when(F.col("_how") == 1, F.col("act_frbr_uri")).otherwise(F.coalesce(norm, lost))
     own = acts.select(F.col("frbr_uri").alias("act_frbr_uri"), T.normalized_title(F.col("title"))["title"].alias("_own")).dropDuplicates(["act_frbr_uri"])
-    rows = rows.join(own, "act_frbr_uri", "left")
-    rows = rows.withColumns({"_ka": _spread("_address"), "_kt": _spread("norm_title")})
-    nodes = node_ids(acts, sections, terms).select(F.col("node_id").alias("_ka"), F.col("node_id").alias("_a"))
-    rows = rows.join(nodes, "_ka", "left")
-    numbers = section_index(sections).select("act_frbr_uri", F.col("number").alias("_number"), F.col("target").alias("_b"))
-    rows = rows.join(numbers, ["act_frbr_uri", "_number"], "left")
-    titles = title_index(acts, normalize_index).select(F.col("title_key").alias("_kt"), F.col("target").alias("_c"))
-    keys = ["_kt"]
+    rows = rows.withColumns({"_k1": k1, "_k2": F.when(F.col("_how") == 1, number).otherwise("")}).join(own, "act_frbr_uri", "left")
+    known = F.when(F.col("_how") < 2, "direct").when(norm.isNull(), "dropped").when(norm.eqNullSafe(F.col("_own")), "self")
+    rows = rows.withColumn("_known", known).drop("_own")
+    targets, keys = _targets(acts, sections, terms, normalize_index), ["_how", "_k1", "_k2"]
     if title_parts > 1:
-        keys.append("_part")
-        rows = rows.withColumn("_part", F.pmod(F.xxhash64("source_id", "cite_pos"), F.lit(title_parts)))
-        titles = titles.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(title_parts - 1).cast("bigint"))))
-    rows = rows.join(titles, keys, "left")
-    is_self = F.col("norm_title").eqNullSafe(F.col("_own"))
-    direct = F.coalesce("_a", "_b")
-    status = (
-        F.when(F.col("_address").isNotNull() | F.col("_number").isNotNull(), F.when(direct.isNotNull(), "linked").otherwise("missing"))
-        .when(F.col("norm_title").isNull(), "dropped").when(is_self, "self").when(F.col("_c").isNotNull(), "resolved").otherwise("unresolved")
-    )
-    out = rows.withColumn("status", status).withColumn("bucket", bucket(F.col("matched_title")))
-    target = F.when(F.col("status") == "linked", direct).when(F.col("status") == "resolved", F.col("_c"))
+        deal = F.when(F.col("_how") == 2, F.lit(title_parts)).otherwise(1)
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("source_id", "cite_pos"), deal).cast("int"))
+        targets = targets.withColumn("_part", F.explode(F.sequence(F.lit(0), deal - 1)))
+        keys = [*keys, "_part"]
+    found = F.col("_target").isNotNull()
+    status = F.when(F.col("_known") == "direct", F.when(found, "linked").otherwise("missing")).when(F.col("_known").isNotNull(), F.col("_known")).when(found, "resolved").otherwise("unresolved")
+    out = rows.join(targets, keys, "left").withColumn("status", status)
+    target = F.when(F.col("status").isin("linked", "resolved"), F.col("_target"))
     return out.withColumn("target", target).select(*citations.columns, "norm_title", "bucket", "status", "target")
 
 

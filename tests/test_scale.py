@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from refloom.operators import keep, reconcile
+from refloom.operators import keep, link, reconcile
 from refloom.plans import corpora, registry
 from refloom.sources import corpus, files
 
@@ -79,3 +79,25 @@ def test_rows_of_equal_titles_meet_in_as_many_tasks_as_pairs_ask_for(spark, quer
     monkeypatch.setattr(reconcile, "paired", lambda a, b, keys: keep.paired(a, b, keys, pairs=10))
     df = registry.QUERIES[query](spark, DATA)
     assert df.rdd.getNumPartitions() >= df.count() / 10
+
+
+
+@pytest.mark.parametrize("query", ["resolve_refs", "citation_stats", "ref_edges"])
+def test_citations_are_looked_up_by_one_join(spark, query):
+    p = plan(registry.QUERIES[query](spark, DATA))
+    assert p.count("Join LeftOuter") == 3  # the fixture's titles, the own title, the lookup
+
+
+def test_each_way_of_citing_finds_its_own_key(spark):
+    """An address, a number and a title that read alike lead to different things."""
+    acts = spark.createDataFrame([("/akn/au/1", "Old Mill Act 1990", 0), ("/akn/au/2", "Old Mill Act 1990", 1), ("/akn/au/3", None, 2)], "frbr_uri string, title string, act_pos int")
+    sections = spark.createDataFrame([("/akn/au/1#sec-1", "sec-1", "/akn/au/1", 1), ("/akn/au/1#x", "part-1__sec-1", "/akn/au/1", 2), ("old mill act 1990", "sec-old mill act 1990", "/akn/au/3", 1)], "node_id string, eid string, act_frbr_uri string, doc_pos long")
+    terms = spark.createDataFrame([("/akn/au/1#t",)], "node_id string")
+    rows = [("#sec-1", None, None), ("#t", None, None), ("#sec-1", None, "1"), (None, None, "1"), (None, None, "old mill act 1990"), (None, "Old Mill Act 1990", None), ("/akn/au/2", "Old Mill Act 1990", "7"), ("/akn/au/old mill act 1990", None, None), (None, "", None), ("http://x", "Lost Mill Act 1990", None)]
+    cites = [(f"{a}#s", a, "tagged", "Old Mill Act 1990" if t == "" else "see", h, t, n, i) for a in ("/akn/au/1", "/akn/au/3") for i, (h, t, n) in enumerate(rows)]
+    c = spark.createDataFrame(cites, "source_id string, act_frbr_uri string, kind string, ref_text string, target_href string, matched_title string, matched_section string, cite_pos int")
+    for parts in (1, 3):
+        got = {(r.act_frbr_uri[-1], r.cite_pos): (r.status, r.target) for r in link.resolve_citations(c, acts, sections, terms, title_parts=parts).collect()}
+        assert len(got) == 20
+        assert [got["1", i] for i in range(10)] == [("linked", "/akn/au/1#sec-1"), ("linked", "/akn/au/1#t"), ("linked", "/akn/au/1#sec-1"), ("linked", "/akn/au/1#x"), ("missing", None), ("self", None), ("linked", "/akn/au/2"), ("missing", None), ("self", None), ("unresolved", None)]
+        assert [got["3", i] for i in range(10)] == [("missing", None), ("missing", None), ("missing", None), ("missing", None), ("linked", "old mill act 1990"), ("resolved", "/akn/au/2"), ("linked", "/akn/au/2"), ("missing", None), ("resolved", "/akn/au/2"), ("unresolved", None)]
