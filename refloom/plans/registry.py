@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import graph, link, reconcile, render, resolve, score
+from ..operators.keep import spread
 from ..sources import corpus, xmlflat
 from . import inputs
 from .inputs import table
@@ -446,7 +447,7 @@ def _el(name: str, inner: str, attributes: str = "") -> str:
 
 def _xml(spark, d):
     """A document for each part, its columns between the marks of a SQL concat."""
-    part = table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_brand", "p_type")
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     col = lambda c: f"', {c}, '"
     names = _el("identification", _el("FRBRWork", f'<FRBRuri value="/akn/{col("p_partkey")}/"/>') + _el("FRBRExpression", '<FRBRdate name="Generation" date="2020-01-01"/>'))
     ref = _el("ref", f" the {_el('i', 'one')} ", ' href="#part-I__sec-1"')
