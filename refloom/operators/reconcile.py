@@ -29,7 +29,7 @@ def contained_in(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     pair. An empty candidate is in every title, so the first one is its match."""
     cand = candidates.select("title").distinct().withColumn("_words", T.matches(F.lower("title"), r"(?U)[\w']+"))
     inner = F.slice("_words", 2, F.greatest(F.lit(0), F.size("_words") - 2))
-    have = existing.select(F.col("title").alias("match"), "file_pos")
+    have = existing.groupBy(F.col("title").alias("match")).agg(F.min("file_pos").alias("file_pos"))  # of equal titles only the first can be it
     index = word_index(have, "match")
     uses = index.groupBy("_w").agg(F.count("*").alias("_uses"))
     long = cand.where(F.size("_words") > 2).select("title", F.explode(F.array_distinct(inner)).alias("_w")).join(uses, "_w")
