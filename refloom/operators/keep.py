@@ -36,7 +36,14 @@ def spread(df: DataFrame, *keys: str, rows: int = 5000, least: int = 500) -> Dat
     Counts df, so df should be a table or cheap."""
     n = df.count()
     tasks = max(-(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // least)), 1)
-    return df.repartition(tasks, *keys)
+    out = df.repartition(tasks, *keys)
+    out.tasks = tasks
+    return out
+
+
+def tasks_of(df: DataFrame) -> int:
+    """The number of tasks that `spread` gave."""
+    return df.tasks
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], pairs: int = 4_000_000) -> DataFrame:

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as T
+from .keep import spread, tasks_of
+
+#: Sections of one task that looks for mentions.
+SECTIONS = 100_000
 
 
 def _title_key(normalize_index: bool) -> Column:
@@ -149,19 +153,23 @@ def mentions(sections: DataFrame, terms: DataFrame, acts: DataFrame | None = Non
     case and all, longest name first, not inside a hyphened word. Of a section id that
     occurs twice the last text with a mention counts; of a name that several terms have
     the last term is meant. acts restricts the work to some acts (a rebuild)."""
-    names = terms.where("entity_type is not null and display_term <> ''")
-    rows = sections
+    names = terms.where("entity_type is not null and display_term <> ''").select("act_frbr_uri", "display_term", "node_id", "doc_pos")
+    rows = sections.select("act_frbr_uri", F.col("node_id").alias("src"), "doc_pos", "text")
     if acts is not None:
         names = names.join(acts.select(F.col("frbr_uri").alias("act_frbr_uri")).distinct(), "act_frbr_uri", "left_semi")
+    rows = spread(rows, "act_frbr_uri", rows=SECTIONS, least=SECTIONS // 20)
+    names = names.repartition(tasks_of(rows), "act_frbr_uri")  # from here on all stays with its act
     own = names.groupBy("act_frbr_uri", "display_term").agg(F.max_by("node_id", "doc_pos").alias("dst"))
-    longest = F.array_sort(F.collect_list(F.struct((-F.length("display_term")).alias("n"), F.col("display_term").alias("t"))))
-    quoted = F.transform(longest, lambda x: T.quoted_column(x["t"]))
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("display_term")).alias("n"), F.col("display_term").alias("t"), "dst")))
+    own = own.groupBy("act_frbr_uri").agg(longest.alias("names"))
+    quoted = F.transform("names", lambda x: T.quoted_column(x["t"]))
     pattern = F.concat(F.lit(r"(?U)(?<![\w-])(?:"), F.array_join(quoted, "|"), F.lit(r")(?![\w-])"))
-    patterns = own.groupBy("act_frbr_uri").agg(pattern.alias("pattern"))
-    found = rows.join(patterns, "act_frbr_uri").select("act_frbr_uri", F.col("node_id").alias("src"), "doc_pos", F.explode(F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).alias("display_term"))
-    counts = found.groupBy("act_frbr_uri", "src", "doc_pos", "display_term").agg(F.count("*").alias("n"))
-    last = counts.groupBy("act_frbr_uri", "src", "display_term").agg(F.max_by("n", "doc_pos").alias("count"))
-    return last.join(own, ["act_frbr_uri", "display_term"]).select("src", "dst", "count")
+    meant = F.map_from_arrays(F.transform("names", lambda x: x["t"]), F.transform("names", lambda x: x["dst"]))
+    own = own.select("act_frbr_uri", pattern.alias("pattern"), meant.alias("meant"))
+    each = F.transform(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), lambda n: F.struct(n.alias("t"), F.element_at("meant", n).alias("dst")))
+    found = rows.join(own, "act_frbr_uri").select("act_frbr_uri", "src", "doc_pos", F.explode(each).alias("m")).select("act_frbr_uri", "src", "doc_pos", "m.*")
+    counts = found.groupBy("act_frbr_uri", "src", "doc_pos", "t", "dst").agg(F.count("*").alias("n"))
+    return counts.groupBy("act_frbr_uri", "src", "t", "dst").agg(F.max_by("n", "doc_pos").alias("count")).select("src", "dst", "count")
 
 
 def rebuilt(old: DataFrame, new: DataFrame, sections: DataFrame, acts: DataFrame) -> DataFrame:

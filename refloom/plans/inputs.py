@@ -9,22 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keep import spread
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts, which come in few files, dealt to tasks by rows: each makes several."""
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey", rows=100_000, least=5000)
+
+
 def acts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("concat('/akn/au/act/', p_partkey) frbr_uri", "concat(initcap(p_name), ' Act ', 1900 + p_partkey % 20) title", "cast(1900 + p_partkey % 20 as int) year", "cast(null as string) compilation_date", "case when p_partkey % 7 = 0 then '' else concat('C', p_partkey) end title_id", "p_partkey act_pos")
+    return _parts(spark, d).selectExpr("concat('/akn/au/act/', p_partkey) frbr_uri", "concat(initcap(p_name), ' Act ', 1900 + p_partkey % 20) title", "cast(1900 + p_partkey % 20 as int) year", "cast(null as string) compilation_date", "case when p_partkey % 7 = 0 then '' else concat('C', p_partkey) end title_id", "p_partkey act_pos")
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_type", "explode(array(1, 2, 3)) k")
+    rows = _parts(spark, d).selectExpr("p_partkey", "p_name", "p_type", "explode(array(1, 2, 3)) k")
     return rows.selectExpr("concat('/akn/au/act/', p_partkey, '#part-I__sec-', k) node_id", "concat('part-I__sec-', k) eid", "concat('/akn/au/act/', p_partkey) act_frbr_uri", "cast(null as string) heading", "concat(p_name, ' ', p_type, ' ', k) text", "concat(p_name, ' ', p_type) prose_text", "'section' provision_type", "p_partkey * 10 + k doc_pos")
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_type", "p_brand", "explode(array(0, 1)) k")
+    rows = _parts(spark, d).selectExpr("p_partkey", "p_name", "p_type", "p_brand", "explode(array(0, 1)) k")
     return rows.selectExpr("concat('/akn/au/act/', p_partkey, '#term-', lower(replace(p_type, ' ', '_')), case when k = 1 then '__2' else '' end) node_id", "lower(p_type) term", "p_type display_term", "concat('/akn/au/act/', p_partkey) act_frbr_uri", "concat('part-I__sec-', 1 + (p_partkey + k) % 4) section_eid", "case when p_partkey % 11 = 0 then '' else concat(p_name, ' ', k) end definition_text", "k + 1 occurrence", "case when p_partkey % 3 = 0 then p_brand end entity_type", "p_partkey * 10 + k doc_pos")
 
 

@@ -101,3 +101,32 @@ def test_each_way_of_citing_finds_its_own_key(spark):
         assert len(got) == 20
         assert [got["1", i] for i in range(10)] == [("linked", "/akn/au/1#sec-1"), ("linked", "/akn/au/1#t"), ("linked", "/akn/au/1#sec-1"), ("linked", "/akn/au/1#x"), ("missing", None), ("self", None), ("linked", "/akn/au/2"), ("missing", None), ("self", None), ("unresolved", None)]
         assert [got["3", i] for i in range(10)] == [("missing", None), ("missing", None), ("missing", None), ("missing", None), ("linked", "old mill act 1990"), ("resolved", "/akn/au/2"), ("linked", "/akn/au/2"), ("missing", None), ("resolved", "/akn/au/2"), ("unresolved", None)]
+
+
+@pytest.mark.parametrize("query, rows", [("xml_citations", 500), ("xml_flatten", 500), ("xml_terms", 500)])
+def test_documents_of_few_files_are_dealt_to_tasks(spark, tmp_path, query, rows):
+    spark.range(4 * rows).selectExpr("id p_partkey", "'a' p_name", "'b' p_brand", "'c d' p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    p = registry.QUERIES[query](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in p and p.count("MapInArrow") == 1
+    assert p.index("MapInArrow") < p.index("RepartitionByExpression")  # the plan's top comes first
+
+
+def test_equal_titles_are_looked_through_once(spark):
+    have = spark.range(1000).selectExpr("if(id % 2 = 0, 'the old mill act', 'old mill rules') title", "1000 - id file_pos")
+    got = reconcile.contained_in(spark.createDataFrame([("old mill",), ("mill rules",), ("",)], "title string"), have)
+    assert {(r.title, r.match) for r in got.collect()} == {("old mill", "old mill rules"), ("mill rules", "old mill rules"), ("", "old mill rules")}
+    index = plan(got)
+    assert index.count("Generate") and all("Aggregate [title" in index[i:] for i in [index.index("Generate")])
+
+
+def test_mentions_stay_with_their_act(spark, monkeypatch):
+    monkeypatch.setattr(link, "SECTIONS", 20)
+    acts = 50
+    sections = spark.range(acts * 4).selectExpr("concat('a', id % 50) act_frbr_uri", "concat('a', id % 50, '#', id % 3) node_id", "'the Old Mill, Mill and Old Mill' text", "id doc_pos")
+    names = spark.createDataFrame([("Mill",), ("Old Mill",), ("",)], "display_term string")
+    terms = spark.range(acts).crossJoin(names).selectExpr("concat('a', id) act_frbr_uri", "display_term", "concat('a', id, '#same') node_id", "'x' entity_type", "id doc_pos")
+    got = link.mentions(sections, terms)
+    assert got.rdd.getNumPartitions() >= acts * 4 / 20
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (act_frbr_uri") == 1  # names and what they mean come in one row
+    want = sections.select("act_frbr_uri", "node_id").distinct().count()
+    assert sorted(r["count"] for r in got.collect()) == [1] * want + [2] * want
