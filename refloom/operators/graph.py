@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,29 +50,40 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, m
     evenly; it ends when the ranks change by less than tolerance * N in all, or after
     max_iterations (exact_iterations: after just so many). Edges of a hot target meet
     in a sum that map tasks combine."""
-    flow = edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w"))
-    out = flow.groupBy("src").agg(F.sum("w").alias("out"))
-    share = kept(flow.join(out, "src").where("out > 0").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
-    nodes = flow.select(F.col("src").alias("node_id")).union(flow.select("dst")).distinct()
-    nodes = kept(nodes.join(out.where("out > 0").select(F.col("src").alias("node_id"), F.lit(True).alias("flows")), "node_id", "left"))
-    n = nodes.count()
+    flow = kept(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")))
+    out = flow.groupBy("src").agg(F.sum("w").alias("out")).where("out > 0")
+    ids = flow.select(F.col("src").alias("node_id")).union(flow.select("dst")).distinct()
+    names = kept(ids.join(out.select(F.col("src").alias("node_id"), "out"), "node_id", "left").withColumn("id", F.monotonically_increasing_id()))
+    # turns go over numbers for names, which are short and of one length
+    share = flow.join(names.select(F.col("node_id").alias("src"), F.col("id").alias("s"), "out").where("out > 0"), "src").join(names.select(F.col("node_id").alias("dst"), F.col("id").alias("d")), "dst")
+    share = kept(share.select("s", "d", (F.col("w") / F.col("out")).alias("p")))
+    dropped(flow)
+    # dealt and sorted once for all turns, held by the executors; made again from the table where one is lost
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-share.count() // 1_000_000))
+    dealt = share.repartition(tasks, "s").sortWithinPartitions("s").persist(StorageLevel.DISK_ONLY)
+    nodes = names.select("id", F.col("out").isNotNull().alias("flows"))
+    n = names.count()
     if not n:
-        return nodes.select("node_id", F.lit(0.0).alias("score"))
-    ranks = nodes.select("node_id", "flows", F.lit(1.0 / n).alias("score"))
+        dealt.unpersist()
+        return names.select("node_id", F.lit(0.0).alias("score"))
+    ranks = nodes.select("id", "flows", F.lit(1.0 / n).alias("score"))
     old = None
-    stuck = nodes.where("flows is null").count() / n
+    stuck = nodes.where("not flows").count() / n
     for _ in range(exact_iterations if exact_iterations is not None else max_iterations):
-        gain = ranks.join(share, F.col("node_id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("gain"))
+        gain = ranks.where("flows").join(dealt, F.col("id") == F.col("s")).groupBy("d").agg(F.sum(F.col("score") * F.col("p")).alias("gain"))
         score = F.lit((1 - damping) / n + damping * stuck / n) + damping * F.coalesce("gain", F.lit(0.0))
-        new = kept(ranks.join(gain, F.col("node_id") == F.col("dst"), "left").select("node_id", "flows", score.alias("score"), F.abs(score - F.col("score")).alias("change")))
-        totals = new.agg(F.sum("change").alias("change"), F.sum(F.when(F.col("flows").isNull(), F.col("score"))).alias("stuck")).first()
-        ranks, stuck = new.select("node_id", "flows", "score"), totals["stuck"] or 0.0
+        new = kept(ranks.join(gain, F.col("id") == F.col("d"), "left").select("id", "flows", score.alias("score"), F.abs(score - F.col("score")).alias("change")))
+        totals = new.agg(F.sum("change").alias("change"), F.sum(F.when(~F.col("flows"), F.col("score"))).alias("stuck")).first()
+        ranks, stuck = new.select("id", "flows", "score"), totals["stuck"] or 0.0
         if old is not None:
             dropped(old)
         old = new
         if exact_iterations is None and totals["change"] < tolerance * n:
             break
-    return ranks.select("node_id", "score")
+    dealt.unpersist()
+    dropped(share)
+    return names.join(ranks, "id").select("node_id", "score")
 
 
 def lower_counts(counts: DataFrame, column: str) -> DataFrame:

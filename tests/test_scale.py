@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from refloom.operators import keep, link, reconcile
+from refloom.operators import graph, keep, link, reconcile
 from refloom.plans import corpora, registry
 from refloom.sources import corpus, files
 
@@ -130,3 +130,14 @@ def test_mentions_stay_with_their_act(spark, monkeypatch):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner, (act_frbr_uri") == 1  # names and what they mean come in one row
     want = sections.select("act_frbr_uri", "node_id").distinct().count()
     assert sorted(r["count"] for r in got.collect()) == [1] * want + [2] * want
+
+
+def test_pagerank_turns_go_over_numbers(spark, monkeypatch):
+    seen, keep_it = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: seen.append(dict(df.dtypes)) or keep_it(df))
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 1), ("c", "lone", 3), ("z", "a", 0)], "src string, dst string, weight int")
+    got = {r.node_id: r.score for r in graph.pagerank(edges).collect()}
+    assert set(got) == {"a", "b", "c", "lone", "z"} and abs(sum(got.values()) - 1) < 1e-9
+    turns = [t for t in seen if "change" in t]
+    assert turns and all("string" not in t.values() for t in turns)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
